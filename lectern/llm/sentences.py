@@ -62,7 +62,7 @@ REPORT = re.compile(
     r"|قال|قالت|سأل|سألت|كتب|أجاب|कहा|पूछा|बोल|बताया|लिखा|^\s*(?:と|って)|[说說道问問答喊]|กล่าว|ถาม|บอก|พูด",
     re.I,
 )
-_INVIS = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿᠎؜‪‫‬‭‮⁦⁧⁨⁩"
+_INVIS = "\xad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\u180e\u061c\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 INVIS = re.compile(f"[{_INVIS}]")
 _PAIRS = [('"', '"'), ("„", "“”"), ("“", "”"), ("”", "”"), ("«", "»"), ("»", "«"), ("「", "」"), ("『", "』"), ("‹", "›")]
 _QUOTES = "".join(dict.fromkeys("".join(a + b for a, b in _PAIRS)))
