@@ -177,7 +177,7 @@ def view(text: str | None) -> tuple[int, str]:
             t = _blank(t, spans)
     if has_tick and (spans := [m.span() for m in INLINE_CODE.finditer(t) if m[2].strip()]):
         got |= 2
-        t = _blank(t, spans, "x")
+        t = _blank(t, spans, "\ue000")
     if has_lt:
         for rx in (COMMENT, DOCTYPE, RAW, CODE_EL):
             if spans := _spans(rx, t):
@@ -211,7 +211,7 @@ def view(text: str | None) -> tuple[int, str]:
         spans = [m.span() for m in INLINE_MATH.finditer(t) if MATHY.search(m[1]) and not re.match(r"[\d.,\s]+$", m[1])]
         if spans:
             got |= 8
-            t = _blank(t, spans, "x")
+            t = _blank(t, spans, "\ue000")
     # wiki
     if "{|" in t and (spans := _spans(WIKI_TABLE, t)):
         got |= 4
@@ -221,7 +221,7 @@ def view(text: str | None) -> tuple[int, str]:
         t = _blank(t, spans)
     if "[[" in t and (spans := [m.span() for m in WIKI_LINK.finditer(t) if not re.fullmatch(r"[\d,;\s–-]+", m[1])]):
         got |= 4
-        t = _blank(t, spans, "x")
+        t = _blank(t, spans, "\ue000")
     if not got & 4:
         if (
             ("''" in t and WIKI_BOLD.search(t))
