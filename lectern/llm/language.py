@@ -12,7 +12,8 @@ whose label names one, chosen by a hash of the text. Labels may be wrong, so the
 without the segments that the first fit gives to another language.
 
 Every text is blanked of code, tags and formulas (``markup.view``), cut into sentence units
-(``sentences.units``) and each unit scored. A unit counts as a sentence from ``MIN_LETTERS`` letters on. The
+(``sentences.units``) and each unit scored. A unit counts as a
+sentence from ``MIN_LETTERS`` letters and, where words are spaced, ``MIN_WORDS`` words on. The
 confidence of a unit is the margin of its best score over the second, cut to 0..1; a language's
 confidence in a text is the largest of its units. Null texts and texts without letters have no language.
 """
@@ -30,14 +31,15 @@ from lectern.functions.runtime import arrow_map, spread, table
 from lectern.llm.markup import view
 from lectern.llm.sentences import units
 
-SPECTRUM = (2, 3)
+SPECTRUM = (2, 3, 4)
 HASH_BITS = 17
-SAMPLE = 160
-LANDMARKS = 480
-RIDGE = 1e-3
-MIN_LETTERS = 10
+SAMPLE = 500
+LANDMARKS = 960
+RIDGE = 2e-5
+MIN_LETTERS, MIN_WORDS = 10, 4
+UNSPACED = frozenset(("ja", "th", "zh"))
 #: A language other than the text's main one needs a unit of this margin: in another script, in the same script.
-MARGIN_SCRIPT, MARGIN = 0.2, 0.4
+MARGIN_SCRIPT, MARGIN = 0.25, 0.5
 # Languages by script; those not listed are written in Latin letters.
 SCRIPTS = {"ar": "Arab", "hi": "Deva", "ja": "Jpan", "zh": "Hani", "th": "Thai", "ru": "Cyrl", "uk": "Cyrl"}
 
@@ -61,17 +63,17 @@ def _tables() -> np.ndarray:
 _LETTER = _tables()
 
 
-def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed runs, text numbers, letters of each text): each text's set of runs, sorted by text."""
+def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed runs, text numbers, letters, words of each text): each text's set of runs, sorted by text."""
+    n = len(texts)
     sizes = np.array([len(t) for t in texts])
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    seg = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    return _runs(cp, seg, len(texts))
-
-
-def _runs(cp: np.ndarray, seg: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seg = np.repeat(np.arange(n, dtype=np.int64), sizes)
     c = _LETTER[np.minimum(cp, 0x1FFFF)]
     letters = np.bincount(seg[c != 32], minlength=n)
+    first = c != 32
+    first[1:] &= (c[:-1] == 32) | (seg[1:] != seg[:-1])
+    words = np.bincount(seg[first], minlength=n)
     # names and quoted words in Latin letters say nothing in a text of another script
     latin = (c < 0x250) & (c != 32)
     few = np.bincount(seg[latin], minlength=n) < 0.85 * letters
@@ -93,101 +95,94 @@ def _runs(cp: np.ndarray, seg: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
             out.append((seg[: len(seg) - k + 1][same] << HASH_BITS) | h[same].astype(np.int64))
     key = np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-    return key & ((1 << HASH_BITS) - 1), key >> HASH_BITS, letters
-
-
-def _presence(texts: list[str]) -> np.ndarray:
-    """Dense unit rows; only for the bounded sample."""
-    g, s, _ = runs(texts)
-    x = np.zeros((len(texts), 1 << HASH_BITS), np.float32)
-    x[s, g] = 1
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return key & ((1 << HASH_BITS) - 1), key >> HASH_BITS, letters, words
 
 
 class Model:
-    """Fitted table run x language."""
+    """Fitted table: runs that occur in a landmark, by language. ``index`` has a run's row; the last row is zero."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    def __init__(self, languages: list, index: np.ndarray, table: np.ndarray):
+        self.languages, self.index, self.table = languages, index, table
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
         langs = sorted(set(labels))
         y = np.array([langs.index(x) for x in labels])
-        model = None
         keep = np.arange(len(texts))
-        for _ in range(2):
+        for again in (True, False):
             # landmarks: the same number of each language, in the sample's order
             per = max(1, landmarks // len(langs))
             marks = [i for k in range(len(langs)) for i in keep[y[keep] == k][:per]]
-            m = _presence([texts[i] for i in marks])
-            near = cls(marks, np.ascontiguousarray(m.T))
-            kmm = m @ m.T
-            w, v = np.linalg.eigh(kmm.astype(np.float64))
+            g, s, _, _ = runs([texts[i] for i in marks])
+            cols = np.unique(g)
+            index = np.full(1 << HASH_BITS, len(cols), np.int32)
+            index[cols] = np.arange(len(cols))
+            m = np.zeros((len(cols) + 1, len(marks)), np.float32)
+            m[index[g], s] = 1
+            m /= np.sqrt(np.maximum(m.sum(0), 1))
+            w, v = np.linalg.eigh((m.T @ m).astype(np.float64))
             good = w > 1e-6 * w.max()
             root = v[:, good] / np.sqrt(w[good])
-            phi = near.score([texts[i] for i in keep])[0] @ root
+            near = cls(marks, index, m)
+            phi = np.concatenate([near.score([texts[i] for i in keep[a : a + 500]])[0] @ root for a in range(0, len(keep), 500)])
             target = -np.ones((len(keep), len(langs)))
             target[np.arange(len(keep)), y[keep]] = 1
             a = np.linalg.solve(phi.T @ phi + ridge * len(keep) * np.eye(phi.shape[1]), phi.T @ target)
-            model = cls(langs, (m.T @ (root @ a)).astype(np.float32))
-            if _ == 0:
-                score, _l = model.score(texts)
-                keep = np.flatnonzero(score.argmax(1) == y)
-                keep = keep if len(keep) else np.arange(len(texts))
+            model = cls(langs, index, (m @ (root @ a)).astype(np.float32))
+            if again:
+                right = np.flatnonzero(model.score(texts)[0].argmax(1) == y)
+                keep = right if len(right) else keep
         return model
 
-    def _sum(self, g: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores text x language, and the letters and words of each text."""
+        g, s, letters, words = runs(texts)
+        n = len(texts)
         out = np.zeros((n, self.table.shape[1]), np.float32)
         if len(g):
+            size = np.bincount(s, minlength=n)  # all runs count in the norm
+            rows = self.index[g]
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            step = 1 << 16  # blocks of runs, so the gathered rows stay in cache
+            step = max(1 << 10, (1 << 20) // self.table.shape[1])  # blocks of runs, so the gathered rows stay in cache
             at = 0
             while at < len(first):
-                end = np.searchsorted(first, first[at] + step)
-                end = max(end, at + 1)
+                end = max(int(np.searchsorted(first, first[at] + step)), at + 1)
                 lo, hi = first[at], first[end] if end < len(first) else len(g)
-                out[s[first[at:end]]] = np.add.reduceat(self.table[g[lo:hi]], first[at:end] - lo, axis=0)
+                out[s[first[at:end]]] = np.add.reduceat(self.table[rows[lo:hi]], first[at:end] - lo, axis=0)
                 at = end
-            size = np.bincount(s, minlength=n)
             out /= np.sqrt(np.maximum(size, 1))[:, None]
-        return out
+        return out, letters, words
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores text x language, and the letters of each text."""
-        g, s, letters = runs(texts)
-        return self._sum(g, s, len(texts)), letters
 
-
-def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float, int]]]:
-    """For each text its units: start, end, language number (-1: too few letters), margin, letters."""
+def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float, int, int]]]:
+    """For each text its units: start, end, language number (-1: no letters), margin, letters, words."""
     views = [view(t)[1] if t else "" for t in texts]
     spans = units(views)
     flat = [v[a:b] for v, sp in zip(views, spans) for a, b in sp]
     if not flat:
         return [[] for _ in texts]
-    score, letters = model.score(flat)
+    score, letters, words = model.score(flat)
     best = score.argmax(1)
     two = np.partition(score, -2, axis=1)[:, -2:]
     margin = np.clip(two[:, 1] - two[:, 0], 0, 1)
     best = np.where(letters > 0, best, -1)
     out, k = [], 0
     for sp in spans:
-        out.append([(int(a), int(b), int(best[k + i]), float(margin[k + i]), int(letters[k + i])) for i, (a, b) in enumerate(sp)])
+        out.append([(int(a), int(b), int(best[k + i]), float(margin[k + i]), int(letters[k + i]), int(words[k + i])) for i, (a, b) in enumerate(sp)])
         k += len(sp)
     return out
 
 
-def languages_of(units_: list[tuple[int, int, int, float, int]], names: list[str]) -> dict[int, float]:
+def languages_of(units_: list[tuple[int, int, int, float, int, int]], names: list[str]) -> dict[int, float]:
     """Languages in which a text has a sentence, with their confidence. The main one has most letters in clear units."""
     weight: dict[int, float] = {}
     unclear: dict[int, float] = {}
     conf: dict[int, float] = {}
-    for _, _, k, m, n in units_:
+    for _, _, k, m, n, words in units_:
         if k >= 0:
             at = weight if m >= MARGIN_SCRIPT else unclear
             at[k] = at.get(k, 0.0) + n * m
-            if n >= MIN_LETTERS:
+            if n >= MIN_LETTERS and (words >= MIN_WORDS or names[k] in UNSPACED):
                 conf[k] = max(conf.get(k, 0.0), m)
     weight = weight or unclear
     if not weight:
@@ -197,6 +192,16 @@ def languages_of(units_: list[tuple[int, int, int, float, int]], names: list[str
     return {main: conf.get(main, 0.0)} | {k: c for k, c in conf.items() if k != main and c >= (MARGIN if SCRIPTS.get(names[k]) == script else MARGIN_SCRIPT)}
 
 
+def is_case(found: dict[int, float], code: str | None, names: list[str]) -> bool:
+    """No label, several languages, or clearly another one than the label's."""
+    if not found:
+        return False
+    if code is None or len(found) > 1:
+        return True
+    k, c = next(iter(found.items()))
+    return names[k] != code and (c >= MARGIN or SCRIPTS.get(names[k]) != SCRIPTS.get(code))
+
+
 def label_code(label: Column, names: DataFrame) -> Column:
     """The code a label names: code, iso3 or English name in any case, with or without a region; else null.
 
@@ -232,17 +237,17 @@ def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
     got = sorted(got, key=lambda r: hashlib.md5(r["text"].encode("utf-8", "surrogatepass")).digest())
     texts, labels = [], []
     for r, sp in zip(got, units([r["text"] for r in got])):
-        for a, b in sp[:2]:
+        for a, b in sp[:4]:
             if b - a >= MIN_LETTERS:
                 texts.append(r["text"][a:b])
                 labels.append(r["code"])
     if not texts:
-        return Model(["und"], np.zeros((1 << HASH_BITS, 1), np.float32))
+        return Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
     return Model.fit(texts, labels)
 
 
 def _scored(rows: DataFrame, model: Model, detail: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table))  # 2**17 x languages floats: 8 MB
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.index, model.table))  # at most 2**17 x (languages + 1) numbers: 9 MB
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = Model(*shared.value)
@@ -257,7 +262,7 @@ def _scored(rows: DataFrame, model: Model, detail: bool) -> DataFrame:
             )
         found = [languages_of(g, m.languages) for g in got]
         codes = b.column(2).to_pylist()
-        out = [(i, m.languages[k], c) for i, (f, code) in enumerate(zip(found, codes)) if f and (len(f) > 1 or m.languages[next(iter(f))] != code) for k, c in f.items()]
+        out = [(i, m.languages[k], c) for i, (f, code) in enumerate(zip(found, codes)) if is_case(f, code, m.languages) for k, c in f.items()]
         take = pa.array([x[0] for x in out], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.float64())], names=["origin", "rec_id", "language", "confidence"])
 

@@ -94,6 +94,7 @@ WIKI_BOLD = re.compile(r"(?<!')('{2,3}|'{5})(?=[^\s'])([^\n]*?[^\s'])\1(?!')")
 WIKI_DEF = re.compile(r"^;[^\S\n]*\S[^\n]*\n:[^\S\n]*\S", re.M)
 WIKI_EXT = re.compile(r"(?<!\[)\[(?:https?:)?//[^\s\]]+[^\S\n]+[^\]\n]+\](?!\()")
 MAGIC = re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX)__|^#REDIRECT\b", re.M)
+_PIPES = re.compile(r"^[^\S\n]*\|[^\n]*\|[^\S\n]*$", re.M)
 _SOLID = re.compile(r"[^\n]")
 
 
@@ -249,6 +250,13 @@ def view(text: str | None) -> tuple[int, str]:
             or ("][" in t and _resolved(t))
         ):
             got |= 2
+    if got & 2:  # no prose either: tables, targets, reference names
+        if "|" in t and "-|" in t or ":|" in t:
+            t = _blank(t, [m.span() for m in _PIPES.finditer(t)])
+        if "](" in t:
+            t = _blank(t, [(m.end(1), m.end()) for m in LINK.finditer(t)])
+        if "[^" in t:
+            t = _blank(t, _spans(FOOTNOTE, t))
     return got, t
 
 
