@@ -29,17 +29,19 @@ from pyspark.sql import functions as F
 
 from lectern.functions.runtime import arrow_map, spread, table
 from lectern.llm.markup import view
-from lectern.llm.sentences import units
+from lectern.llm.sentences import blocks, units
 
 SPECTRUM = (2, 3, 4)
 HASH_BITS = 17
 SAMPLE = 500
 LANDMARKS = 960
 RIDGE = 2e-5
+#: Characters scored at a time.
+BLOCK = 300_000
 MIN_LETTERS, MIN_WORDS = 10, 4
 UNSPACED = frozenset(("ja", "th", "zh"))
 #: A language other than the text's main one needs a unit of this margin: in another script, in the same script.
-MARGIN_SCRIPT, MARGIN = 0.25, 0.5
+MARGIN_SCRIPT, MARGIN = 0.2, 0.3
 # Languages by script; those not listed are written in Latin letters.
 SCRIPTS = {"ar": "Arab", "hi": "Deva", "ja": "Jpan", "zh": "Hani", "th": "Thai", "ru": "Cyrl", "uk": "Cyrl"}
 
@@ -156,6 +158,13 @@ class Model:
 
 def segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float, int, int]]]:
     """For each text its units: start, end, language number (-1: no letters), margin, letters, words."""
+    out: list[list[tuple[int, int, int, float, int, int]]] = []
+    for a, b in blocks(texts, BLOCK):
+        out += _segments(texts[a:b], model)
+    return out
+
+
+def _segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float, int, int]]]:
     views = [view(t)[1] if t else "" for t in texts]
     spans = units(views)
     flat = [v[a:b] for v, sp in zip(views, spans) for a, b in sp]

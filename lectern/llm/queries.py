@@ -13,6 +13,7 @@ from lectern.llm.language import p6_found, p6_segments
 from lectern.llm.markup import p2_clean, p2_found
 from lectern.llm.overlap import p1_found, p1_overlaps
 from lectern.llm.sentences import sentence_units
+from lectern.llm.spans import p5_found, p5_shares
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_segments": p6_segments}
+    return {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_segments": p6_segments}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -342,6 +342,17 @@ def units(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def blocks(texts: list[str | None], chars: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``chars`` characters, at least one text each."""
+    out, a, n = [], 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= chars:
+            out.append((a, i + 1))
+            a, n = i + 1, 0
+    return out + [(a, len(texts))] * (a < len(texts))
+
+
 def sentence_units(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row for each unit: the key columns, span_start, span_end, unit (its number in the text).
 
@@ -352,7 +363,8 @@ def sentence_units(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", span_start bigint, span_end bigint, unit int"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = units(b.column(len(keys)).to_pylist())
+        texts = b.column(len(keys)).to_pylist()
+        got = [u for lo, hi in blocks(texts, 1_000_000) for u in units(texts[lo:hi])]
         n = np.array([len(g) for g in got])
         take = pa.array(np.repeat(np.arange(b.num_rows), n))
         spans = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
