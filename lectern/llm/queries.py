@@ -11,7 +11,10 @@ from lectern.functions.runtime import table
 from lectern.llm.copies import p4_found, p4_records
 from lectern.llm.language import p6_found, p6_segments
 from lectern.llm.markup import p2_clean, p2_found
+from lectern.llm.mixing import p8_found, p8_mix, p8_shares
 from lectern.llm.overlap import p1_found, p1_overlaps
+from lectern.llm.packing import p7_fill, p7_packing
+from lectern.llm.pieces import p9_found, p9_pieces
 from lectern.llm.sentences import sentence_units
 from lectern.llm.spans import p5_found, p5_shares
 
@@ -23,7 +26,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_segments": p6_segments}
+    found = (
+        *(p1_found, p1_overlaps, p2_found, p2_clean, p3_found, p4_found, p4_records, p5_found, p5_shares, p6_found, p6_segments),
+        *(p7_packing, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_pieces),
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
