@@ -124,8 +124,9 @@ def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[
                 if b > a:
                     best = kinds[a:b].min()
                     end = int(bounds[a:b][kinds[a:b] == best][-1])
-                else:
-                    end = hi
+                else:  # no boundary at all: the landmark itself, so that edits stay local here too
+                    a, b = np.searchsorted(marks, lo), np.searchsorted(marks, hi, side="right")
+                    end = int(marks[a + np.argmin(hashes[a:b])]) if b > a else hi
             end = max(end, core + 1)
             size = len(e.encode_ordinary(text[start:end]))
             if size <= capacity or reach <= 1:
