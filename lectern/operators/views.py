@@ -115,8 +115,8 @@ def with_views(docs: DataFrame, text: str = "text", quotes: bool = True) -> Data
 def lines(views: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line_no, span_start, span_end, kind, continued: one row per line; kind is null for blank lines."""
     text_lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    front = F.split(rewrite(F.coalesce(F.col("text"), F.lit("")), unix(FRONT), lambda x: F.regexp_replace(x, r"[^\n]", "")), "\n", -1)
-    rows = views.select(key, F.posexplode(F.arrays_zip(F.split("masked", "\n", -1).alias("m"), front.alias("f"))).alias("line_no", "x")).select(key, "line_no", F.col("x.m").alias("line"), F.col("x.f").contains("").alias("front"))
+    front = F.split(rewrite(F.coalesce(F.col("text"), F.lit("")), unix(FRONT), lambda x: F.regexp_replace(x, r"[^\n]", "\ue002")), "\n", -1)
+    rows = views.select(key, F.posexplode(F.arrays_zip(F.split("masked", "\n", -1).alias("m"), front.alias("f"))).alias("line_no", "x")).select(key, "line_no", F.col("x.m").alias("line"), F.col("x.f").contains("\ue002").alias("front"))
     by = Window.partitionBy(key).orderBy("line_no")
     raw = (
         F.when(F.trim(F.regexp_replace("line", r"\s", " ")) == "", "blank")
