@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The constructs.
 _KINDS = {
@@ -129,7 +130,7 @@ def reader_view(text: str, front: bool = True) -> tuple[str, bool]:
     return "".join(chars), missing
 
 
-@F.pandas_udf("visible string, incomplete boolean")
+@F.pandas_udf(T.StructType([T.StructField("visible", T.StringType()), T.StructField("incomplete", T.BooleanType())]))
 def _views(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([reader_view(t or "") for t in s], columns=["visible", "incomplete"])
 
