@@ -41,6 +41,23 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), ends["out"]).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
+def quoted(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(view: str, pattern: str, guard: str | None = None) -> str:
+    """``spans`` of a column as SQL text, behind an optional cheap condition: one expression to parse instead of dozens of calls."""
+    empty = "cast(array() as array<struct<s:int,e:int>>)"
+    ps = f"split(regexp_replace(translate({view}, '\\uE000\\uE001', '\\uFFFD\\uFFFD'), {quoted(pattern)}, '\\uE000$0\\uE001'), '[\\uE000\\uE001]', -1)"
+    step = (
+        "(a, x) -> named_struct('at', a.at + length(x), 'i', a.i + 1, 'out', "
+        "CASE WHEN a.i % 2 = 1 AND length(x) > 0 THEN array_append(a.out, named_struct('s', a.at, 'e', a.at + length(x))) ELSE a.out END)"
+    )
+    test = f"{view} rlike {quoted(pattern)}"
+    return f"CASE WHEN {f'({guard}) AND ' if guard else ''}{test} THEN aggregate({ps}, named_struct('at', 0, 'i', 0, 'out', {empty}), {step}).out ELSE {empty} END"
+
+
 def java(pattern: str, flags: str = "imdU") -> str:
     """A pattern in the usual script dialect for the JVM: flags, named groups, absolute end."""
     out = pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")

@@ -44,15 +44,17 @@ class Prose:
     sentences: DataFrame
 
     @classmethod
-    def of(cls, views: DataFrame, key: str = "doc_id") -> Prose:
+    def of(cls, views: DataFrame, key: str = "doc_id", blocks: DataFrame | None = None) -> Prose:
+        """With ``blocks`` given, what the metrics share is kept: they read it a dozen times."""
         v = views.withColumnRenamed(key, "doc_id") if key != "doc_id" else views
-        b = V.blocks(V.lines(v))
+        b = V.blocks(V.lines(v)) if blocks is None else blocks
         text = b.where("kind in ('paragraph', 'list')").join(v.select("doc_id", "prose"), "doc_id").withColumn("t", F.substring("prose", F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int"))).drop("prose")
         # a lone line without a closing mark is a title or caption, no paragraph
         text = text.where((F.col("kind") == "list") | F.col("t").contains("\n") | F.col("t").rlike(java(SENTENCE_END, "d")))
         sents = text.select("doc_id", "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(V.split_sentences(F.col("t"))).alias("n", "x"))
         sents = sents.select("doc_id", "block_id", "kind", F.col("n").alias("sent_no"), (F.col("base") + F.col("x.s")).alias("span_start"), (F.col("base") + F.col("x.e")).alias("span_end"), F.substring("t", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("sentence"))
-        return cls(v, b, text.where("kind = 'paragraph'"), sents)
+        paragraphs = text.where("kind = 'paragraph'")
+        return cls(v, b, paragraphs, sents) if blocks is None else cls(v, b, paragraphs.persist(), sents.persist())
 
     def per_doc(self, rows: DataFrame, neutral: float) -> DataFrame:
         """One row a document: those without a row get the neutral value."""

@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import java, rewrite, spans
+from lectern.functions.guards import literals
+from lectern.functions.text import java, quoted, rewrite, spans_sql
 from lectern.operators import views as V
 from lectern.sources.catalogue import Rule, rules_df
 
@@ -24,22 +25,38 @@ def pattern_of(rule: Rule) -> str:
     return java(_WIDE.sub(lambda m: "\\x{" + m[1].lstrip("0") + "}", rule.pattern))
 
 
-def _tagged(rule_id: str):
-    return lambda x: F.struct(F.lit(rule_id).alias("rule_id"), x["s"].cast("bigint").alias("span_start"), x["e"].cast("bigint").alias("span_end"))
+def _guard(rule: Rule, low: str) -> str | None:
+    found = literals(rule.pattern)
+    return None if found is None else " OR ".join(f"contains({low}, {quoted(x)})" for x in found)
 
 
 def raw_matches(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
-    """key, rule_id, span_start, span_end of every non-empty match. Punctuation reads ``masked``, the rest ``prose``."""
-    arrays = []
-    for r in rules:
-        if r.pattern is None or r.nominal_prefix:
-            continue
-        view = F.col("masked" if r.category == "punct" else "prose")
-        arrays.append(F.transform(spans(view, pattern_of(r)), _tagged(r.id)))
-    if not arrays:
+    """key, rule_id, span_start, span_end of every non-empty match. Punctuation reads ``masked``, the rest ``prose``.
+
+    A pattern runs only on texts that hold one of its required literals, tested on one lower-cased copy. Rules of
+    sentence starts are left to ``anchored_matches``.
+    """
+    active = [r for r in rules if r.pattern is not None and not r.nominal_prefix and not r.sentence_start]
+    if not active:
+        return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint")
+    parts = []
+    for r in active:
+        view = "masked" if r.category == "punct" else "prose"
+        found = spans_sql(view, pattern_of(r), _guard(r, "_low"))
+        parts.append(f"transform({found}, x -> named_struct('rule_id', {quoted(r.id)}, 'span_start', cast(x.s as bigint), 'span_end', cast(x.e as bigint)))")
+    rows = views.select(key, "masked", "prose").withColumn("_low", F.lower(F.upper("masked")))
+    return rows.select(key, F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("m")).select(key, "m.*")
+
+
+def anchored_matches(sents: DataFrame, views: DataFrame, rules: list[Rule], key: str = "doc_id", reach: int = 1000) -> DataFrame:
+    """Matches of the rules that may only start where a sentence does: one attempt a sentence, not one a character."""
+    active = [r for r in rules if r.pattern is not None and r.sentence_start and not r.nominal_prefix]
+    if not active:
         return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint")
-    # a flat concat of a few arrays at a time keeps each expression small enough to compile
-    return views.select(key, F.explode(F.flatten(F.array(*arrays))).alias("m")).select(key, "m.*")
+    rows = sents.select(key, "span_start").join(views.select(key, "prose"), key).select(key, "span_start", F.substring("prose", F.col("span_start").cast("int") + 1, F.lit(reach)).alias("t"))
+    tests = [f"named_struct('rule_id', {quoted(r.id)}, 'n', length(regexp_extract(t, {quoted(java('^(?:' + _WIDE.sub('', r.pattern) + ')', 'idU'))}, 0)))" for r in active]
+    hit = rows.select(key, "span_start", F.explode(F.expr(f"filter(array({', '.join(tests)}), x -> x.n > 0)")).alias("h"))
+    return hit.select(key, "h.rule_id", "span_start", (F.col("span_start") + F.col("h.n")).alias("span_end"))
 
 
 def sentence_matches(sents: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
@@ -96,4 +113,4 @@ def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") ->
     line_rows = V.lines(views, key)
     block_rows = V.blocks(line_rows, key)
     sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key)
-    return gated(raw_matches(views, regex, key), views, block_rows, sents, regex, key)
+    return gated(raw_matches(views, regex, key).unionByName(anchored_matches(sents, views, regex, key)), views, block_rows, sents, regex, key)

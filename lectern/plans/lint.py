@@ -31,14 +31,16 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     ``tokens`` are given, judgments if ``answers`` are; without answers, rules that require one report nothing.
     """
     active = select(rules or load(), set(options.only), set(options.disable), set(options.disable_category), options.no_emoji)
-    views = V.with_views(spread(docs.select("doc_id", "text")), quotes=not options.skip_quotes)
-    blocks = V.blocks(V.lines(views))
+    # read by every layer: kept in memory or on the executors' disks, and recomputed if an executor is lost
+    views = V.with_views(spread(docs.select("doc_id", "text")), quotes=not options.skip_quotes).persist()
+    blocks = V.blocks(V.lines(views)).persist()
+    prose = metrics.Prose.of(views, blocks=blocks)
     cols = ("doc_id", "rule_id", "category", "severity", "rank", "span_start", "span_end", "marks")
     parts = []
     regex = [r for r in active if r.category in ("phrase", "template", "punct") and r.pattern]
     if regex:
         sents5 = V.sentences(views, blocks, (*V.TEXT_KINDS, "heading"))
-        parts.append(reduce.with_marks(regex_rules.gated(regex_rules.raw_matches(views, regex), views, blocks, sents5, regex)).select(*cols))
+        parts.append(reduce.with_marks(regex_rules.gated(regex_rules.raw_matches(views, regex).unionByName(regex_rules.anchored_matches(sents5, views, regex)), views, blocks, sents5, regex)).select(*cols))
     for r in active:
         if r.construction:
             c = scanner.contrasts(V.sentences(views, blocks)).select("doc_id", *(F.lit(x).alias(n) for n, x in (("rule_id", r.id), ("category", r.category), ("severity", r.severity), ("rank", r.rank))), "span_start", "span_end")
@@ -48,7 +50,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
         parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(views, blocks), grammar, lexicon).select(*cols))
     doc_rules = [r for r in active if r.metric in metrics.METRICS]
     if doc_rules:
-        parts.append(reduce.with_marks(metrics.fired(metrics.Prose.of(views), doc_rules)).select(*cols))
+        parts.append(reduce.with_marks(metrics.fired(prose, doc_rules)).select(*cols))
     if not parts:
         return docs.sparkSession.createDataFrame([], f"doc_id bigint, finding_no bigint, rule_id string, category string, severity string, rank int, span_start bigint, span_end bigint, marks {reduce.MARKS}")
     out = parts[0]
