@@ -42,10 +42,11 @@ class Lexicon:
         return set()
 
     def lemma(self, w: str) -> str:
-        for end in ("ping", "ped", "ing", "ed", "es", "s"):
+        for end in ("ing", "ed", "es", "s"):
             if w.endswith(end) and len(w) > len(end) + 2:
                 stem = w[: -len(end)]
-                return stem + ("p" if end in ("ping", "ped") else "")
+                double = end in ("ing", "ed") and len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz"
+                return stem[:-1] if double else stem
         return w
 
     def finite(self, w: str) -> bool:

@@ -56,7 +56,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = reduce.report_order(reduce.dedupe(out))
+    out = reduce.report_order(reduce.dedupe(out.persist()))  # the anti-join reads it twice
     spark = docs.sparkSession
     if answers is None:
         answers = spark.createDataFrame([], "doc_id bigint, finding_no bigint, probability double, failed boolean")
