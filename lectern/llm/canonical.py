@@ -10,8 +10,8 @@ _NOT_TEXT = r"[^\p{L}\p{M}\p{N}]|[\x{FE00}-\x{FE0F}\x{34F}]"
 
 
 def fold(c: Column) -> Column:
-    """Letters, marks and digits in one case. Upper first: that joins letters with more than one lower form (ß, ſ, ς)."""
-    return F.regexp_replace(F.lower(F.upper(c)), _NOT_TEXT, "")
+    """Letters, marks and digits in one case. Letters that share a capital with others (ß, ſ, ς) are joined too."""
+    return F.regexp_replace(F.replace(F.translate(F.lower(c), "ſς", "sσ"), F.lit("ß"), F.lit("ss")), _NOT_TEXT, "")
 
 
 def _value(v: Column) -> Column:
