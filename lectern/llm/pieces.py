@@ -104,7 +104,7 @@ def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[
     total = len(off) - 1
     while core < len(text):
         first = int(np.searchsorted(off, core))
-        start = int(off[max(0, first - overlap)]) if out else 0
+        start = min(core, int(off[max(0, first - overlap)])) if out else 0
         most = capacity if not out else room
         if total - first <= most:
             size = len(e.encode_ordinary(text[start:]))
