@@ -172,6 +172,8 @@ def _segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int
         return [[] for _ in texts]
     score, letters, words = model.score(flat)
     best = score.argmax(1)
+    if score.shape[1] < 2:
+        score = np.concatenate([score, np.full((len(score), 1), -1, np.float32)], 1)
     two = np.partition(score, -2, axis=1)[:, -2:]
     margin = np.clip(two[:, 1] - two[:, 0], 0, 1)
     best = np.where(letters > 0, best, -1)
@@ -221,6 +223,8 @@ def label_code(label: Column, names: DataFrame) -> Column:
         for k in (r["code"], r["iso3"], r["english_name"]):
             if k:
                 known[k.lower()] = r["code"]
+    if not known:
+        return F.lit(None).cast("string")
     m = F.create_map(*(F.lit(x) for kv in sorted(known.items()) for x in kv))
     low = F.lower(F.trim(label))
     return F.coalesce(F.try_element_at(m, low), F.try_element_at(m, F.regexp_extract(low, r"^([a-z]{2,3})[-_][a-z0-9]{2,8}$", 1)))
@@ -240,9 +244,11 @@ def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
     names = table(spark, sf_dir, "language_names")
     rows = table(spark, sf_dir, "corpus_records").select(label_code(F.col("language"), names).alias("code"), "text").where("code is not null and text is not null and length(text) between 20 and 2000")
     sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, sample / n))) if sizes else F.create_map()
+    if not sizes:
+        return Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
+    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, sample / n)))
     at = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    got = rows.where(at < F.element_at(share, F.col("code"))).select("code", "text").dropDuplicates().collect() if sizes else []
+    got = rows.where(at < F.element_at(share, F.col("code"))).select("code", "text").dropDuplicates().collect()
     got = sorted(got, key=lambda r: hashlib.md5(r["text"].encode("utf-8", "surrogatepass")).digest())
     texts, labels = [], []
     for r, sp in zip(got, units([r["text"] for r in got])):

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.runtime import table, written
@@ -62,8 +62,9 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """profile, source, target_share, max_repeats, own tokens, target tokens: one row for each target."""
     own = docs.groupBy("source").agg(F.sum("tokens").alias("own"))
-    total = docs.agg(F.sum("tokens").alias("total"))
-    out = targets.join(own, "source", "left").crossJoin(F.broadcast(total))  # one row
+    one = Window.partitionBy(F.lit(1))  # over one row a source, then one row a target
+    own = own.withColumn("total", F.sum("own").over(one))
+    out = targets.join(own, "source", "left").withColumn("total", F.max("total").over(one))
     return out.select("profile", "source", "target_share", "max_repeats", F.coalesce("own", F.lit(0)).alias("own"), (F.col("target_share") * F.coalesce("total", F.lit(0))).alias("target"))
 
 
