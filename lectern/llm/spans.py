@@ -180,41 +180,46 @@ class Automaton:
             shared[s] = self.length[s] if low[s] < high[s] and s else (shared[link[s]] if s else 0)
         self.shared = shared
 
-    def statistics(self, text: str) -> list[int]:
-        """At each end, the length of the longest suffix that stands in two documents."""
+    def statistics(self, text: str, least: int = 1) -> list[int]:
+        """At each end from the ``least``-th character on, the length of the longest suffix that stands in two documents."""
         nxt, length, link, shared = self.next, self.length, self.link, self.shared
         out, s, n = [], 0, 0
-        for c in text:
+        for i, c in enumerate(text, 1):
             t = nxt[s].get(c)
             while t is None and s:
                 s = link[s]
                 n = length[s]
                 t = nxt[s].get(c)
-            if t is None:
-                n = 0
-            else:
+            if t is not None:
                 s = t
                 n += 1
-            # the part of the state's longest string that was really read, or the longest shared suffix below it
-            out.append(n if shared[s] >= n else shared[s])
+            if i >= least:  # what was really read of the state's longest string, or the longest shared suffix below it
+                k = shared[s]
+                out.append(n if k >= n else k)
         return out
 
 
 def shared_spans(contexts: list[tuple[str, int, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each (text, least, greatest owner) its stretches of shared runs of at least ``length``."""
+    """For each (text, least, greatest owner) its stretches of shared runs of at least ``length``.
+
+    A text of two owners is shared as a whole; it only serves as reference for the others.
+    """
     a = Automaton()
     for t, low, high in contexts:
         a.add(t, low, high)
     a.close()
     out = []
-    for t, _, _ in contexts:
+    for t, low, high in contexts:
         spans: list[tuple[int, int]] = []
-        for i, n in enumerate(a.statistics(t)):
-            if n >= length:
-                if spans and i + 1 - n <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], i + 1 - n), i + 1)
-                else:
-                    spans.append((i + 1 - n, i + 1))
+        if low < high:
+            spans = [(0, len(t))] if len(t) >= length else []
+        else:
+            for i, n in enumerate(a.statistics(t, length), length):
+                if n >= length:
+                    if spans and i - n <= spans[-1][1]:
+                        spans[-1] = (min(spans[-1][0], i - n), i)
+                    else:
+                        spans.append((i - n, i))
         out.append(spans)
     return out
 
