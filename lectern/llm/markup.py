@@ -4,8 +4,8 @@ A text may mix HTML, Markdown, wiki text and LaTeX. ``view`` goes from the outsi
 first (what stands inside one counts only for the block's family), then comments, scripts and math,
 then elements, and last the line and inline constructs; what is recognised is blanked in place, so that a
 formula's underscore is no emphasis and an attribute's ampersand no character reference. A construct
-counts only if it is complete: a tag with a known name and its end tag (or a name that needs none), a
-paired delimiter with text between, a command with its argument. Bare addresses, prices, comparisons,
+counts only if it is complete: a tag with a known name and its end tag (or a name that needs none, or an
+attribute with a value), a paired delimiter with text between, a command with its argument. Bare addresses, prices, comparisons,
 paths, numbers in brackets and lone signs are none.
 
 ``clean`` renders the same constructs as plain text that keeps headings ("# "), list items ("- "), code
@@ -135,7 +135,7 @@ def _elements(t: str) -> tuple[list[re.Match], list[tuple[re.Match, re.Match | N
             good.append(m)
             pairs.append((m, None))
         else:
-            if name in OPTIONAL:
+            if name in OPTIONAL or "=" in m[3]:
                 good.append(m)
             stack.append(m)
     return good, pairs

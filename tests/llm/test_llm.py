@@ -72,7 +72,7 @@ def test_canonical(spark):
 
 MARKUP = [
     ("plain text with 3 < 5, $42 – $47 and C:\\new\\table [12] (x<0) A&B 7 (2 * 3) (\\* 4) #5 ~9 %", ""),
-    ("<p>one</p>", "html"), ("a<br>b", "html"), ("x &amp; y", "html"), ("<!-- c -->", "html"), ("<div>open", ""), ("List<String> x", ""), ("<notatag>x</notatag>", ""),
+    ("<p>one</p>", "html"), ("a<br>b", "html"), ("x &amp; y", "html"), ("<!-- c -->", "html"), ("<div>open", ""), ("<font color=#123456>open", "html"), ("List<String> x", ""), ("<notatag>x</notatag>", ""),
     ("# Title", "markdown"), ("Title\n=====", "markdown"), ("- item", "markdown"), ("> quote", "markdown"), ("a **b** c", "markdown"), ("a *b* c", "markdown"), ("a `b` c", "markdown"), ("[a](b.md)", "markdown"), ("x[^1]", "markdown"),
     ("| a | b |\n|---|---|\n| 1 | 2 |", "markdown"), ("---\ntitle: x\n---\ntext", "markdown"), ("~~x~~", "markdown"), ("```\n<b>x</b> [[y]] $z_1$\n```", "markdown"), ("a * b * c", ""), ("snake_case_name", ""),
     ("[[Page]]", "wiki"), ("{{tpl|a=1}}", "wiki"), ("== Head ==", "wiki"), ("'''bold'''", "wiki"), ("{|\n! a\n|}", "wiki"), ("; term\n: meaning", "wiki"), ("0 == 1, 2 == 2", ""),
