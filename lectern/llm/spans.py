@@ -3,8 +3,9 @@
 1. Winnowing. Every run of ``LENGTH`` characters (a window) picks the least of its 64-character hashes as
    its anchor; equal windows pick equal anchors. Consecutive windows with one anchor make a context:
    the text they cover. A row per anchor: its hash, document, place and the context's own 128-bit hash.
-2. Anchors of one document only are dropped (minimum and maximum document, combined on the map side). A context that
-   stands verbatim in two documents is shared as a whole.
+2. Anchors of one document only are dropped (minimum and maximum document, combined on the map side), and so are
+   those where neither half of a window around the anchor recurs. A context that stands verbatim in two documents is
+   shared as a whole.
 3. What is left - contexts of one document whose anchor has other contexts elsewhere, the edges of
    passages - goes to suffix automata: all distinct contexts of an anchor lie in one shard of bounded size, one
    generalised automaton is built per shard, every state knows the least and greatest document of its
@@ -83,7 +84,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: str, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context start, context length, context hash 1, 2) of each context."""
+    """(anchor hash, context start, context length, context hash 1, 2, left key, right key) of each context.
+
+    A window holds its anchor and, on one side of it at least, half of its other characters: the keys are hashes of the
+    anchor with that many characters before or behind it, -1 where a window has no room for them.
+    """
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     parts = []
     for at in range(0, max(1, len(cp) - length + 1), PIECE):
@@ -98,9 +103,15 @@ def anchors(text: str, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
             pick = (sliding_min(key, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))
             last = np.concatenate((first[1:] - 1, [len(pick) - 1])) + length
-            parts.append((h[pick[first]].view(np.int64), first + at, last - first, hs.of(first, last, 0).view(np.int64), hs.of(first, last, 1).view(np.int64)))
+            a, side = pick[first], (length - gram + 1) // 2
+            keys = []
+            for lo, hi in ((a - side, a + gram), (a, a + gram + side)):
+                room = (lo >= 0) & (hi <= len(piece))
+                k = hs.of(np.where(room, lo, 0), np.where(room, hi, 0), 1) >> np.uint64(33)
+                keys.append(np.where(room, k.astype(np.int64), -1))
+            parts.append((h[a].view(np.int64), first + at, last - first, hs.of(first, last, 0).view(np.int64), hs.of(first, last, 1).view(np.int64), *keys))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -232,11 +243,15 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         got = [anchors(t, length) for t in b.column(1).to_pylist()]
         n = [len(g[0]) for g in got]
         cols = [pa.array(np.concatenate([g[i] for g in got])) for i in range(5)]
-        return pa.RecordBatch.from_arrays([cols[0], b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), *cols[1:]], names=["h", "doc", "at", "len", "c1", "c2"])
+        keys = [pa.array(np.concatenate([g[i] for g in got]).astype(np.int32)) for i in (5, 6)]
+        return pa.RecordBatch.from_arrays([cols[0], b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), *cols[1:], *keys], names=["h", "doc", "at", "len", "c1", "c2", "kl", "kr"])
 
-    fp = written(arrow_map(spread(src), run, "h bigint, doc bigint, at bigint, len bigint, c1 bigint, c2 bigint"), "p5-anchors")
+    fp = written(arrow_map(spread(src), run, "h bigint, doc bigint, at bigint, len bigint, c1 bigint, c2 bigint, kl int, kr int"), "p5-anchors")
     again = fp.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    occ = written(fp.join(again, "h"), "p5-again")
+    met = written(fp.join(again, "h"), "p5-met")
+    # a phrase that recurs amid differing text: neither half of a window around it stands in another document
+    half = lambda k: met.where(F.col(k) >= 0).groupBy("h", k).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", k, F.lit(True).alias(f"{k}_again"))
+    occ = written(met.join(half("kl"), ["h", "kl"], "left").join(half("kr"), ["h", "kr"], "left").where("kl_again or kr_again").select("h", "doc", "at", "len", "c1", "c2"), "p5-again")
     ctx = occ.groupBy("h", "c1", "c2", "len").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("at", "doc").alias("at"))
     per = ctx.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("single"))
     mixed = written(ctx.join(per.where("n > 1 and single > 0"), "h"), "p5-mixed")
