@@ -163,14 +163,14 @@ TABLE = _symbol_table()
 NEXT, CUT = _machine()
 
 
-def _dot(t: str, i: int, n: int) -> bool:
-    """Whether the dot at i may end a sentence."""
+def _dot(t: str, i: int, n: int, capitals: bool = False) -> bool:
+    """Whether the dot at i may end a sentence. ``capitals``: the whole text is set in capitals."""
     nxt = t[i + 1] if i + 1 < n else ""
     prv = t[i - 1] if i else ""
     if nxt == "." or prv == ".":
         return True
     if nxt.isalnum():
-        if nxt.isdigit() or nxt.islower():
+        if nxt.isdigit() or nxt.islower() or (capitals and nxt.isupper()):
             return False
         if nxt.isupper():
             return i >= 2 and prv.isalnum() and t[i - 2].isalnum() and not (prv.isupper() and t[i - 2] in ".")
@@ -181,14 +181,12 @@ def _dot(t: str, i: int, n: int) -> bool:
     w = m[0]
     j = _NEXT.match(t, i + 1).end()
     after = t[j] if j < n else ""
-    if not after or "\n" in t[i + 1 : j]:
-        # the end of a line: only titles and initials go on
-        if not after:
-            return True
+    if not after:
+        return True
     low = w.lower().strip(".")
     if w.isdigit():
         word = re.match(r"\w*", t[j : j + 12])[0]
-        return word not in MONTHS
+        return word.capitalize() not in MONTHS
     if low in NEVER_NUM and after.isdigit():
         return False
     if low in NEVER and len(w) <= 8:
@@ -209,19 +207,18 @@ def symbols(t: str) -> np.ndarray:
     """One symbol for each code point of a text without invisible characters."""
     cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = TABLE[np.minimum(cp, 0x2FFFF)]
+    capitals = not (s == LOW).any()
     if not (s == UP).any():  # a text set in lower case throughout: its sentences start in lower case
         s[s == LOW] = UP
     n = len(t)
     i = t.find(".")
     while i >= 0:
-        if not _dot(t, i, n):
+        if not _dot(t, i, n, capitals):
             s[i] = LOW
         i = t.find(".", i + 1)
     if "://" in t or "www." in t:
         for m in _URL.finditer(t):
             s[m.start() : m.end()] = LOW
-    if "!" in t or "?" in t:
-        pass
     if QUOTE_ANY.search(t):
         for m in QUOTE_ANY.finditer(t):
             s[m.start()] = OTHER if t[m.start()] == '"' else CB
