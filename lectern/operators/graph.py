@@ -131,29 +131,20 @@ def nominal(tokens: DataFrame, keys: list[str]) -> DataFrame:
     ).where("root and not finite").select(*keys)
 
 
-# Words that make a piece a dependent clause.
-SUBORDINATE = "if unless when whenever while although though because since where wherever which who whose whom that whether until before after once as".split()
-
-
-def assertions(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, root_lemma, subject of the pieces that assert something by themselves (one verbal root, one subject before it, finite, not empty after it)."""
-    t = tokens.where("pos not in ('PUNCT', 'SPACE')")
-    w = Window.partitionBy(*keys)
-    root = F.col("dep") == "ROOT"
-    t = t.withColumn("first", F.min_by("lower", "i").over(w)).withColumn("roots", F.count(F.when(root, 1)).over(w)).withColumn("r", F.max(F.when(root, F.struct("i", "lemma", "pos", "tag"))).over(w)).withColumn("last", F.max("i").over(w))
-    t = t.where(~F.col("first").isin(*SUBORDINATE) & (F.col("roots") == 1) & F.col("r.pos").isin("VERB", "AUX"))
-    child = (F.col("head_i") == F.col("r.i")) & ~root
-    finite = ("VBD", "VBP", "VBZ", "MD")
-    subject = child & F.col("dep").isin("nsubj", "nsubjpass") & (F.col("i") < F.col("r.i"))
-    return t.groupBy(*keys).agg(
-        F.lower(F.first("r.lemma")).alias("root_lemma"), F.count(F.when(subject, 1)).alias("subjects"), F.max(F.when(subject, F.col("lower"))).alias("subject"),
-        F.bool_or(child & (F.col("dep") == "mark")).alias("marked"), F.bool_or((child | root) & F.col("tag").isin(*finite)).alias("finite"),
-        F.max("last").alias("last"), F.first("r.i").alias("root_i"),
-    ).where("subjects = 1 and finite and not marked and last > root_i").select(*keys, "root_lemma", "subject")
-
-
 def densest(hits: DataFrame, reach: int, key: str = "doc_id", position: str = "sent_no") -> DataFrame:
     """key, value, at: most hits within ``reach`` consecutive positions, and where that run starts (the earliest of equals)."""
     w = Window.partitionBy(key).orderBy(position).rangeBetween(0, reach - 1)
     n = hits.withColumn("n", F.count(F.lit(1)).over(w))
     return n.groupBy(key).agg(F.max("n").alias("value"), F.max_by(position, F.struct("n", (-F.col(position)).alias("p"))).alias("at"))
+
+
+def participles(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """Rows whose word is a past participle of some verb (lexicon: form, tag)."""
+    forms = lexicon.where("tag = 'VBN'").select(F.lower("form").alias("_f")).distinct()
+    return words.join(forms, F.lower(F.col(word)) == F.col("_f"), "left_semi")
+
+
+def grammar_rejection(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, reason: why a parsed prefix is no noun phrase - 'finite_verb', 'no_nominal_root' - or null."""
+    g = tokens.groupBy(*keys).agg(F.bool_or(F.col("tag").isin("VBD", "VBP", "VBZ", "MD")).alias("f"), F.bool_or((F.col("dep") == "ROOT") & F.col("pos").isin("NOUN", "PROPN", "PRON")).alias("n"))
+    return g.select(*keys, F.when(F.col("f"), "finite_verb").when(~F.col("n"), "no_nominal_root").alias("reason"))

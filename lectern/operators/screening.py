@@ -53,6 +53,13 @@ def flagged(json: Column) -> Column:
     return top | F.exists(F.map_values(cats), lambda v: F.coalesce(v == "true", F.lit(False)))
 
 
+def incomplete(json: Column) -> Column:
+    """A turn that was cut off, calls a tool, reasons, or ended for such a reason."""
+    marks = ("truncated", "is_truncated", "tool_calls", "function_call", "thinking", "reasoning", "reasoning_content")
+    set_ = F.exists(F.array(*(F.get_json_object(json, f"$.{k}") for k in marks)), lambda x: F.coalesce(~x.isin("", "false", "0", "[]", "{}", "null"), F.lit(False)))
+    return set_ | F.coalesce(F.get_json_object(json, "$.finish_reason").isin("length", "max_tokens", "tool_calls", "function_call"), F.lit(False))
+
+
 def overlapping(turns: DataFrame, conversation: list[str], key: str, n: int = 8) -> DataFrame:
     """Keys of assistant turns that share n words in a row with another role's turn of the same conversation."""
     g = turns.select(key, *conversation, (F.col("role") == "assistant").alias("mine"), F.explode(grams(F.coalesce("text", F.lit("")), n)).alias("gram")).withColumn("gram", F.md5("gram"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import blanked, rewrite
+from lectern.functions.text import blanked, parts, rewrite, spans
 
 # What the views hide (valid in Java and RE2 alike).
 FRONT = r"(?:\A|\n\n)---[ \t]*\n(?:[A-Za-z_][^\n]*\n|[ \t]+[^\n]*\n)*?---[ \t]*\n"
@@ -98,8 +98,6 @@ def skip_quotes(masked_: Column) -> Column:
 
 def parse(text: Column, prose_: Column) -> Column:
     """``prose`` with a name over the start of every inline code span."""
-    from lectern.functions.text import spans
-
     hidden = rewrite(rewrite(text, unix(FRONT), expose_front), unix(FENCE))
     return F.aggregate(spans(hidden, INLINE_CODE), prose_, lambda t, x: F.overlay(t, F.lit(CODE_NAME), x["s"] + 1, F.lit(3)))
 
@@ -156,7 +154,7 @@ def split_sentences(text: Column) -> Column:
 
     A boundary is turned down by its local context only, so the fold over boundaries is a filter.
     """
-    ps = parts_of(text)
+    ps = parts(text, BOUNDARY)
     bounds = F.aggregate(
         ps,
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out")),
@@ -181,12 +179,6 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), trimmed), lambda x: x["e"] > x["s"])
 
 
-def parts_of(text: Column) -> Column:
-    from lectern.functions.text import parts
-
-    return parts(text, BOUNDARY)
-
-
 def sentences(views: DataFrame, block_rows: DataFrame, kinds: tuple[str, ...] = TEXT_KINDS, key: str = "doc_id") -> DataFrame:
     """key, block_id, kind, sent_no, span_start, span_end, sentence of the blocks of these kinds."""
     rows = block_rows.where(F.col("kind").isin(*kinds)).join(views.select(key, "prose"), key)
@@ -205,3 +197,10 @@ def line_and_column(text: Column, offset: Column) -> Column:
     return F.struct((F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line"), (last + 1).cast("bigint").alias("col"))
 
 
+def prose_with_code(text: Column, prose_: Column, start: Column, end: Column) -> Column:
+    """The slice of ``prose`` with the inline code spans that lie wholly inside it put back."""
+    hidden = rewrite(rewrite(text, unix(FRONT), expose_front), unix(FENCE))
+    whole = F.aggregate(
+        F.filter(spans(hidden, INLINE_CODE), lambda x: (x["s"] >= start) & (x["e"] <= end)), prose_, lambda t, x: F.overlay(t, F.substring(text, x["s"] + 1, x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"])
+    )
+    return F.substring(whole, start.cast("int") + 1, (end - start).cast("int"))

@@ -37,3 +37,14 @@ def conversation_turns(rows: DataFrame, conversation: str = "conversation", side
     """One row a turn of an array of (role, content, ...): turn_index from 0, role, text."""
     out = rows.select(*(c for c in rows.columns if c != conversation), F.posexplode(conversation).alias("turn_index", "t"))
     return out.withColumns({"role": F.col("t.role"), "text": F.col("t.content"), "side": F.lit(side)}).drop("t")
+
+
+TRAJECTORY_DDL = "type string, message struct<role:string,content:array<struct<type:string,text:string,name:string,input:struct<content:string,new_string:string,file_path:string>>>>"
+
+
+def trajectory_texts(lines: DataFrame) -> DataFrame:
+    """source_path, line_no, block_no, kind ('text' or the writing tool), file_path, text: what an agent wrote, by content block."""
+    x = lines.select("source_path", "line_no", F.from_json("value", TRAJECTORY_DDL).alias("j")).where("j.message.role = 'assistant'")
+    b = x.select("source_path", "line_no", F.posexplode("j.message.content").alias("block_no", "b"))
+    text = F.when(F.col("b.type") == "text", F.col("b.text")).when((F.col("b.type") == "tool_use") & F.col("b.name").isin("Write", "Edit"), F.coalesce("b.input.content", "b.input.new_string"))
+    return b.select("source_path", "line_no", "block_no", F.when(F.col("b.type") == "text", "text").otherwise(F.lower("b.name")).alias("kind"), F.col("b.input.file_path").alias("file_path"), text.alias("text")).where("text is not null")
