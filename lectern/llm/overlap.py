@@ -151,9 +151,9 @@ def near_pairs(cases: DataFrame, key: str = "id", text: str = "text", split: str
         "p1-reps",
     )
     close = candidate_pairs(reps)
-    limit = F.floor(F.greatest(F.length("na"), F.length("nb")) / EDIT_SHARE).cast("int")
-    dist = F.expr("levenshtein(na, nb)")
-    found = close.withColumn("distance", dist).where(F.col("distance") <= limit).select("a", "b", "distance", "cosine")
+    # the banded distance gives -1 beyond the limit
+    limit = f"cast(floor(greatest(length(na), length(nb)) / {EDIT_SHARE}) as int)"
+    found = close.withColumn("distance", F.expr(f"levenshtein(na, nb, {limit})")).where("distance >= 0").select("a", "b", "distance", "cosine")
     same = reps.where("tr and ev").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(0).alias("distance"), F.lit(1.0).alias("cosine"))
     members = rows.join(reps.select("norm", "rid"), "norm").select("rid", "key", "split")
     return found.unionByName(same), members

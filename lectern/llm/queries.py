@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.runtime import table
+from lectern.llm import oracle
 from lectern.llm.copies import p4_found, p4_records
 from lectern.llm.language import p6_found, p6_segments
 from lectern.llm.markup import p2_clean, p2_found
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": oracle.P4_FOUND, "p4_records": oracle.P4_RECORDS, "p5_found": oracle.P5_FOUND, "p5_shares": oracle.P5_SHARES}
