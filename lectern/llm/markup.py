@@ -481,20 +481,26 @@ def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     return counts.join(pages, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
 
 
-def cleaned(pages: DataFrame) -> DataFrame:
-    """origin, rec_id, families, clean, dropped (number of template subtrees left out)."""
+def cleaned(pages: DataFrame, small: int = 50_000) -> DataFrame:
+    """origin, rec_id, families, clean, dropped (number of template subtrees left out).
+
+    The pages to change meet their texts in a join; if they are at most ``small`` they are broadcast, and no
+    text is shuffled.
+    """
     found = written(recognised(pages), "p2-found")
     templates = site_templates(found)
-    # pages that hold a template subtree: few rows, each with the hashes to drop
     drops = found.select("origin", "rec_id", "host", F.explode("subtrees").alias("hash")).join(templates, ["host", "hash"]).groupBy("origin", "rec_id").agg(F.collect_set("hash").alias("drop"))
-    rows = pages.join(found.select("origin", "rec_id", "families"), ["origin", "rec_id"]).join(drops, ["origin", "rec_id"], "left")
+    drops = written(drops, "p2-drops")
+    rows = pages.join(F.broadcast(drops) if drops.count() <= small else drops, ["origin", "rec_id"], "left")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [clean(t, frozenset(d or ())) for t, d in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-        n = [len(d or ()) for d in b.column(4).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["origin", "rec_id", "families", "clean", "dropped"])
+        ts, ds = b.column(2).to_pylist(), b.column(3).to_pylist()
+        bits = [families(t) for t in ts]
+        out = [clean(t, frozenset(d or ())) for t, d in zip(ts, ds)]
+        n = [len(d or ()) for d in ds]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.int32()), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["origin", "rec_id", "families", "clean", "dropped"])
 
-    return arrow_map(rows.select("origin", "rec_id", "families", "text", "drop"), run, "origin string, rec_id bigint, families int, clean string, dropped int")
+    return arrow_map(rows.select("origin", "rec_id", "text", "drop"), run, "origin string, rec_id bigint, families int, clean string, dropped int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
