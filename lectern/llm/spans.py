@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.runtime import arrow_map, spread, table, written
@@ -32,7 +32,7 @@ from lectern.functions.runtime import arrow_map, spread, table, written
 LENGTH = 200
 GRAM = 64
 SHARD_CHARS = 100_000
-MAX_CONTEXTS = 2_000
+MAX_CONTEXTS = 500
 #: Characters of a text handled at a time; pieces overlap by a window.
 PIECE = 1 << 22
 _P1, _P2 = 0x100000001B3, 0xD6E8FEB86659FD93
@@ -298,20 +298,12 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     inner = edge.unionByName(rest)
     whole = ctx.where("lo < hi").select("h", "c1", "c2", "len", F.lit(0).cast("bigint").alias("s"), F.col("len").alias("e"))
     spans = occ.join(inner.unionByName(whole), ["h", "c1", "c2", "len"]).select("doc", F.struct((F.col("at") + F.col("s")).alias("a"), (F.col("at") + F.col("e")).alias("b")).alias("x"))
-    merged = spans.groupBy("doc").agg(F.array_sort(F.collect_set("x")).alias("xs")).select(
-        "doc",
-        F.explode(
-            F.aggregate(
-                "xs",
-                F.array().cast("array<struct<a:bigint,b:bigint>>"),
-                lambda acc, x: F.when(
-                    (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]),
-                    F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["b"]).alias("b")))),
-                ).otherwise(F.concat(acc, F.array(x))),
-            )
-        ).alias("m"),
-    )
-    return merged.select(F.col("doc").alias("doc_id"), F.col("m.a").alias("span_start"), F.col("m.b").alias("span_end"))
+    # overlapping or touching spans of a document: a running maximum, then one group a stretch
+    flat = spans.select("doc", "x.a", "x.b").distinct()
+    by = Window.partitionBy("doc").orderBy("a", "b")
+    reach = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = flat.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "run").agg(F.min("a").alias("span_start"), F.max("b").alias("span_end")).select(F.col("doc").alias("doc_id"), "span_start", "span_end")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
