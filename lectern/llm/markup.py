@@ -487,6 +487,7 @@ def cleaned(pages: DataFrame, small: int = 50_000) -> DataFrame:
     The pages to change meet their texts in a join; if they are at most ``small`` they are broadcast, and no
     text is shuffled.
     """
+    pages = pages.select("origin", "rec_id", "host", "text")
     found = written(recognised(pages), "p2-found")
     templates = site_templates(found)
     drops = found.select("origin", "rec_id", "host", F.explode("subtrees").alias("hash")).join(templates, ["host", "hash"]).groupBy("origin", "rec_id").agg(F.collect_set("hash").alias("drop"))

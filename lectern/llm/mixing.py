@@ -61,6 +61,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """profile, source, target_share, max_repeats, own tokens, target tokens: one row for each target."""
+    targets = targets.select("profile", "source", "target_share", "max_repeats")
     own = docs.groupBy("source").agg(F.sum("tokens").alias("own"))
     one = Window.partitionBy(F.lit(1))  # over one row a source, then one row a target
     own = own.withColumn("total", F.sum("own").over(one))
@@ -75,6 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replicated(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """profile, source, doc_id, tokens, copies (0 is left out)."""
+    docs = docs.select("doc_id", "source", "tokens")
     rows = rates(docs, targets).collect()  # as many rows as the fixed table of targets
     table_ = [(r["profile"], r["source"], inversion(r["target"] / r["own"] if r["own"] else 0.0, int(r["max_repeats"]))) for r in rows]
     cdf = docs.sparkSession.createDataFrame(table_, "profile string, source string, steps array<double>")

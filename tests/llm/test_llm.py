@@ -293,6 +293,18 @@ def test_offsets():
     assert tokens.count(None) == 0 and tokens.count("a " * 300_000) == sum(tokens.count(s) for s in tokens.stretches("a " * 300_000))
 
 
+def test_extra_columns_do_not_clash(spark):
+    d = spark.createDataFrame([("documents", 1, "h", "<p>x</p>", 9, "y")], "origin string, rec_id bigint, host string, text string, families int, drop string")
+    assert markup.cleaned(d).first().clean == "x"
+    t = spark.createDataFrame([("p", "a", 1.0, 2, 5)], "profile string, source string, target_share double, max_repeats bigint, total int")
+    x = spark.createDataFrame([(1, "a", 10, 3, "z")], "doc_id bigint, source string, tokens bigint, copies int, steps string")
+    assert mixing.replicated(x, t).count() <= 1
+    s = spark.createDataFrame([(1, "a" * 300, 0), (2, "a" * 300, 0)], "doc_id bigint, text string, span_start int")
+    assert spans.spans_of(s).count() == 2
+    p = spark.createDataFrame([(1, 0, 0, 5, 5, "q")], "doc_id bigint, piece int, span_start bigint, span_end bigint, tokens bigint, g string")
+    assert packing.packed(p, 8).count() == 1
+
+
 def test_registered_names():
     names = list(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"p{k}" for k in range(1, 10)} and set(queries.oracle_sql()) <= set(names)
