@@ -111,6 +111,6 @@ def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") ->
     """All findings of the regex rules. ``views`` has key, text, masked, prose."""
     regex = [r for r in rules if r.category in ("phrase", "template", "punct")]
     line_rows = V.lines(views, key)
-    block_rows = V.blocks(line_rows, key)
-    sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key)
+    block_rows = V.blocks(line_rows, key).persist()  # read by both gates and the sentences
+    sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key).persist()
     return gated(raw_matches(views, regex, key).unionByName(anchored_matches(sents, views, regex, key)), views, block_rows, sents, regex, key)

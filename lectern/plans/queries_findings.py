@@ -57,7 +57,7 @@ def _gated_sql(category: str) -> str:
 def _gated(category: str):
     def run(spark, d):
         rules = _relational(category)
-        return regex_rules.regex_findings(views(spark, d), rules).select("doc_id", "rule_id", "span_start", "span_end")
+        return regex_rules.regex_findings(views(spark, d).persist(), rules).select("doc_id", "rule_id", "span_start", "span_end")
 
     run.__name__ = f"{category}_findings"
     return run
@@ -70,7 +70,7 @@ for _c in ("phrase", "template", "punct"):
 @query()
 def regex_findings(spark, d):
     """All regex rules, those included whose patterns RE2 cannot state."""
-    return regex_rules.regex_findings(views(spark, d), RULES).select("doc_id", "rule_id", "severity", "span_start", "span_end")
+    return regex_rules.regex_findings(views(spark, d).persist(), RULES).select("doc_id", "rule_id", "severity", "span_start", "span_end")
 
 
 @query()
@@ -255,8 +255,8 @@ _NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spa
     SELECT doc_id, finding_no, block_id, (row_number() OVER (PARTITION BY doc_id, block_id ORDER BY finding_no) - 1) // 6 AS batch_no, context_start, context_end FROM a"""
 )
 def judgment_batches(spark, d):
-    v = views(spark, d)
-    b = V.blocks(V.lines(v))
+    v = views(spark, d).persist()
+    b = V.blocks(V.lines(v)).persist()
     f = reduce.report_order(seeded(v)).where("rank < 2")
     return judgments.batches(f, b, V.sentences(v, b))
 
