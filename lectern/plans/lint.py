@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.runtime import spread
+from lectern.functions.runtime import spread, written
 from lectern.functions.text import WORD
 from lectern.operators import graph, judgments, metrics, reduce, regex_rules, scanner
 from lectern.operators import views as V
@@ -56,7 +56,8 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = reduce.report_order(reduce.dedupe(out.persist()))  # the anti-join reads it twice
+    # written once: the anti-join reads the findings twice, and the branches' many small partitions are coalesced
+    out = reduce.report_order(reduce.dedupe(written(out, "lint")))
     spark = docs.sparkSession
     if answers is None:
         answers = spark.createDataFrame([], "doc_id bigint, finding_no bigint, probability double, failed boolean")
