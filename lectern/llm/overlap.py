@@ -1,19 +1,20 @@
-"""Same or near-same texts across splits by a weighted cosine join.
+"""Same or near-same texts across splits: every pair within an edit distance of a fifth of the longer text.
 
 Texts are folded (case, punctuation, blanks set aside) and collapsed to one representative per distinct
-fold. A representative is a unit vector over its distinct runs of ``Q`` characters, weighted by inverse
-document frequency. Frequencies come from a sketch of fixed size (2**20 counters, 4 MB broadcast), the
-terms themselves are 64-bit hashes.
-
-Terms have one global order, rarest first. ``s`` of a term in a vector is the norm of the vector from
-that term on; a pair's common terms from one on can add at most s_x * s_y to its product. So a posting
-is written only while s >= PROBE, and two postings meet only if s_x * s_y >= PROBE and the lengths fit;
-all common terms left out then add less than PROBE, and also at most what is left behind the last one
-that met. Pairs whose partial product plus that bound stays under COSINE are dropped, the others get
-their exact product, and last the exact edit distance (a fifth of the longer text at most).
-
-Postings are bounded by the text; a term of many texts has little weight and falls behind the cut.
-Copies are expanded only at the end, as the found pairs require.
+fold. A representative is a vector over its runs of ``Q`` characters, each numbered by occurrence, so the
+product of two vectors is the number of runs they share.
+
+One edit touches at most Q runs. So two texts within distance k, the longer of n characters, share at
+least n - Q + 1 - k * Q runs (with k = n // 5 and Q = 3 about 0.4 n): a bound on the cosine that no pair
+within the distance can miss, wherever its edits are. Weights by document frequency have no such bound,
+as the edits may hit the heavy terms.
+
+The products come from inverted lists, in blocks of texts of like length: a text meets the blocks whose
+lengths may fit, so a block fits the memory of a task at any size of the table. Pairs that reach their
+bound get the exact edit distance. Where the bound is nil, all pairs whose lengths fit get it.
+
+Work grows with the number of pairs whose lengths fit. Copies are expanded only at the end, as the found
+pairs require.
 """
 
 from __future__ import annotations
@@ -23,119 +24,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.runtime import arrow_map, spread, table, written
+from lectern.functions.runtime import spread, table, written
 from lectern.llm.canonical import fold, source_name, split_name
 
-Q = 8
-COSINE, PROBE = 0.45, 0.38
-SKETCH_BITS = 20
+Q = 3
 EDIT_SHARE = 5
+#: Texts and characters of a block.
+BLOCK, BLOCK_CHARS = 2000, 1_000_000
+#: Lengths of a band differ by less than this factor; lengths that fit (a factor of 1.25) are at most REACH bands apart.
+BAND, REACH = 1.1, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(text: str, q: int = Q) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of q code points; a shorter text is one run."""
+    """64-bit hashes of the runs of q code points, each with its number among equal runs; sorted by run."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(cp) - q + 1
-    if n < 1:
-        cp = np.concatenate([cp, np.full(q - len(cp), 1, np.uint64)])
-        n = 1
+    n = max(0, len(cp) - q + 1)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(q):
             h = (h ^ cp[i : i + n]) * _P
             h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def document_frequencies(reps: DataFrame) -> tuple[np.ndarray, int]:
-    """Sketched counts of texts by term bucket, and the number of texts. At most 2**20 numbers reach the driver."""
-
-    def run(batches):
-        total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                np.add.at(total, _bucket(gram_hashes(t)), 1)
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], names=["b", "n"])
-
-    got = reps.select("norm").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    b, n = got["b"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(1 << SKETCH_BITS, np.int32)
-    out[b[b >= 0]] = np.minimum(n[b >= 0], 2**31 - 1)
-    return out, int(n[b < 0].sum())
-
-
-def vector(text: str, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of a unit vector, rarest first."""
-    h = gram_hashes(text)
-    d = df[_bucket(h)]
-    o = np.lexsort((h, d))
-    w = np.log1p(n / np.maximum(d[o], 1))
-    return h[o], w / np.sqrt((w * w).sum())
-
-
-def candidate_pairs(reps: DataFrame, cosine: float = COSINE, probe: float = PROBE) -> DataFrame:
-    """a, b (numbers of representatives with a train and another member) and their exact cosine, at least ``cosine``."""
-    spark = reps.sparkSession
-    df, n = document_frequencies(reps)
-    shared = spark.sparkContext.broadcast(df)
-
-    def postings(b: pa.RecordBatch) -> pa.RecordBatch:
-        d = shared.value
-        hs, ws, ss, rest, k = [], [], [], [], []
-        for t in b.column(1).to_pylist():
-            h, w = vector(t, d, n)
-            s = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-            m = int((s >= probe).sum())
-            hs.append(h[:m])
-            ws.append(w[:m])
-            ss.append(s[:m])
-            rest.append(np.append(s[1:], 0.0)[:m])
-            k.append(m)
-        take = pa.array(np.repeat(np.arange(b.num_rows), k))
-        num = [pa.array(np.concatenate(x).astype(np.float32)) for x in (ws, ss, rest)]
-        cols = [pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), *num]
-        return pa.RecordBatch.from_arrays(cols, names=["term", "rid", "len", "tr", "ev", "w", "s", "rest"])
-
-    post = written(arrow_map(reps.select("rid", "norm", "len", "tr", "ev"), postings, "term bigint, rid bigint, len int, tr boolean, ev boolean, w float, s float, rest float"), "p1-post")
-    x, y = post.where("tr").alias("x"), post.where("ev").alias("y")
-    met = (
-        x.join(
-            y,
-            (F.col("x.term") == F.col("y.term"))
-            & (F.col("x.s") * F.col("y.s") >= probe)
-            & (F.abs(F.col("x.len") - F.col("y.len")) * EDIT_SHARE <= F.greatest("x.len", "y.len"))
-            & (F.col("x.rid") != F.col("y.rid")),
-        )
-        .groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-        .agg(F.sum(F.col("x.w").cast("double") * F.col("y.w")).alias("part"), F.min(F.col("x.rest") * F.col("y.rest")).alias("rest"))
-        .where(F.col("part") + F.least(F.col("rest").cast("double"), F.lit(probe)) >= cosine)
-        .select("a", "b")
-    )
-    texts = reps.select("rid", "norm")
-    both = met.join(texts.toDF("a", "na"), "a").join(texts.toDF("b", "nb"), "b")
-
-    def exact(t: pa.RecordBatch) -> pa.RecordBatch:
-        d = shared.value
-        dots, kept = [], {}
-        for p, q in zip(t.column("na").to_pylist(), t.column("nb").to_pylist()):
-            if len(kept) > 2000:
-                kept.clear()
-            for v in (p, q):
-                if v not in kept:
-                    kept[v] = vector(v, d, n)
-            (hp, wp), (hq, wq) = kept[p], kept[q]
-            _, i, j = np.intersect1d(hp, hq, assume_unique=True, return_indices=True)
-            dots.append(float(wp[i] @ wq[j]))
-        return pa.RecordBatch.from_arrays([*(t.column(c) for c in ("a", "b", "na", "nb")), pa.array(dots)], names=["a", "b", "na", "nb", "cosine"])
-
-    return arrow_map(both.select("a", "b", "na", "nb"), exact, "a bigint, b bigint, na string, nb string, cosine double").where(F.col("cosine") >= cosine)
+        h.sort()
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if n else np.zeros(0, np.int64)
+        h += (np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def least_shared(longer: np.ndarray, q: int = Q) -> np.ndarray:
+    """Runs that two texts within a fifth of the longer one's length share at least."""
+    return longer - q + 1 - longer // EDIT_SHARE * q
+
+
+def block_pairs(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, shared runs) of the pairs of xs and ys whose lengths fit and that share as many runs as they must."""
+    lists = [gram_hashes(y) for y in ys]
+    terms = np.concatenate(lists)
+    order = np.argsort(terms, kind="stable")
+    owner = np.repeat(np.arange(len(ys)), [len(g) for g in lists])[order]
+    terms, start = np.unique(terms[order], return_index=True)
+    start = np.append(start, len(owner))
+    size = np.array([len(y) for y in ys])
+    found = []
+    for i, x in enumerate(xs):
+        g = gram_hashes(x)
+        at = np.searchsorted(terms, g)
+        at = at[at < len(terms)][terms[at[at < len(terms)]] == g[at < len(terms)]]
+        lo, n = start[at], start[at + 1] - start[at]
+        posts = owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        shared = np.bincount(posts, minlength=len(ys))
+        longer = np.maximum(size, len(x))
+        j = np.flatnonzero((np.abs(size - len(x)) * EDIT_SHARE <= longer) & (shared >= least_shared(longer)))
+        found.append((np.full(len(j), i), j, shared[j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """a, b (numbers of representatives with a train and another member), their texts na, nb and cosine: all pairs that may be within the distance."""
+    band = F.floor(F.log(F.col("len").cast("double")) / float(np.log(BAND))).cast("int")
+    rows = reps.select("rid", "norm", "tr", "ev", band.alias("band"))
+    room = F.least(F.lit(BLOCK), F.greatest(F.lit(1), (F.lit(BLOCK_CHARS) / F.pow(F.lit(BAND), F.col("band") + 1)).cast("int")))
+    # a row for each band, of which there are as many as the logarithm of the longest length
+    sizes = rows.groupBy("band").agg(F.count(F.when(F.col("tr"), 1)).alias("t"), F.count(F.when(F.col("ev"), 1)).alias("e"))
+    sizes = sizes.select("band", F.ceil(F.col("t") / room).cast("int").alias("t"), F.ceil(F.col("e") / room).cast("int").alias("e"))
+    x, y = sizes.where("t > 0").select(F.col("band").alias("xband"), "t"), sizes.where("e > 0").select(F.col("band").alias("yband"), "e")
+    bands = written(x.crossJoin(y).where(F.abs(F.col("xband") - F.col("yband")) <= REACH), "p1-bands")
+
+    def side(which: str, own: str, parts: str, others: str, block: str, other: str) -> DataFrame:
+        got = rows.where(which).join(F.broadcast(bands), F.col("band") == F.col(own))
+        got = got.withColumn(block, F.pmod(F.xxhash64("norm"), F.col(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return got.select(*key, "rid", "norm").toDF(*key, "rid", "norm")  # fresh columns: both sides come from one table
+
+    key = ["xband", "yband", "xblock", "yblock"]
+    left, right = side("tr", "xband", "t", "e", "xblock", "yblock"), side("ev", "yband", "e", "t", "yblock", "xblock")
+
+    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
+        if not (p.num_rows and q.num_rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "na": pa.array([], pa.string()), "nb": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+        xs, ys = p["norm"].to_pylist(), q["norm"].to_pylist()
+        i, j, n = block_pairs(xs, ys)
+        other = p["rid"].to_numpy()[i] != q["rid"].to_numpy()[j]
+        i, j, n = i[other], j[other], n[other]
+        runs = np.sqrt([max(1, len(t) - Q + 1) for t in xs])[i] * np.sqrt([max(1, len(t) - Q + 1) for t in ys])[j]
+        i, j = pa.array(i), pa.array(j)
+        return pa.table({"a": p["rid"].take(i), "b": q["rid"].take(j), "na": p["norm"].take(i), "nb": q["norm"].take(j), "cosine": pa.array(n / runs, pa.float64())})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "a bigint, b bigint, na string, nb string, cosine double")
 
 
 def near_pairs(cases: DataFrame, key: str = "id", text: str = "text", split: str = "split") -> tuple[DataFrame, DataFrame]:
@@ -153,7 +127,7 @@ def near_pairs(cases: DataFrame, key: str = "id", text: str = "text", split: str
     close = candidate_pairs(reps)
     # the banded distance gives -1 beyond the limit
     limit = f"cast(floor(greatest(length(na), length(nb)) / {EDIT_SHARE}) as int)"
-    found = close.withColumn("distance", F.expr(f"levenshtein(na, nb, {limit})")).where("distance >= 0").select("a", "b", "distance", "cosine")
+    found = written(close.withColumn("distance", F.expr(f"levenshtein(na, nb, {limit})")).where("distance >= 0").select("a", "b", "distance", "cosine"), "p1-pairs")
     same = reps.where("tr and ev").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(0).alias("distance"), F.lit(1.0).alias("cosine"))
     members = rows.join(reps.select("norm", "rid"), "norm").select("rid", "key", "split")
     return found.unionByName(same), members

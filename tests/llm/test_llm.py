@@ -58,6 +58,29 @@ def test_p1_against_brute_force(spark, tmp_path):
     assert total == sum(1 for r in rows if r[3] and r[3].strip().lower() != "train" and norm(r[1]))
 
 
+def test_p1_scattered_edits(spark, tmp_path):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, want = [], set()
+    for i in range(120):
+        n = (15, 5, 9, 40, 300, 640)[i % 6]
+        t = [rnd.choice(letters) for _ in range(n)]
+        u, k = list(t), max(1, n * (8, 10, 12, 15, 18, 20)[i // 6 % 6] // 100)
+        for at in [n // 2] if k == 1 else sorted(rnd.sample(range(n), k), reverse=True):
+            kind = rnd.choice("srdi") if n > 15 else "s"
+            u[at : at + 1] = [] if kind == "d" else [u[at], "7"] if kind == "i" else ["7"]
+        rows += [(f"t{i:03d}", "".join(t), None, "train", "x"), (f"u{i:03d}", "".join(u), None, "dev", "x")]
+        if distance("".join(t), "".join(u)) * 5 <= max(n, len(u)):
+            want.add((f"t{i:03d}", f"u{i:03d}"))
+    assert len(want) > 100
+    save(spark, tmp_path, "cases", rows, CASES)
+    got = {(r.id_a, r.id_b) for r in overlap.p1_found(spark, str(tmp_path)).collect()}
+    assert want <= got
+    for a, b in got - want:
+        x, y = rows[int(a[1:]) * 2][1], rows[int(b[1:]) * 2 + 1][1]
+        assert distance(x, y) * 5 <= max(len(x), len(y))
+
+
 def test_canonical(spark):
     d = spark.createDataFrame([("Große  SORGFALT!", "GROSSE sorg\u00adfalt"), ("5.5", "5 5"), ("a\u200bb", "AB")], "a string, b string")
     assert all(r[0] == r[1] for r in d.select(fold(F.col("a")), fold(F.col("b"))).collect())
