@@ -12,8 +12,9 @@ paths, numbers in brackets and lone signs are none.
 blocks (fenced by three back-ticks), tables (cells by tabs) and formulas (between dollar signs).
 
 Site templates: every block element is a subtree with a hash of its names and folded text. Spark counts
-on how many pages of a host each hash stands; subtrees on at least ``MIN_PAGES`` pages and
-``MIN_SHARE`` of the host's pages are deleted before the text is rendered. Hashes meet pages by a join on
+on how many pages of a host each hash stands; subtrees on at least ``MIN_PAGES`` pages are deleted before
+the text is rendered. It is no share of the host: pages that are added, with HTML or without, never bring a
+template back. Hashes meet pages by a join on
 (host, hash) after pre-aggregation, so a footer on every page costs one counter per task.
 
 Null texts count as empty: no family, clean text ''.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from lectern.functions.runtime import arrow_map, spread, table, written
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
-MIN_PAGES, MIN_SHARE = 10, 0.02
+MIN_PAGES = 10
 
 # HTML element names.
 NAMES = frozenset(
@@ -474,11 +475,10 @@ def recognised(pages: DataFrame) -> DataFrame:
     return arrow_map(pages.select("origin", "rec_id", "host", "text"), run, "origin string, rec_id bigint, host string, families int, subtrees array<bigint>")
 
 
-def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, hash of the subtrees that recur on a host's pages."""
-    pages = found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(pages, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    counts = found.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def cleaned(pages: DataFrame, small: int = 50_000) -> DataFrame:

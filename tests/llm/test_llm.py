@@ -129,6 +129,13 @@ def test_site_templates(spark):
     assert markup.cleaned(d.limit(0)).count() == 0
 
 
+def test_site_templates_do_not_depend_on_the_size_of_the_host(spark):
+    foot = "<div><p>Footer of the site</p></div>"
+    rows = [("documents", i, "h1", f"<p>page {i}</p>{foot}") for i in range(12)] + [("documents", i, "h1", f"<p>other {i}</p>" if i % 2 else "no HTML") for i in range(100, 1100)]
+    d = spark.createDataFrame(rows, "origin string, rec_id bigint, host string, text string")
+    assert {(r.clean, r.dropped) for r in markup.cleaned(d).where("rec_id = 3").collect()} == {("page 3", 2)}
+
+
 SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("Dr. Who met Mr. X at 5.30 p.m. in Oslo. Then he left.", ["Dr. Who met Mr. X at 5.30 p.m. in Oslo.", "Then he left."]),
     ("# Head #\ntext goes\non here.Next one", ["Head", "text goes\non here.", "Next one"]), ("- a b\n- c d\n\nend", ["a b", "c d", "end"]), ('"Stop it!" said Ann. Bob left.', ['"Stop it!" said Ann.', "Bob left."]),
