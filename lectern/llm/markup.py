@@ -49,6 +49,11 @@ NAMES = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont frame".split())
 OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup body html head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+# The open elements that a start tag ends.
+ENDS = {n: frozenset(("p",)) for n in BLOCK} | {
+    "li": frozenset(("li", "p")), **dict.fromkeys(("dt", "dd"), frozenset(("dt", "dd", "p"))), **dict.fromkeys(("td", "th"), frozenset(("td", "th", "p"))), "tr": frozenset(("tr", "td", "th", "p", "colgroup")),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), frozenset(("thead", "tbody", "tfoot", "tr", "td", "th", "p", "colgroup"))), **dict.fromkeys(("option", "optgroup"), frozenset(("option",))), "body": frozenset(("head",)),
+}
 # Element names of wiki text.
 WIKI_NAMES = frozenset("ref references nowiki gallery syntaxhighlight poem noinclude includeonly onlyinclude".split())
 
@@ -117,28 +122,50 @@ def _spans(rx: re.Pattern, t: str) -> list[tuple[int, int]]:
     return [m.span() for m in rx.finditer(t)]
 
 
-def _elements(t: str) -> tuple[list[re.Match], list[tuple[re.Match, re.Match | None]]]:
-    """Tags of complete elements, and the elements (start, end tag)."""
-    stack: list[re.Match] = []
+def _elements(t: str) -> tuple[list[re.Match], list[tuple[re.Match, int, int]]]:
+    """Tags of complete elements, and the elements that are not void: start tag, end of the content, end.
+
+    An element whose end tag may be left out ends where a sibling or its parent ends it.
+    """
+    stack: list[tuple[str, re.Match]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by name
+    implied: dict[str, int] = {}
     good, pairs = [], []
+
+    def close(down_to: int, at: int) -> None:
+        while len(stack) > down_to:
+            n, start = stack.pop()
+            opened[n].pop()
+            if n in OPTIONAL:
+                implied[n] = implied.get(n, 0) + 1
+                pairs.append((start, at, at))
+
     for m in TAG.finditer(t):
         name = m[2].lower()
         if name not in NAMES:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                if stack[i][2].lower() == name:
-                    pairs.append((stack[i], m))
-                    good += (stack[i], m)
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                i = opened[name][-1]
+                close(i + 1, m.start())
+                start = stack.pop()[1]
+                opened[name].pop()
+                pairs.append((start, m.start(), m.end()))
+                good += (start, m)
+            elif implied.get(name):  # the end tag of one that has been ended
+                implied[name] -= 1
+                good.append(m)
         elif m[4] or name in VOID:
             good.append(m)
-            pairs.append((m, None))
         else:
+            ends = ENDS.get(name, ())
+            while stack and stack[-1][0] in ends:
+                close(len(stack) - 1, m.start())
             if name in OPTIONAL or "=" in m[3]:
                 good.append(m)
-            stack.append(m)
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, m))
+    close(0, len(t))
     return good, pairs
 
 
@@ -274,14 +301,14 @@ def subtrees(text: str | None) -> list[tuple[int, int, int]]:
     if not text or "<" not in text:
         return []
     out = []
-    for a, b in _elements(_blank(text, _spans(COMMENT, text)))[1]:
-        if b is None or a[2].lower() not in BLOCK:
+    for a, inner, end in _elements(_blank(text, _spans(COMMENT, text)))[1]:
+        if a[2].lower() not in BLOCK:
             continue
-        body = text[a.end() : b.start()]
+        body = text[a.end() : inner]
         shown = " ".join(TAG.sub("", body).lower().split())
         if shown:
             shape = a[2].lower() + "|" + ",".join(m[2].lower() for m in TAG.finditer(body)) + "|" + shown
-            out.append((a.start(), b.end(), int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)))
+            out.append((a.start(), end, int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)))
     return out
 
 

@@ -136,6 +136,19 @@ def test_site_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert {(r.clean, r.dropped) for r in markup.cleaned(d).where("rec_id = 3").collect()} == {("page 3", 2)}
 
 
+@pytest.mark.parametrize("n", [3, 59, 60, 5000])
+def test_elements_without_end_tags(n):
+    for head, item, foot in (("<ul>", "<li>item {}", "</ul>"), ("<table>", "<tr><td>item {}<td>x", "</table>"), ("<div>", "<p>item {}", "</div>"), ("<dl>", "<dt>item {}<dd>x", "</dl>")):
+        text = head + "".join(item.format(i) for i in range(n)) + foot
+        shown = markup.clean(text)
+        assert "<" not in shown and all(f"item {i}" in shown for i in range(n))
+        got = markup.subtrees(text)
+        assert any((a, b) == (0, len(text)) for a, b, _ in got)
+        if "dt" not in item:  # each item is a subtree, up to the next one
+            assert (len(head), len(head) + len(item.format(0))) in {(a, b) for a, b, _ in got}
+    assert markup.clean("<p>a<div>b</div></p>c<ul><li>d<ul><li>e</ul><li>f</ul>").split() == ["a", "b", "c", "-", "d", "-", "e", "-", "f"]
+
+
 SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("Dr. Who met Mr. X at 5.30 p.m. in Oslo. Then he left.", ["Dr. Who met Mr. X at 5.30 p.m. in Oslo.", "Then he left."]),
     ("# Head #\ntext goes\non here.Next one", ["Head", "text goes\non here.", "Next one"]), ("- a b\n- c d\n\nend", ["a b", "c d", "end"]), ('"Stop it!" said Ann. Bob left.', ['"Stop it!" said Ann.', "Bob left."]),
