@@ -532,7 +532,7 @@ def cleaned(pages: DataFrame, small: int = 50_000) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = recognised(texts(spark, sf_dir)).where("families > 0")
+    got = cleaned(texts(spark, sf_dir)).where("families > 0")
     names = F.filter(F.array(*(F.when(F.col("families").bitwiseAND(1 << i) > 0, F.lit(f)) for i, f in enumerate(FAMILIES))), lambda x: x.isNotNull())
     return got.select("origin", "rec_id", F.explode(names).alias("markup"))
 

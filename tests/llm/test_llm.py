@@ -149,6 +149,14 @@ def test_elements_without_end_tags(n):
     assert markup.clean("<p>a<div>b</div></p>c<ul><li>d<ul><li>e</ul><li>f</ul>").split() == ["a", "b", "c", "-", "d", "-", "e", "-", "f"]
 
 
+def test_p2_found_is_the_whole_operator(spark, tmp_path, monkeypatch):
+    save(spark, tmp_path, "documents", [(1, "<p>a</p> **b**", "h"), (2, "plain", "h"), (3, None, None)], "doc_id bigint, text string, source string")
+    save(spark, tmp_path, "evaluation", [(4, "\\emph{x}", "d")], "eval_no bigint, context string, dataset string")
+    seen, whole = [], markup.cleaned
+    monkeypatch.setattr(markup, "cleaned", lambda pages: seen.append(1) or whole(pages))
+    assert sorted(tuple(r) for r in markup.p2_found(spark, str(tmp_path)).collect()) == [("documents", 1, "html"), ("documents", 1, "markdown"), ("evaluation", 4, "latex")] and seen
+
+
 SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("Dr. Who met Mr. X at 5.30 p.m. in Oslo. Then he left.", ["Dr. Who met Mr. X at 5.30 p.m. in Oslo.", "Then he left."]),
     ("# Head #\ntext goes\non here.Next one", ["Head", "text goes\non here.", "Next one"]), ("- a b\n- c d\n\nend", ["a b", "c d", "end"]), ('"Stop it!" said Ann. Bob left.', ['"Stop it!" said Ann.', "Bob left."]),
