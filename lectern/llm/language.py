@@ -15,7 +15,9 @@ Every text is blanked of code, tags and formulas (``markup.view``), cut into sen
 (``sentences.units``) and each unit scored. A unit counts as a
 sentence from ``MIN_LETTERS`` letters and, where words are spaced, ``MIN_WORDS`` words on. The
 confidence of a unit is the margin of its best score over the second, cut to 0..1; a language's
-confidence in a text is the largest of its units. Null texts and texts without letters have no language.
+confidence in a text is the largest of its units. Units too short for a sentence are pooled by language and
+scored as one, and so are all units of a main language that none of them shows clearly; what is short even
+then needs a larger margin. Null texts and texts without letters have no language.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ MIN_LETTERS, MIN_WORDS = 10, 4
 UNSPACED = frozenset(("ja", "th", "zh"))
 #: A language other than the text's main one needs a unit of this margin: in another script, in the same script.
 MARGIN_SCRIPT, MARGIN = 0.2, 0.3
+#: Margin from which a pool counts if it has 2 or 3 words or another than the main language, and from which a label of the same script is wrong from LONG_WORDS words on.
+MARGIN_SHORT, MARGIN_LONG, SHORT_WORDS, LONG_WORDS = 0.5, 0.1, 2, 5
 # Languages by script; those not listed are written in Latin letters.
 SCRIPTS = {"ar": "Arab", "hi": "Deva", "ja": "Jpan", "zh": "Hani", "th": "Thai", "ru": "Cyrl", "uk": "Cyrl"}
 
@@ -184,33 +188,74 @@ def _segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int
     return out
 
 
-def languages_of(units_: list[tuple[int, int, int, float, int, int]], names: list[str]) -> dict[int, float]:
-    """Languages in which a text has a sentence, with their confidence. The main one has most letters in clear units."""
+def _sentence(k: int, letters: int, words: int, names: list[str]) -> bool:
+    return letters >= MIN_LETTERS and (words >= MIN_WORDS or names[k] in UNSPACED)
+
+
+def _main(units_: list[tuple[int, int, int, float, int, int]]) -> int:
+    """The language with most letters in clear units; -1: none."""
     weight: dict[int, float] = {}
     unclear: dict[int, float] = {}
-    conf: dict[int, float] = {}
-    for _, _, k, m, n, words in units_:
+    for _, _, k, m, n, _ in units_:
         if k >= 0:
             at = weight if m >= MARGIN_SCRIPT else unclear
             at[k] = at.get(k, 0.0) + n * m
-            if n >= MIN_LETTERS and (words >= MIN_WORDS or names[k] in UNSPACED):
-                conf[k] = max(conf.get(k, 0.0), m)
     weight = weight or unclear
-    if not weight:
+    return max(weight, key=lambda k: (weight[k], -k)) if weight else -1
+
+
+def pools(texts: list[str | None], found: list[list[tuple[int, int, int, float, int, int]]], model: Model) -> list[list[tuple[int, float, int, int]]]:
+    """For each text (language, margin, letters, words) of its units that are scored as one: the short ones of a language, and all of an unclear main language."""
+    out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+    owner, joined = [], []
+    for i, units_ in enumerate(found):
+        sets: dict[int, list] = {}
+        for u in units_:
+            if u[2] >= 0 and not _sentence(u[2], u[4], u[5], model.languages):
+                sets.setdefault(u[2], []).append(u)
+        main = _main(units_)
+        own = [u for u in units_ if u[2] == main]
+        if main >= 0 and max((u[3] for u in own if _sentence(main, u[4], u[5], model.languages)), default=0.0) < MARGIN:
+            sets[-1] = own
+        if sets:
+            v = view(texts[i])[1]
+            for us in sets.values():
+                owner.append(i)
+                joined.append("\n".join(v[u[0] : u[1]] for u in us))
+    for a, b in blocks(joined, BLOCK):
+        score, letters, words = model.score(joined[a:b])
+        if score.shape[1] < 2:
+            score = np.concatenate([score, np.full((len(score), 1), -1, np.float32)], 1)
+        two = np.partition(score, -2, axis=1)[:, -2:]
+        for i, k, m, n, w in zip(owner[a:b], score.argmax(1), np.clip(two[:, 1] - two[:, 0], 0, 1), letters, words):
+            out[i].append((int(k), float(m), int(n), int(w)))
+    return out
+
+
+def languages_of(units_: list[tuple[int, int, int, float, int, int]], names: list[str], pooled: list[tuple[int, float, int, int]] = ()) -> dict[int, float]:
+    """Languages in which a text has a sentence, with their confidence. The main one has most letters in clear units."""
+    main = _main(units_)
+    if main < 0:
         return {}
-    main = max(weight, key=lambda k: (weight[k], -k))
+    conf: dict[int, float] = {}
+    for _, _, k, m, n, words in units_:
+        if k >= 0 and _sentence(k, n, words, names):
+            conf[k] = max(conf.get(k, 0.0), m)
+    for k, m, n, words in pooled:  # names and signs make up much of what is short: another language needs a whole sentence and the larger margin
+        if _sentence(k, n, words, names) and (k == main or m >= MARGIN_SHORT) or k == main and words >= SHORT_WORDS and m >= MARGIN_SHORT:
+            conf[k] = max(conf.get(k, 0.0), m)
     script = SCRIPTS.get(names[main])
     return {main: conf.get(main, 0.0)} | {k: c for k, c in conf.items() if k != main and c >= (MARGIN if SCRIPTS.get(names[k]) == script else MARGIN_SCRIPT)}
 
 
-def is_case(found: dict[int, float], code: str | None, names: list[str]) -> bool:
-    """No label, several languages, or clearly another one than the label's."""
+def is_case(found: dict[int, float], code: str | None, names: list[str], words: int = MIN_WORDS) -> bool:
+    """No label, several languages, or clearly another one than the label's. ``words``: those in units of the main language."""
     if not found:
         return False
     if code is None or len(found) > 1:
         return True
     k, c = next(iter(found.items()))
-    return names[k] != code and (c >= MARGIN or SCRIPTS.get(names[k]) != SCRIPTS.get(code))
+    return names[k] != code and (c >= (MARGIN_LONG if words >= LONG_WORDS else MARGIN) or SCRIPTS.get(names[k]) != SCRIPTS.get(code))
 
 
 def label_code(label: Column, names: DataFrame) -> Column:
@@ -266,7 +311,8 @@ def _scored(rows: DataFrame, model: Model, detail: bool) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = Model(*shared.value)
-        got = segments(b.column(3).to_pylist(), m)
+        texts = b.column(3).to_pylist()
+        got = segments(texts, m)
         if detail:
             n = [len(g) for g in got]
             take = pa.array(np.repeat(np.arange(b.num_rows), n))
@@ -275,9 +321,10 @@ def _scored(rows: DataFrame, model: Model, detail: bool) -> DataFrame:
                 [b.column(0).take(take), b.column(1).take(take), pa.array([u[0] for u in flat], pa.int64()), pa.array([u[1] for u in flat], pa.int64()), pa.array([m.languages[u[2]] if u[2] >= 0 else None for u in flat], pa.string()), pa.array([u[3] for u in flat], pa.float64())],
                 names=["origin", "rec_id", "span_start", "span_end", "language", "confidence"],
             )
-        found = [languages_of(g, m.languages) for g in got]
+        found = [languages_of(g, m.languages, p) for g, p in zip(got, pools(texts, got, m))]
+        words = [sum(u[5] for u in g if u[2] == next(iter(f), -1)) for g, f in zip(got, found)]
         codes = b.column(2).to_pylist()
-        out = [(i, m.languages[k], c) for i, (f, code) in enumerate(zip(found, codes)) if is_case(f, code, m.languages) for k, c in f.items()]
+        out = [(i, m.languages[k], c) for i, (f, code, n) in enumerate(zip(found, codes, words)) if is_case(f, code, m.languages, n) for k, c in f.items()]
         take = pa.array([x[0] for x in out], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.float64())], names=["origin", "rec_id", "language", "confidence"])
 

@@ -269,6 +269,18 @@ def test_language_model():
     assert not language.is_case({}, None, m.languages)
 
 
+def test_short_texts_with_a_wrong_label():
+    parts = {"en": ["the reader counts every open note before the meeting", "a writer keeps the list without asking the group"], "de": ["der Leser zählt jede offene Notiz vor der Sitzung", "die Gruppe behält die Liste ohne zu fragen"]}
+    m = language.Model.fit([t + f" {w}" for v in parts.values() for t in v for w in ("Alpha", "Beta", "Gamma", "Delta")], [k for k, v in parts.items() for _ in v for _ in range(4)], landmarks=8)
+    texts = ["Jede offene Notiz.", "Vor der Sitzung. Ohne zu fragen.", "The open note.", "Notiz", "123", None]
+    got = language.segments(texts, m)
+    found = [language.languages_of(g, m.languages, p) for g, p in zip(got, language.pools(texts, got, m))]
+    cases = [language.is_case(f, "en", m.languages, sum(u[5] for u in g)) for f, g in zip(found, got)]
+    assert cases == [True, True, False, False, False, False] and [len(f) for f in found] == [1, 1, 1, 1, 0, 0]
+    unclear = {0: language.MARGIN - 0.1}
+    assert language.is_case(unclear, m.languages[1], m.languages, 12) and not language.is_case(unclear, m.languages[1], m.languages, 4)
+
+
 def test_p6_held_out_accuracy(spark):
     labelled = language.labelled(spark, "/root/testdata/sf0.01").where("origin = 'documents' and code is not null").limit(400).collect()
     m = language.fitted(spark, "/root/testdata/sf0.01", 100)
