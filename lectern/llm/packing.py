@@ -1,9 +1,9 @@
-"""Filling containers of one capacity: hierarchical multi-length packing.
+"""Filling containers of one capacity by greedy largest fit.
 
-Texts (pieces, where a text alone exceeds the capacity) are routed to context-size tiers: an eighth, a
-quarter, a half of the capacity and the whole. The longest tier is packed first; what a container has left is
-filled from the tiers below with the longest item that still fits, down to nothing. Then the next tier opens containers
-with what remains of it. Containers are dealt to step groups in turn and back by their fill, so that the
+A container takes the longest text (piece, where a text alone exceeds the capacity) that still fits, until
+none does. ``tier`` names the context size that an item needs - an eighth, a quarter, a half of the capacity or
+the whole - and has no part in the packing: no tier is packed at its own size.
+Containers are dealt to step groups in turn and back by their fill, so that the
 groups of a training step are alike.
 
 The items - numbers only, no text - are spread by a hash into groups of about ``GROUP`` items that are packed
