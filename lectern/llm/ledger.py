@@ -8,7 +8,8 @@ written as the next version of those buckets. Nothing of the ledger is held in m
 driver; only the numbers of the touched buckets (at most ``buckets``) are.
 
 A version becomes visible with Spark's own commit of its folder; a batch that failed half-way leaves
-the ledger as it was. Null keys are left out; the same record absorbed twice counts twice.
+the ledger as it was. A ledger is opened by its path: which version has a bucket's rows is read from the
+folders. Null keys are left out; the same record absorbed twice counts twice.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.runtime import shared_dir
+from lectern.functions.runtime import shared_dir, written
 
 SCHEMA = "key binary, n bigint, keep_id bigint, bucket int"
 
@@ -29,6 +30,25 @@ class Ledger:
         self.path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
         self.latest: dict[int, str] = {}
         self.version = 0
+        self._open()
+
+    def _fs(self):
+        """The file system of the ledger and a maker of its paths."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        return make(self.path).getFileSystem(self.spark._jsc.sc().hadoopConfiguration()), make
+
+    def _open(self) -> None:
+        """The number of buckets, and the last finished version of each."""
+        fs, make = self._fs()
+        if not fs.exists(make(self.path)):
+            return
+        names = [x.getPath().getName() for x in fs.listStatus(make(self.path))]
+        self.buckets = next((int(x[8:]) for x in names if x.startswith("buckets-")), self.buckets)
+        for v in sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()):
+            self.version, at = v, f"{self.path}/v{v}"
+            if fs.exists(make(f"{at}/_SUCCESS")):
+                inner = [x.getPath().getName() for x in fs.listStatus(make(at))]
+                self.latest.update({int(x[7:]): at for x in inner if x.startswith("bucket=")})
 
     def bucket(self, key):
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -53,8 +73,12 @@ class Ledger:
             .agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("keep_id"))
             .withColumn("bucket", self.bucket(F.col("key")))
         )
-        old = self.rows()
-        if self.latest:
+        batch = written(batch, "p4-batch")  # read for its buckets and for the join
+        buckets = self.touched(batch)
+        if not buckets:
+            return
+        if any(b in self.latest for b in buckets):
+            old = self.rows(buckets)
             joined = batch.alias("b").join(old.alias("o"), (F.col("b.key") == F.col("o.key")) & (F.col("b.bucket") == F.col("o.bucket")), "full_outer")
             both = joined.select(
                 F.coalesce("b.key", "o.key").alias("key"),
@@ -64,12 +88,15 @@ class Ledger:
             )
         else:
             both = batch
+        fs, make = self._fs()
+        fs.mkdirs(make(f"{self.path}/buckets-{self.buckets}"))
         self.version += 1
         at = f"{self.path}/v{self.version}"
         # one writer per group of buckets: few files, and a later batch reads only the buckets it needs
         both.repartition("bucket").write.partitionBy("bucket").parquet(at)
-        present = self.spark.read.parquet(at).select("bucket").distinct().collect()  # at most `buckets` numbers
-        self.latest.update({r["bucket"]: at for r in present})
+        self.latest.update({b: at for b in buckets})
 
-    def touched(self, records: DataFrame, key: str = "key") -> list[int]:
-        return [r[0] for r in records.where(F.col(key).isNotNull()).select(self.bucket(F.col(key))).distinct().collect()]
+    @staticmethod
+    def touched(batch: DataFrame) -> list[int]:
+        """The buckets of a batch's keys."""
+        return [r[0] for r in batch.select("bucket").distinct().collect()]

@@ -204,6 +204,21 @@ def test_ledger_batches(spark, tmp_path):
     assert rows(one) == rows(three)
 
 
+def test_ledger_joins_touched_buckets_and_is_opened_by_path(spark, tmp_path):
+    path = str(tmp_path / "l")
+    one = ledger.Ledger(spark, path, 8)
+    one.absorb(spark.createDataFrame([(f"k{i}".encode(), i) for i in range(100)], "key binary, rec_id bigint"))
+    assert len(one.latest) == 8
+    two = ledger.Ledger(spark, path, 64)
+    assert (two.buckets, two.latest, two.version) == (8, one.latest, 1)
+    two.absorb(spark.createDataFrame([(b"k5", 200), (b"k5", 3)], "key binary, rec_id bigint"))
+    assert sorted(v[-2:] for v in two.latest.values()) == ["v1"] * 7 + ["v2"]
+    (tmp_path / "l" / "v3" / "bucket=0").mkdir(parents=True)  # a batch that failed half-way
+    three = ledger.Ledger(spark, path)
+    got = {bytes(r.key): (r.n, r.keep_id) for r in three.rows().collect()}
+    assert len(got) == 100 and got[b"k5"] == (3, 3) and got[b"k6"] == (1, 6) and three.version == 3 and three.latest == two.latest
+
+
 def test_p4(spark, tmp_path):
     save(spark, tmp_path, "evaluation", [(3, "A b.", None), (1, "a  B", None), (2, None, None), (4, "other", None)], "eval_no bigint, sentence string, loaded_at timestamp")
     save(spark, tmp_path, "session_records", [(1, "x", None, None), (2, "X!", "bad", None)], "rec_no bigint, text string, sha256 string, loaded_at timestamp")
