@@ -205,19 +205,22 @@ def measured(p: Prose, names: list[str] | None = None) -> DataFrame:
     return out
 
 
-def fired(p: Prose, rules: list[Rule]) -> DataFrame:
+def fired(p: Prose, rules: list[Rule], parsed: dict[str, DataFrame] | None = None) -> DataFrame:
     """Findings of the document rules whose metric passes its threshold in a long enough document.
 
-    Rules of metrics that need a parser run in ``graph``. Where a metric points at nothing, the first block does.
+    ``parsed`` has the values of metrics that need a parser; they fire from the threshold on. Where a metric points at nothing, the first block does.
     """
     size = p.views.select("doc_id").join(p.sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences")), "doc_id", "left").join(p.paragraphs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs")), "doc_id", "left").na.fill(0)
     first = p.blocks.groupBy("doc_id").agg(F.min(F.struct("span_start", "span_end")).alias("b"))
     out = None
     for r in rules:
-        if r.metric not in METRICS:
+        if parsed and r.metric in parsed:
+            v, up = parsed[r.metric], True
+        elif r.metric in METRICS:
+            fn, up = METRICS[r.metric]
+            v = fn(p)
+        else:
             continue
-        fn, up = METRICS[r.metric]
-        v = fn(p)
         part = v.where(F.col("value") >= r.threshold if up else F.col("value") <= r.threshold).select("doc_id", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.rank).alias("rank"), "value", "span_start", "span_end", F.lit(r.min_sentences).alias("ms"), F.lit(r.min_paragraphs).alias("mp"))
         out = part if out is None else out.unionByName(part)
     rows = out.join(size, "doc_id").where("n_sentences >= ms and n_paragraphs >= mp").join(first, "doc_id", "left")

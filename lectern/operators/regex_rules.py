@@ -66,7 +66,7 @@ def sentence_matches(sents: DataFrame, rules: list[Rule], key: str = "doc_id") -
         if not r.nominal_prefix:
             continue
         p = java("(?:" + r.pattern + ")", "idmU")
-        part = sents.where(F.col("sentence").rlike("^" + p + "\\z")).select(key, F.lit(r.id).alias("rule_id"), "span_start", "span_end", F.regexp_extract("sentence", p, 1).alias("prefix"))
+        part = sents.where(F.col("sentence").rlike("^" + p + "\\z")).select(key, F.lit(r.id).alias("rule_id"), "span_start", "span_end", F.regexp_extract("sentence", "^" + p + "\\z", 1).alias("prefix"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else sents.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint, prefix string")
 

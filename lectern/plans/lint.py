@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.runtime import spread, written
 from lectern.functions.text import WORD
-from lectern.operators import graph, judgments, metrics, reduce, regex_rules, scanner
+from lectern.operators import graph, judgments, metrics, parsed_metrics, reduce, regex_rules, scanner
 from lectern.operators import views as V
 from lectern.sources.catalogue import Rule, load, rules_df, select
 
@@ -24,11 +24,12 @@ class Options:
     strict: bool = False
 
 
-def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None = None, tokens: DataFrame | None = None, lexicon: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None = None, tokens: DataFrame | None = None, lexicon: DataFrame | None = None, answers: DataFrame | None = None, parsed: dict[str, DataFrame] | None = None) -> DataFrame:
     """doc_id, finding_no, rule_id, category, severity, rank, span_start, span_end, marks.
 
     ``docs``: doc_id, text (and more). Layers without an active rule are not planned. Dependency rules run if
-    ``tokens`` are given, judgments if ``answers`` are; without answers, rules that require one report nothing.
+    ``tokens`` are given; the rules of parsed candidates if ``parsed`` has the candidates' tokens: "prefixes" (of
+    ``regex_rules.sentence_matches``, the sentence's start as block_id), "pieces" and "beats" (of ``parsed_metrics``). Judgments run if ``answers`` are; without answers, rules that require one report nothing.
     """
     active = select(rules or load(), set(options.only), set(options.disable), set(options.disable_category), options.no_emoji)
     # read by every layer: kept in memory or on the executors' disks, and recomputed if an executor is lost
@@ -37,10 +38,15 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     prose = metrics.Prose.of(views, blocks=blocks)
     cols = ("doc_id", "rule_id", "category", "severity", "rank", "span_start", "span_end", "marks")
     parts = []
+    parsed = parsed or {}
     regex = [r for r in active if r.category in ("phrase", "template", "punct") and r.pattern]
     if regex:
         sents5 = V.sentences(views, blocks, (*V.TEXT_KINDS, "heading"))
-        parts.append(reduce.with_marks(regex_rules.gated(regex_rules.raw_matches(views, regex).unionByName(regex_rules.anchored_matches(sents5, views, regex)), views, blocks, sents5, regex)).select(*cols))
+        found = regex_rules.raw_matches(views, regex).unionByName(regex_rules.anchored_matches(sents5, views, regex))
+        if "prefixes" in parsed:
+            nominal = graph.nominal(parsed["prefixes"], ["doc_id", "block_id"]).withColumnRenamed("block_id", "span_start")
+            found = found.unionByName(regex_rules.sentence_matches(sents5, regex).drop("prefix").join(nominal, ["doc_id", "span_start"], "left_semi"))
+        parts.append(reduce.with_marks(regex_rules.gated(found, views, blocks, sents5, regex)).select(*cols))
     for r in active:
         if r.construction:
             c = scanner.contrasts(V.sentences(views, blocks)).select("doc_id", *(F.lit(x).alias(n) for n, x in (("rule_id", r.id), ("category", r.category), ("severity", r.severity), ("rank", r.rank))), "span_start", "span_end")
@@ -48,9 +54,10 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     grammar = [r for r in active if r.dependency]
     if grammar and tokens is not None:
         parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(views, blocks), grammar, lexicon).select(*cols))
-    doc_rules = [r for r in active if r.metric in metrics.METRICS]
+    values = {f.__name__: f(prose, parsed[k]) for k, f in (("pieces", parsed_metrics.parallel_clause_repeats), ("beats", parsed_metrics.staccato_beats)) if k in parsed}
+    doc_rules = [r for r in active if r.metric in metrics.METRICS or r.metric in values]
     if doc_rules:
-        parts.append(reduce.with_marks(metrics.fired(prose, doc_rules)).select(*cols))
+        parts.append(reduce.with_marks(metrics.fired(prose, doc_rules, values)).select(*cols))
     if not parts:
         return docs.sparkSession.createDataFrame([], f"doc_id bigint, finding_no bigint, rule_id string, category string, severity string, rank int, span_start bigint, span_end bigint, marks {reduce.MARKS}")
     out = parts[0]

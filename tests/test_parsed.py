@@ -64,3 +64,18 @@ def test_prefix_grammar(spark):
     assert [r.doc_id for r in graph.nominal(t, ["doc_id"]).collect()] == [2]
     lex = spark.createDataFrame([("sorted", "VBN"), ("run", "VB")], "form string, tag string")
     assert graph.participles(spark.createDataFrame([("Sorted",), ("run",)], "word string"), lex).count() == 1
+
+
+def test_lint_runs_the_parsed_rules(spark):
+    from lectern.plans.lint import Options, lint
+
+    beat = "The whole team met in the large room today. Fast. Clean. Simple. Then everybody went back to work again."
+    d = spark.createDataFrame([(1, "Your data, simplified."), (2, "We run, simplified."), (3, " ".join([beat] * 3))], "doc_id bigint, text string")
+    word = lambda doc, block, w, pos, tag: (doc, block, 0, 0, w, w.lower(), w.lower(), pos, tag, "ROOT", 0)
+    prefixes = spark.createDataFrame([word(1, 0, "data", "NOUN", "NNS"), word(2, 0, "run", "VERB", "VBP")], graph.TOKENS_DDL)
+    p = prose(spark, ["", "", "", " ".join([beat] * 3)])
+    beats = spark.createDataFrame([word(x.doc_id, x.block_id, x.text, "ADJ", "JJ") for x in parsed_metrics.beats_to_parse(p).collect()], graph.TOKENS_DDL)
+    only = Options(only=frozenset({"phrase.detached-outcome", "doc.staccato-beats"}))
+    got = {(r.doc_id, r.rule_id) for r in lint(d, only, parsed={"prefixes": prefixes, "beats": beats}).collect()}
+    assert got == {(1, "phrase.detached-outcome"), (3, "doc.staccato-beats")}
+    assert lint(d, only).count() == 0
