@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -58,9 +59,12 @@ def spans_sql(view: str, pattern: str, guard: str | None = None) -> str:
     return f"CASE WHEN {f'({guard}) AND ' if guard else ''}{test} THEN aggregate({ps}, named_struct('at', 0, 'i', 0, 'out', {empty}), {step}).out ELSE {empty} END"
 
 
+_WIDE = re.compile(r"\\U([0-9A-Fa-f]{8})")
+
+
 def java(pattern: str, flags: str = "imdU") -> str:
-    """A pattern in the usual script dialect for the JVM: flags, named groups, absolute end."""
-    out = pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
+    """A pattern in the usual script dialect for the JVM: flags, named groups, wide escapes, absolute end."""
+    out = _WIDE.sub(lambda m: "\\x{" + m[1].lstrip("0") + "}", pattern).replace("(?P<", "(?<").replace("\\Z", "\\z")
     while "(?P=" in out:
         a = out.index("(?P=")
         b = out.index(")", a)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import java
 from lectern.operators.reduce import MARKS, merge_overlaps, shadow_weaker
+from lectern.operators.regex_rules import compiled, excepted, located, opening_only
+from lectern.operators.views import code_spans, parse
 from lectern.sources.catalogue import Rule
 
 TOKENS_DDL = "doc_id bigint, block_id bigint, i int, idx int, text string, lower string, lemma string, pos string, tag string, dep string, head_i int"
@@ -49,17 +51,23 @@ def fits(attrs: dict, alias: str = "") -> Column:
 
 
 def with_ancestors(tokens: DataFrame) -> DataFrame:
-    """tokens and ``above``: the token's ancestors, nearest first. Follows head arrays of a block, no loop of joins."""
+    """tokens and ``above``: the token's ancestors, nearest first; a loop of heads ends where it would repeat.
+
+    All paths of a block grow together and double in each step - a path and the path of its last token - so
+    a block of n tokens takes log2(n) steps; no loop of joins.
+    """
     heads = tokens.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("i", "head_i"))).alias("hs"))
-    rows = tokens.join(heads.select("doc_id", "block_id", F.map_from_entries("hs").alias("h")), ["doc_id", "block_id"])
-    up = F.aggregate(
-        F.sequence(F.lit(1), F.size("h")),
-        F.struct(F.col("i").alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, _: F.when(
-            F.element_at("h", a["at"]).isNull() | (F.element_at("h", a["at"]) == a["at"]) | F.array_contains(a["out"], F.element_at("h", a["at"])), a
-        ).otherwise(F.struct(F.element_at("h", a["at"]).alias("at"), F.array_append(a["out"], F.element_at("h", a["at"])).alias("out"))),
-    )["out"]
-    return rows.withColumn("above", up).drop("h")
+    place = F.map_from_entries(F.transform("hs", lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))))
+    heads = heads.withColumn("at", place)
+    first = F.transform("hs", lambda x: F.when((x["i"] == x["head_i"]) | F.element_at("at", x["head_i"]).isNull(), F.array().cast("array<int>")).otherwise(F.array(F.element_at("at", x["head_i"]))))
+    paths = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(F.log2(F.size("hs") + 1)).cast("int")), first,
+        lambda ps, _: F.transform(ps, lambda p: F.when(F.size(p) == 0, p).otherwise(F.array_distinct(F.concat(p, F.get(ps, F.element_at(p, -1)))))),
+    )
+    rows = heads.select("doc_id", "block_id", "hs", F.posexplode(paths).alias("k", "p"))
+    own = F.get("hs", F.col("k"))["i"]
+    rows = rows.select("doc_id", "block_id", own.alias("i"), F.filter(F.transform("p", lambda q: F.get("hs", q)["i"]), lambda i: i != own).alias("above"))
+    return tokens.join(rows, ["doc_id", "block_id", "i"])
 
 
 def match(tokens: DataFrame, pattern: tuple[dict, ...] | list[dict]) -> DataFrame:
@@ -88,11 +96,36 @@ def match(tokens: DataFrame, pattern: tuple[dict, ...] | list[dict]) -> DataFram
     return out.select(F.col("doc_id0").alias("doc_id"), F.col("block_id0").alias("block_id"), F.array(*(F.col(f"i{k}") for k in range(len(pattern)))).alias("nodes"))
 
 
-def graph_findings(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule], lexicon: DataFrame | None = None) -> DataFrame:
+def graph_findings(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule], lexicon: DataFrame | None = None, isolated: DataFrame | None = None) -> DataFrame:
     """Findings of the dependency rules with marks: matched, gated, merged and shadowed.
 
-    ``views`` has doc_id, prose; ``lexicon`` (form, upos) drops noun clusters that hold a word with no noun reading.
+    ``views`` has doc_id, text, prose; ``lexicon`` (form, upos) drops noun clusters that hold a word with no noun reading;
+    ``isolated`` (doc_id, span_start, span_end, i, pos, tag, dep, head_i), the parses of ``isolated_spans``, drops clusters
+    that alone read as a gerund with its object. Without these two relations their gates are open. Repeated
+    ``tokens`` rows change nothing; matches of null texts are of no document.
     """
+    m = located_matches(tokens, views, blocks, sents, rules)
+    if lexicon is not None:
+        no_noun = lexicon.groupBy(F.lower("form").alias("lower")).agg(F.bool_or(F.col("upos").isin("ADJ", "VERB")).alias("other"), F.bool_or(F.col("upos").isin("NOUN", "PROPN")).alias("noun")).where("other and not noun").select("lower")
+        between = m.where("category = 'noun'").select("m", "doc_id", "block_id", F.explode(F.sequence(F.array_min("nodes"), F.array_max("nodes"))).alias("i")).join(tokens.select("doc_id", "block_id", "i", "lower"), ["doc_id", "block_id", "i"])
+        m = m.join(between.join(no_noun, "lower", "left_semi").select("m").distinct(), "m", "left_anti")
+    if isolated is not None:
+        at = ["doc_id", "span_start", "span_end"]
+        verb = isolated.where("pos = 'VERB' and tag = 'VBG'").select(*at, "i")
+        dobj = isolated.where("dep = 'dobj' and i <> head_i").select(*at, F.col("head_i").alias("i"))
+        m = m.join(verb.join(dobj, [*at, "i"], "left_semi").select(*at, F.lit(True).alias("gerund")).distinct(), at, "left").where("not (category = 'noun' and ing and coalesce(gerund, false))")
+    return shadow_weaker(merge_overlaps(m.select("doc_id", "rule_id", "category", "severity", "rank", "span_start", "span_end", "marks")))
+
+
+def isolated_spans(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """doc_id, span_start, span_end, text of the noun clusters that hold a word in -ing: to be parsed by themselves."""
+    m = located_matches(tokens, views, blocks, sents, [r for r in rules if r.category == "noun"])
+    got = m.where("ing").select("doc_id", "span_start", "span_end").distinct().join(views.select("doc_id", "text", "prose"), "doc_id")
+    return got.select("doc_id", "span_start", "span_end", F.substring(parse(F.coalesce("text", F.lit("")), F.col("prose")), F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int")).alias("text"))
+
+
+def located_matches(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with places and marks that pass the gates of text: m, doc_id, block_id, rule_id, ..., nodes, ing (has a word in -ing)."""
     children = tokens.select("doc_id", "block_id", F.col("head_i").alias("c_head"), F.col("i").alias("c_i"), "dep", F.concat_ws(":", "dep", "lower").alias("dl"))
     all_ = None
     for r in rules:
@@ -101,27 +134,27 @@ def graph_findings(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents
             if r.anchor_without:
                 bad = children.where((F.col("dep").isin(*r.anchor_without) | F.col("dl").isin(*r.anchor_without)) & (F.col("c_i") != F.col("c_head"))).select("doc_id", "block_id", "c_head").distinct()
                 m = m.join(bad.select(F.col("doc_id").alias("x_d"), F.col("block_id").alias("x_b"), "c_head"), (F.col("doc_id") == F.col("x_d")) & (F.col("block_id") == F.col("x_b")) & (F.element_at("nodes", 1) == F.col("c_head")), "left_anti")
-            m = m.withColumn("match_unless", F.lit(r.match_unless)).withColumn("unless", F.lit(r.unless))
             all_ = m if all_ is None else all_.unionByName(m)
-    m = all_.withColumn("m", F.monotonically_increasing_id())
+    if all_ is None:
+        all_ = match(tokens.limit(0), [{"RIGHT_ID": "x"}]).select("*", *(F.lit("").alias(c) for c in ("rule_id", "category", "severity")), F.lit(0).alias("rank"))
+    compiled(tokens.sparkSession, rules)
+    m = all_.withColumn("m", F.xxhash64("doc_id", "block_id", "rule_id", "nodes"))
     base = blocks.select("doc_id", "block_id", F.col("span_start").alias("base"))
-    tok = tokens.join(base, ["doc_id", "block_id"]).select("doc_id", "block_id", "i", (F.col("base") + F.col("idx")).alias("s"), (F.col("base") + F.col("idx") + F.length("text")).alias("e"), "text", "lower")
-    spot = m.select("m", "doc_id", "block_id", F.explode("nodes").alias("i")).join(tok, ["doc_id", "block_id", "i"])
-    spans = spot.groupBy("m").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end"), F.array_sort(F.collect_set(F.struct(F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e")))).cast(MARKS).alias("marks"), F.min(F.col("text").rlike(r"\p{L}").cast("int")).alias("lettered"))
-    m = m.join(spans, "m").join(views.select("doc_id", "prose"), "doc_id")
+    tok = tokens.join(base, ["doc_id", "block_id"]).select("doc_id", "block_id", "i", (F.col("base") + F.col("idx")).cast("bigint").alias("s"), F.length("text").alias("n"), "text", "lower")
+    spot = m.select("m", "doc_id", "block_id", F.explode("nodes").alias("i")).join(tok, ["doc_id", "block_id", "i"]).join(views.select("doc_id", code_spans(F.coalesce("text", F.lit(""))).alias("code")), "doc_id")
+    # a name that stands for code marks the whole of the code
+    over = F.get(F.filter("code", lambda x: x["s"] == F.col("s")), F.lit(0))["e"].cast("bigint")
+    spot = spot.select("m", "s", F.coalesce(over, F.col("s") + F.col("n")).alias("e"), over.isNotNull().alias("code"), F.col("text").rlike(r"\p{L}").alias("lettered"), F.col("lower").endswith("ing").alias("ing"))
+    spans = spot.groupBy("m").agg(
+        F.min("s").alias("span_start"), F.max("e").alias("span_end"), F.array_sort(F.collect_set(F.struct("s", "e"))).cast(MARKS).alias("marks"), F.bool_and("lettered").alias("lettered"), F.bool_or("code").alias("code"), F.bool_or("ing").alias("ing")
+    )
+    m = located(m.dropDuplicates(["m"]).join(spans, "m"), s=sents.select("doc_id", "span_start", "span_end"), b=blocks.select("doc_id", "kind", "span_start", "span_end"))
+    m = m.join(views.select("doc_id", "text", "prose"), "doc_id")
     part = F.substring("prose", F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int"))
-    m = m.where(F.col("match_unless").isNull() | ~F.regexp_like(part, F.concat(F.lit("(?idU)"), F.coalesce("match_unless", F.lit("")))))
-    m = m.where((F.col("category") != "noun") | (~part.rlike("[-/]") & (F.col("lettered") == 1)))
-    s = sents.select(F.col("doc_id").alias("s_doc"), F.col("span_start").alias("s_start"), F.col("span_end").alias("s_end"))
-    m = m.join(s, (F.col("doc_id") == F.col("s_doc")) & (F.col("span_start") >= F.col("s_start")) & (F.col("span_start") < F.col("s_end")), "left")
-    a, e = F.coalesce("s_start", "span_start"), F.coalesce("s_end", "span_end")
-    context = F.substring("prose", a.cast("int") + 1, (e - a).cast("int"))
-    m = m.where(F.col("unless").isNull() | ~F.regexp_like(context, F.concat(F.lit("(?idU)"), F.coalesce("unless", F.lit("")))))
-    if lexicon is not None:
-        no_noun = lexicon.groupBy(F.lower("form").alias("lower")).agg(F.bool_or(F.col("upos").isin("ADJ", "VERB")).alias("other"), F.bool_or(F.col("upos").isin("NOUN", "PROPN")).alias("noun")).where("other and not noun").select("lower")
-        between = m.where("category = 'noun'").select("m", "doc_id", "block_id", F.explode(F.sequence(F.array_min("nodes"), F.array_max("nodes"))).alias("i")).join(tok.select("doc_id", "block_id", "i", "lower"), ["doc_id", "block_id", "i"])
-        m = m.join(between.join(no_noun, "lower", "left_semi").select("m").distinct(), "m", "left_anti")
-    return shadow_weaker(merge_overlaps(m.select("doc_id", "rule_id", "category", "severity", "rank", "span_start", "span_end", "marks")))
+    a, e = F.coalesce("s.span_start", "span_start"), F.coalesce("s.span_end", "span_end")
+    m = opening_only(m, blocks, rules).where(~excepted(rules, part, "match_unless") & ~excepted(rules, F.substring("prose", a.cast("int") + 1, (e - a).cast("int"))))
+    m = m.where((F.col("category") != "noun") | (~part.rlike("[-/]") & F.col("lettered") & ~F.col("code")))
+    return m.select("m", "doc_id", "block_id", "rule_id", "category", "severity", "rank", "nodes", "span_start", "span_end", "marks", "ing")
 
 
 def nominal(tokens: DataFrame, keys: list[str]) -> DataFrame:

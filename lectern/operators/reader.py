@@ -1,14 +1,16 @@
-"""The reader's view: what of a document a reader sees, at the same length; a character automaton on Arrow batches.
+"""The reader's view: what of a document a reader sees, at the same length.
 
-Constructs are taken from left to right, the earliest first and, at one place, in the order front matter, comment, tag,
-definition, link, code. Code stays; a link leaves its label; scripts and styles go with their content; of
-front matter the plain values of heading, title, lede and callout stay. ``incomplete`` says that a value
-was there which could not be shown.
+One pattern with a branch for each construct cuts a text into constructs and what lies between; the branches are
+in the order front matter, comment, tag, definition, link, code, so at one place the first of these wins, and
+nothing is looked for inside a construct. A construct is kept (code), or hidden but for the stretches that it shows, which
+are viewed in turn: a link its label, front matter the plain values of heading, title, lede and callout. Scripts and
+styles go with their content. ``incomplete`` says that a value was there which could not be shown.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,118 +18,99 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The constructs.
-_KINDS = {
-    "front": r"^---[ \t]*\r?\n(?:(?s:.)*?)(?:^(?:---|\.\.\.)[ \t]*(?:\r?\n|$)|\Z)",
+_ATTRIBUTES = r"""(?=[\s/>])(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)"""
+_BRANCHES = {
+    "front": r"^---[ \t]*\r?\n(?s:.)*?(?:^(?:---|\.\.\.)[ \t]*(?:\r?\n|$)|\Z)",
     "comment": r"<!--(?s:.)*?(?:-->|\Z)",
-    "tag": r"""</?[A-Za-z][\w:.-]*(?=[\s/>])(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)""",
+    "tag": r"</?(?P<name>[A-Za-z][\w:.-]*)" + _ATTRIBUTES,
     "definition": r"^ {0,3}\[(?:\\.|[^\]\\\n])+\]:[^\n]*(?:\n[ \t]+[^\n]*)*",
-    "link": r"!?\[(?:\\.|[^\]\\\n])*\]\(",
+    "link": r"!?\[(?P<label>(?:\\.|[^\]\\\n])*)\]\(",
     "fence": r"^[ \t]*(?P<mark>```|~~~)[^\n]*\n(?s:.)*?^[ \t]*(?P=mark)[^\n]*$",
     "indented": r"^(?: {4}|\t)[^\n]*(?:\n(?:[ \t]*(?=\n)|(?: {4}|\t)[^\n]*))*",
     "inline": r"`[^`\n]+`",
 }
-_RX = {k: re.compile(p, re.M) for k, p in _KINDS.items()}
-_FIELD = re.compile(r"^(?:heading|title|lede|callout)[ \t]*:[ \t]*([^\n]*)", re.M | re.I)
-_NAME = re.compile(r"</?([A-Za-z][\w:.-]*)")
-
-
-def hide(chars: list[str], a: int, b: int) -> None:
-    for k in range(a, b):
-        if chars[k] != "\n":
-            chars[k] = " "
-
-
-def scalar_end(value: str) -> int:
-    """Where a YAML scalar ends and a comment begins; a # inside quotes is text."""
-    start = len(value) - len(value.lstrip())
-    quote, k = "", start
-    if value[start : start + 1] in ("'", '"'):
-        quote, k = value[start], start + 1
-    while k < len(value):
-        c = value[k]
-        if quote:
-            if quote == '"' and c == "\\":
-                k += 1
-            elif c == quote:
-                if quote == "'" and value[k + 1 : k + 2] == "'":
-                    k += 1
-                else:
-                    quote = ""
-        elif c == "#" and (k == 0 or value[k - 1].isspace()):
-            return k
-        k += 1
-    return len(value)
-
-
-def target_end(text: str, k: int) -> int:
-    """End of a link target whose opening parenthesis is just before k: balanced, with quotes, escapes and <...>."""
-    depth, inside = 1, ""
-    while k < len(text):
-        c = text[k]
-        if c == "\\":
-            k += 2
-            continue
-        if inside:
-            inside = "" if c == inside else inside
-        elif c == "<":
-            inside = ">"
-        elif c in "\"'":
-            inside = c
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if not depth:
-                return k + 1
-        k += 1
+SHOWN_FIELDS = ("heading", "title", "lede", "callout")
+UNPLAIN = "|>!&*[{"
+_HIDDEN_WITH_CONTENT = ("script", "style")
+_KEPT = ("fence", "indented", "inline")
+
+_lexer = lambda kinds: re.compile("|".join(f"(?P<{k}>{_BRANCHES[k]})" for k in kinds), re.M)
+_WITH_FRONT, _INNER = _lexer(_BRANCHES), _lexer([k for k in _BRANCHES if k != "front"])
+_CLOSING = {n: re.compile(f"</{n}{_ATTRIBUTES}", re.I) for n in _HIDDEN_WITH_CONTENT}
+# the pieces of a link target of which only the parentheses count
+_TARGET = re.compile(r"""\\(?s:.)?|"(?:\\(?s:.)|[^"\\])*"?|'(?:\\(?s:.)|[^'\\])*'?|<(?:\\(?s:.)|[^>\\])*>?|(?P<open>\()|(?P<close>\))""")
+_FIELD = re.compile(rf"^(?:{'|'.join(SHOWN_FIELDS)})[ \t]*:[ \t]*(?P<value>[^\n]*)", re.M | re.I)
+_QUOTED = re.compile(r"""\s*(?:"(?:\\(?s:.)|[^"\\])*"?|'(?:''|[^'])*'?)""")
+_HASH = re.compile(r"(?<!\S)#")
+# a line further in, behind blank lines and comments, continues a value
+_CONTINUED = re.compile(r"(?:\n[^\S\n]*(?:#[^\n]*)?(?=\n))*\n[ \t]\s*[^\s#]")
+
+
+def after_target(text: str, at: int) -> int:
+    """End of a link target that is open at ``at``: past the parenthesis that balances it, or the text's end."""
+    depth = 1
+    for piece in _TARGET.finditer(text, at):
+        depth += (piece["open"] is not None) - (piece["close"] is not None)
+        if not depth:
+            return piece.end()
     return len(text)
 
 
-def _script_end(text: str, name: str, at: int) -> int:
-    for m in re.compile(rf"</{name}(?=[\s/>])", re.I).finditer(text, at):
-        if close := _RX["tag"].match(text, m.start()):
-            return close.end()
-    return len(text)
+def without_comment(value: str) -> str:
+    """A YAML scalar without its comment: a # after a blank, but not inside the quotes that open the value."""
+    quoted = _QUOTED.match(value)
+    comment = _HASH.search(value, quoted.end() if quoted else 0)
+    return value[: comment.start()] if comment else value
+
+
+def constructs(text: str, front: bool) -> Iterator[tuple[str, re.Match, int]]:
+    """(kind, match, end) of the constructs in order."""
+    lexer, at = (_WITH_FRONT if front else _INNER), 0
+    while m := lexer.search(text, at):
+        kind, at = next(k for k in _BRANCHES if k in lexer.groupindex and m[k] is not None), m.end()
+        if kind == "link":
+            at = after_target(text, at)
+        elif kind == "tag" and m[0][1] != "/" and (closing := _CLOSING.get(m["name"].lower())):
+            last = closing.search(text, at)
+            at = last.end() if last else len(text)
+        yield kind, m, at
+
+
+def shown(kind: str, m: re.Match, end: int) -> tuple[list[tuple[int, int]], bool]:
+    """The stretches that a hidden construct shows, and whether it has a value that cannot be shown."""
+    if kind == "link":
+        return [m.span("label")], False
+    if kind != "front":
+        return [], False
+    spans, lost = [], False
+    for f in _FIELD.finditer(m.string, m.start(), end):
+        value = without_comment(f["value"])
+        if value.strip()[:1] in ("", *UNPLAIN):
+            lost = True
+        else:
+            spans.append((f.start("value"), f.start("value") + len(value)))
+            lost |= _CONTINUED.match(m.string, f.end(), end) is not None
+    return spans, lost
 
 
 def reader_view(text: str, front: bool = True) -> tuple[str, bool]:
     """(visible text of the same length, incomplete)."""
-    chars, missing = list(text), False
-    kinds = [k for k in _RX if front or k != "front"]
-    ahead = {k: _RX[k].search(text) for k in kinds}
-    while found := [(m.start(), i, k) for i, k in enumerate(kinds) if (m := ahead[k])]:
-        _, _, kind = min(found)
-        m = ahead[kind]
-        end = m.end()
-        if kind == "tag":
-            name = _NAME.match(m[0])[1].lower()
-            if name in ("script", "style") and not m[0].startswith("</"):
-                end = _script_end(text, name, end)
-        if kind == "link":
-            end = target_end(text, end)
-            a, b = m.start() + 1 + m[0].startswith("!"), m.end() - 2
-            label, lost = reader_view(text[a:b], False)
-            hide(chars, m.start(), end)
-            chars[a:b] = label
-            missing |= lost
-        elif kind in ("front", "comment", "tag", "definition"):
-            hide(chars, m.start(), end)
-        if kind == "front":
-            for f in _FIELD.finditer(text, m.start(), end):
-                stop = scalar_end(f[1])
-                plain = f[1][:stop].strip()
-                if not plain or plain[0] in "|>!&*[{":
-                    missing = True
-                    continue
-                rest = next((x for x in text[f.end() : end].splitlines()[1:] if x.strip() and not x.lstrip().startswith("#")), "")
-                missing |= rest[:1] in (" ", "\t")
-                shown, lost = reader_view(f[1][:stop], False)
-                chars[f.start(1) : f.start(1) + stop] = shown
-                missing |= lost
-        for k in kinds:
-            if ahead[k] and ahead[k].start() < end:
-                ahead[k] = _RX[k].search(text, end)
-    return "".join(chars), missing
+    out, at, incomplete = [], 0, False
+    for kind, m, end in constructs(text, front):
+        out.append(text[at : m.start()])
+        at = m.start()
+        if kind not in _KEPT:
+            spans, lost = shown(kind, m, end)
+            incomplete |= lost
+            for a, b in spans:
+                inner, lost = reader_view(text[a:b], False)
+                out += (re.sub(r"[^\n]", " ", text[at:a]), inner)
+                at, incomplete = b, incomplete | lost
+            out.append(re.sub(r"[^\n]", " ", text[at:end]))
+        else:
+            out.append(text[at:end])
+        at = end
+    return "".join((*out, text[at:])), incomplete
 
 
 @F.pandas_udf(T.StructType([T.StructField("visible", T.StringType()), T.StructField("incomplete", T.BooleanType())]))

@@ -37,10 +37,21 @@ def marks_cover(outer: Column, outer_s: Column, outer_e: Column, inner: Column,
 def dedupe(f: DataFrame, key: str = "doc_id") -> DataFrame:
     """Without findings strictly inside an equally strong or stronger one that covers their marks; document rules take no part.
 
-    The relation is transitive, so one anti-join against all findings is exact.
+    The relation is transitive, so one test against all findings is exact. A finding without marks covers all that it
+    holds: whether one reaches as far is a running maximum for each rank, from further left or from the
+    same start. Only findings with marks meet the others in an anti-join.
     """
     f = with_marks(f)
-    i, o = f.alias("i"), f.where("category <> 'doc'").alias("o")
+    whole = (F.col("category") != "doc") & (F.size("marks") == 0)
+    left = Window.partitionBy(key).orderBy("span_start").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(key, "span_start")
+    within = F.lit(False)
+    for r in range(3):
+        end = F.when(whole & (F.col("rank") == r), F.col("span_end"))
+        reach = F.coalesce(F.max(end).over(left) >= F.col("span_end"), F.lit(False)) | F.coalesce(F.max(end).over(same) > F.col("span_end"), F.lit(False))
+        within = within | (reach & (F.col("rank") >= r))
+    rows = f.withColumn("_in", within & (F.col("category") != "doc"))
+    i, o = rows.where("not _in").drop("_in").alias("i"), f.where("category <> 'doc' and size(marks) > 0").alias("o")
     inside = (
         (F.col(f"i.{key}") == F.col(f"o.{key}")) & (F.col("i.category") != "doc") & (F.col("o.span_start") <= F.col("i.span_start")) & (F.col("i.span_end") <= F.col("o.span_end"))
         & ((F.col("o.span_end") - F.col("o.span_start")) > (F.col("i.span_end") - F.col("i.span_start"))) & (F.col("o.rank") <= F.col("i.rank"))

@@ -1,28 +1,57 @@
 """Phrase, template and punctuation rules: literal patterns over text views, then gates.
 
 Every pattern is a literal expression of one narrow projection, compiled once per task; a row's findings
-come out of one explode. Only documents with a match meet the block and sentence relations, in equi-joins
-on the document with span predicates left over.
+come out of one explode. Blocks and sentences meet the matches in one sort by place within a document.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.guards import literals
 from lectern.functions.text import java, quoted, rewrite, spans_sql
 from lectern.operators import views as V
-from lectern.sources.catalogue import Rule, rules_df
+from lectern.sources.catalogue import CatalogueError, Rule, rules_df
 
 FINDING = "doc_id, rule_id, category, severity, rank, span_start, span_end"
-_WIDE = re.compile(r"\\U([0-9A-Fa-f]{8})")
 
 
 def pattern_of(rule: Rule) -> str:
-    return java(_WIDE.sub(lambda m: "\\x{" + m[1].lstrip("0") + "}", rule.pattern))
+    """The rule's pattern for the JVM. A sentence follows blanks or starts the text, so rules of sentence starts try no other place."""
+    return java(f"(?<!\\S)(?:{rule.pattern})" if rule.sentence_start else rule.pattern)
+
+
+def context_pattern(pattern: str) -> str:
+    """An exception searched in a sentence: any case, and ^ and $ are the sentence's ends."""
+    return java(pattern, "idU")
+
+
+def compiled(spark: SparkSession, rules: list[Rule]) -> None:
+    """Compile every pattern and exception of the rules where they will run; one that cannot be is an error before any job starts."""
+    for r in rules:
+        for p in ((pattern_of(r) if r.pattern else None), *(context_pattern(x) if x else None for x in (r.unless, r.match_unless))):
+            if p is None or p in _COMPILED:
+                continue
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(p)
+            except (Py4JJavaError, PySparkException) as e:
+                raise CatalogueError(f"{r.id}: {e}") from None
+            _COMPILED.add(p)
+
+
+_COMPILED: set[str] = set()
+
+
+def excepted(rules: list[Rule], context: Column, which: str = "unless") -> Column:
+    """Whether the rule of a row has an exception that the context holds; each pattern is a literal, compiled once a task."""
+    out = F.lit(False)
+    for r in rules:
+        if p := getattr(r, which):
+            out = F.when(F.col("rule_id") == r.id, context.rlike(context_pattern(p))).otherwise(out)
+    return out
 
 
 def _guard(rule: Rule, low: str) -> str | None:
@@ -33,12 +62,12 @@ def _guard(rule: Rule, low: str) -> str | None:
 def raw_matches(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """key, rule_id, span_start, span_end of every non-empty match. Punctuation reads ``masked``, the rest ``prose``.
 
-    A pattern runs only on texts that hold one of its required literals, tested on one lower-cased copy. Rules of
-    sentence starts are left to ``anchored_matches``.
+    A pattern runs only on texts that hold one of its required literals, tested on one lower-cased copy.
     """
-    active = [r for r in rules if r.pattern is not None and not r.nominal_prefix and not r.sentence_start]
+    active = [r for r in rules if r.pattern is not None and not r.nominal_prefix]
     if not active:
         return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint")
+    compiled(views.sparkSession, active)
     parts = []
     for r in active:
         view = "masked" if r.category == "punct" else "prose"
@@ -48,17 +77,6 @@ def raw_matches(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> Dat
     return rows.select(key, F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("m")).select(key, "m.*")
 
 
-def anchored_matches(sents: DataFrame, views: DataFrame, rules: list[Rule], key: str = "doc_id", reach: int = 1000) -> DataFrame:
-    """Matches of the rules that may only start where a sentence does: one attempt a sentence, not one a character."""
-    active = [r for r in rules if r.pattern is not None and r.sentence_start and not r.nominal_prefix]
-    if not active:
-        return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint")
-    rows = sents.select(key, "span_start").join(views.select(key, "prose"), key).select(key, "span_start", F.substring("prose", F.col("span_start").cast("int") + 1, F.lit(reach)).alias("t"))
-    tests = [f"named_struct('rule_id', {quoted(r.id)}, 'n', length(regexp_extract(t, {quoted(java('^(?:' + _WIDE.sub('', r.pattern) + ')', 'idU'))}, 0)))" for r in active]
-    hit = rows.select(key, "span_start", F.explode(F.expr(f"filter(array({', '.join(tests)}), x -> x.n > 0)")).alias("h"))
-    return hit.select(key, "h.rule_id", "span_start", (F.col("span_start") + F.col("h.n")).alias("span_end"))
-
-
 def sentence_matches(sents: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """Rules that must match a whole sentence (named group "prefix" kept)."""
     out = None
@@ -82,35 +100,57 @@ def opening(text: Column, prose: Column, at: Column) -> Column:
     return (F.trim(F.regexp_replace(F.substring(prose, F.lit(1), at.cast("int")), r"\s+", " ")) == "") & ~before.rlike(V.unix(_RENDERED))
 
 
+def located(points: DataFrame, key: str = "doc_id", at: str = "span_start", **intervals: DataFrame) -> DataFrame:
+    """``points`` with a struct column for each named relation: its interval that holds the point, or null.
+
+    The intervals (key, span_start, span_end and more) of one relation are disjoint within a document, so the one that
+    holds a point is the last that starts before it: one sort by place, no join of points and intervals.
+    """
+    fields = {n: [c for c in i.columns if c != key] for n, i in intervals.items()}
+    empty = {n: F.lit(None).cast(i.select(F.struct(*fields[n]).alias("x")).schema["x"].dataType) for n, i in intervals.items()}
+    rows = points.select(F.col(key).alias("_k"), F.col(at).cast("bigint").alias("_at"), F.lit(1).alias("_o"), F.struct(*points.columns).alias("_p"), *(empty[n].alias(n) for n in intervals))
+    point = F.lit(None).cast(rows.schema["_p"].dataType)
+    for n, i in intervals.items():
+        got = {m: F.struct(*fields[n]) if m == n else empty[m] for m in intervals}
+        rows = rows.unionByName(i.select(F.col(key).alias("_k"), F.col("span_start").cast("bigint").alias("_at"), F.lit(0).alias("_o"), point.alias("_p"), *(got[m].alias(m) for m in intervals)))
+    before = Window.partitionBy("_k").orderBy("_at", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("_at", "_p", *(F.last(n, True).over(before).alias(n) for n in intervals)).where("_p is not null")
+    return rows.select("_p.*", *(F.when(F.col(n)["span_end"] > F.col("_at"), F.col(n)).alias(n) for n in intervals))
+
+
+def opening_only(m: DataFrame, block_rows: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
+    """Rows of ``m`` (text, prose, span_start, b: the block) without those of opening rules that do not open their document."""
+    names = [r.id for r in rules if r.opening_reference]
+    if not names:
+        return m
+    quote = block_rows.where("kind = 'quote'").groupBy(key).agg(F.min("span_start").alias("first_quote"))
+    m = m.join(quote, key, "left")
+    opens = opening(F.coalesce("text", F.lit("")), F.col("prose"), F.col("span_start")) & (F.coalesce(F.col("b.kind"), F.lit("")) == "paragraph") & (F.coalesce(F.col("first_quote"), F.lit(1 << 40)) > F.col("span_start"))
+    return m.where(~F.col("rule_id").isin(*names) | opens)
+
+
 def gated(matches: DataFrame, views: DataFrame, block_rows: DataFrame, sents: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """Matches that pass the gates. ``sents`` has the sentences of all five kinds, headings too."""
-    table = rules_df(matches.sparkSession, rules).select("rule_id", "category", "severity", "rank", "unless", "headings", "heading_only", "sentence_start", "opening_reference")
-    m = matches.join(F.broadcast(table), "rule_id")  # at most the catalogue's rows
-    b = block_rows.select(F.col(key).alias("b_key"), F.col("kind").alias("b_kind"), F.col("span_start").alias("b_start"), F.col("span_end").alias("b_end"))
-    m = m.join(b, (F.col(key) == F.col("b_key")) & (F.col("span_start") >= F.col("b_start")) & (F.col("span_start") < F.col("b_end")), "left").drop("b_key")
-    s = sents.select(F.col(key).alias("s_key"), F.col("span_start").alias("s_start"), F.col("span_end").alias("s_end"))
-    m = m.join(s, (F.col(key) == F.col("s_key")) & (F.col("span_start") >= F.col("s_start")) & (F.col("span_start") < F.col("s_end")), "left").drop("s_key")
-    m = m.where((F.col("category") != "template") | (F.col("b_end").isNotNull() & (F.col("span_end") <= F.col("b_end"))))
-    m = m.where(~F.col("sentence_start") | (F.coalesce(F.col("s_start"), F.lit(-1)) == F.col("span_start")))
-    heading = F.coalesce(F.col("b_kind") == "heading", F.lit(False))
+    table = rules_df(matches.sparkSession, rules).select("rule_id", "category", "severity", "rank", "headings", "heading_only", "sentence_start")
+    compiled(matches.sparkSession, rules)
+    m = located(matches, key, b=block_rows.select(key, "kind", "span_start", "span_end"), s=sents.select(key, "span_start", "span_end"))
+    m = m.join(F.broadcast(table), "rule_id")  # at most the catalogue's rows
+    m = m.where((F.col("category") != "template") | (F.col("b.span_end").isNotNull() & (F.col("span_end") <= F.col("b.span_end"))))
+    m = m.where(~F.col("sentence_start") | (F.coalesce(F.col("s.span_start"), F.lit(-1)) == F.col("span_start")))
+    heading = F.coalesce(F.col("b.kind") == "heading", F.lit(False))
     m = m.where(F.col("headings") | ~heading).where(~F.col("heading_only") | heading)
     if any(r.unless or r.opening_reference for r in rules):
         m = m.join(views.select(key, "text", "masked", "prose"), key)
         view = F.when(F.col("category") == "punct", F.col("masked")).otherwise(F.col("prose"))
-        a, e = F.coalesce("s_start", "span_start"), F.coalesce("s_end", "span_end")
-        context = F.substring(view, a.cast("int") + 1, (e - a).cast("int"))
-        m = m.where(F.col("unless").isNull() | ~F.regexp_like(context, F.concat(F.lit("(?idU)"), F.coalesce("unless", F.lit("")))))
-        quote = block_rows.where("kind = 'quote'").groupBy(key).agg(F.min("span_start").alias("first_quote"))
-        m = m.join(quote, key, "left")
-        ok = opening(F.coalesce("text", F.lit("")), F.col("prose"), F.col("span_start")) & (F.coalesce(F.col("b_kind"), F.lit("")) == "paragraph") & (F.coalesce(F.col("first_quote"), F.lit(1 << 40)) > F.col("span_start"))
-        m = m.where(~F.col("opening_reference") | ok)
+        a, e = F.coalesce("s.span_start", "span_start"), F.coalesce("s.span_end", "span_end")
+        m = m.where(~excepted(rules, F.substring(view, a.cast("int") + 1, (e - a).cast("int"))))
+    m = opening_only(m, block_rows, rules, key)
     return m.select(key, "rule_id", "category", "severity", "rank", "span_start", "span_end").distinct()
 
 
 def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """All findings of the regex rules. ``views`` has key, text, masked, prose."""
     regex = [r for r in rules if r.category in ("phrase", "template", "punct")]
-    line_rows = V.lines(views, key)
-    block_rows = V.blocks(line_rows, key).persist()  # read by both gates and the sentences
-    sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key).persist()
-    return gated(raw_matches(views, regex, key).unionByName(anchored_matches(sents, views, regex, key)), views, block_rows, sents, regex, key)
+    block_rows = V.blocks(V.lines(views, key), key)
+    sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key)
+    return gated(raw_matches(views, regex, key), views, block_rows, sents, regex, key)

@@ -1,153 +1,119 @@
-"""The contrast construction: a scanner over tokens of a sentence, and pairs of adjacent sentences.
+"""The contrast construction: patterns over the word classes of a sentence, and pairs of adjacent sentences.
 
-The scanner is Python on Arrow batches, behind a JVM filter that passes only sentences with a negation or a
-separator; pairing is a lag window in the block. Exceptions need a lexicon of inflections; the
-built-in one is a rule of endings with a closed list, a fuller one is a parameter.
+A sentence becomes a string with one letter for the class of each token; whether it contrasts, denies or points back
+is then a handful of regular expressions over that string. Tokenising, classing and testing are JVM
+expressions of one projection; pairing is a lag window in the block. Sentences without a negation are not tokenised.
+
+A negation is live if it is not one of continuing ("never stopped working") and not the head of a supplement
+("the crowd, not knowing the reason, waited"). Verbs and adverbs are told by a lexicon: closed lists and endings.
+Null sentences have no words.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The scanner's words.
-NEGATORS = frozenset(("not", "never", "neither", "nor", "cannot"))
-BREAKS = frozenset((",", ";", ":", "—", "–", "(", ")", "[", "]", '"'))
-BACK = frozenset(("it", "it's", "its", "this", "that's", "that", "these", "those", "they", "they're", "their"))
-MODALS = frozenset(("can", "could", "may", "might", "must", "shall", "should", "will", "would"))
-CLAUSE = frozenset(("that", "which", "who", "because", "if", "when", "where"))
-SEPARATORS = frozenset((",", ";", "—", "–", "but"))
-_TOKEN = re.compile(r"\w+(?:['-]\w+)*|[^\w\s]")
+from lectern.functions.text import quoted
+
+# The construction's tokens, negators, breaks, words that point back, modals and words that open a clause.
+TOKEN = r"(?U)\w+(?:['-]\w+)*|[^\w\s]"
+NEGATORS = ("not", "never", "neither", "nor", "cannot")
+BREAKS = (",", ";", ":", "—", "–", "(", ")", "[", "]", '"')
+BACK = ("it", "it's", "its", "this", "that's", "that", "these", "those", "they", "they're", "their")
+MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would")
+CLAUSE = ("that", "which", "who", "because", "if", "when", "where")
+
+#: Past forms that are no nouns, adjectives or participles in use, so that they can only be predicates.
+PAST = (
+    "was were did went came saw took gave knew grew threw drew flew blew wrote rode rose drove chose spoke broke froze stole woke swore tore wore bore began drank rang sang sank shrank sprang swam ate fell forgot "
+    "became overcame undertook mistook foresaw withdrew outgrew arose forgave forbade shook slept kept crept wept dealt meant dreamt brought thought bought fought sought taught caught told sold held stood understood "
+    "sat lost led fled bled fed met sent spent lent built heard made paid laid said hid slid dug won hung swung stuck struck shot"
+).split()
+#: Present forms and auxiliaries that can only be predicates.
+PRESENT = "is are am has have do does says seems becomes remains goes knows thinks believes exists happens arrives begins belongs contains depends describes explains includes involves provides requires".split()
+ADVERBS = (
+    "often always usually sometimes seldom rarely finally still already soon now then here there perhaps maybe instead also just only even quite rather very too therefore however thus hence nevertheless nonetheless "
+    "meanwhile otherwise moreover furthermore besides again once twice almost never not later ever else forever together afterwards indeed somehow anyway likewise"
+).split()
+#: Words in -ly and -ing that are no adverbs or gerunds.
+NOT_LY = "family reply supply fly ally rely apply imply multiply comply assembly anomaly monopoly butterfly bully belly jelly rally tally july italy early daily weekly monthly yearly only friendly lovely likely lonely costly elderly ugly".split()
+NOT_ING = "thing nothing something anything everything king ring string spring wing sing bring sling swing during ceiling sibling evening morning".split()
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Readings of a word: verb tags, lemmas, other parts of speech. Unlisted words follow their endings."""
-
-    verbs: dict = field(default_factory=lambda: {"is": {"VBZ"}, "are": {"VBP"}, "was": {"VBD"}, "were": {"VBD"}, "has": {"VBZ"}, "have": {"VBP", "VB"}, "had": {"VBD"}, "do": {"VBP", "VB"}, "does": {"VBZ"}, "did": {"VBD"}})
-    adverbs: frozenset = frozenset("often always usually sometimes seldom rarely finally still already soon now then here there perhaps maybe instead also just only even quite rather very too".split())
-    nominal: frozenset = frozenset()
-
-    def tags(self, w: str) -> set[str]:
-        if w in self.verbs:
-            return self.verbs[w]
-        if len(w) > 4 and w.endswith("ing"):
-            return {"VBG"}
-        if len(w) > 3 and w.endswith("ed"):
-            return {"VBD", "VBN"}
-        return set()
-
-    def lemma(self, w: str) -> str:
-        for end in ("ing", "ed", "es", "s"):
-            if w.endswith(end) and len(w) > len(end) + 2:
-                stem = w[: -len(end)]
-                double = end in ("ing", "ed") and len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz"
-                return stem[:-1] if double else stem
-        return w
-
-    def finite(self, w: str) -> bool:
-        return w in MODALS or bool(self.tags(w) & {"VBD", "VBP", "VBZ"})
+    """Words by their readings; what is in no list follows its ending. ``nominal``: predicates that may be nouns or adjectives too."""
 
-    def adverb(self, w: str) -> bool:
-        return w in self.adverbs or (len(w) > 4 and w.endswith("ly"))
+    finite: tuple = tuple(PAST) + tuple(PRESENT)
+    adverbs: tuple = tuple(ADVERBS)
+    nominal: tuple = ("felt", "left", "found", "cut", "set", "put", "hit", "cost", "run", "runs", "ran", "stop", "stops", "cease")
+    no_adverbs: tuple = tuple(NOT_LY)
+    no_gerunds: tuple = tuple(NOT_ING)
 
 
 LEXICON = Lexicon()
 
-
-def negative(w: str) -> bool:
-    return w in NEGATORS or w.endswith("n't")
-
-
-def _worded(tokens: list[str]) -> bool:
-    return any(t[0].isalnum() for t in tokens)
-
-
-def _until_break(tokens: list[str]) -> int:
-    return next((k for k, t in enumerate(tokens) if t in BREAKS), len(tokens))
-
-
-def introductory(left: list[str], right: list[str], lex: Lexicon) -> bool:
-    return all(map(lex.adverb, left)) and any(map(lex.finite, right[1 : _until_break(right)]))
-
-
-def supplement(left: list[str], right: list[str], lex: Lexicon) -> bool:
-    if len(right) < 3 or right[0] != "not" or "VBG" not in lex.tags(right[1]):
-        return False
-    if any(t in BREAKS or "VBG" in lex.tags(t) or (lex.finite(t) and t not in lex.nominal) for t in left):
-        return False
-    k = _until_break(right)
-    if k == len(right) or right[k] != ",":
-        return False
-    verb = next((t for t in right[k + 1 :] if not lex.adverb(t)), "")
-    return bool(verb) and lex.finite(verb)
-
-
-def continued(tokens: list[str], k: int, lex: Lexicon) -> bool:
-    k += 1
-    while k < len(tokens) and not negative(tokens[k]) and (lex.adverb(tokens[k]) or tokens[k] in ("have", "has", "had", "been", "be")):
-        k += 1
-    rest = tokens[k:]
-    if len(rest) < 2 or lex.lemma(rest[0]) not in ("stop", "cease", "ceas"):
-        return False
-    return "VBG" in lex.tags(rest[1]) or (lex.lemma(rest[0]) != "stop" and len(rest) > 2 and rest[1] == "to" and rest[2].isalpha())
-
-
-def negated(tokens: list[str], lex: Lexicon = LEXICON) -> bool:
-    return any(
-        negative(t) and not continued(tokens, k, lex) and not (k and tokens[k - 1] == "," and supplement(tokens[: k - 1], tokens[k:], lex)) for k, t in enumerate(tokens)
+# The letters: , ; d h breaks (comma, semicolon, dash, other) - b but - n not, q never, N neither and nor, v other negators -
+# a adverb - f predicate, F predicate or noun, H have - u be, been - S stopped, s stop, E ceased, e cease - g gerund, z stopping, y ceasing -
+# k opens a clause - t to - w other word - p other mark.
+_BREAK, _HARD, _WORD = ",;dh", ";h", "bnqNvafFHuSsEegzyktw"
+_NEG, _ADV, _GER = "nqNv", "anq", "gzy"
+_FIN, _SURE = "fFHSsEe", "fHSE"
+_LIVE = f"[{_NEG}](?![aHu]*(?:[SszEey][{_GER}]|[Eey]t[wsefF]))"
+_SUPPLEMENT = f"[^{_BREAK}{_GER}{_SURE}]*,n[{_GER}][^{_BREAK}]*,[{_ADV}]*[{_FIN}]"
+# behind the supplement only the negations before and after its own count
+_BESIDE = f"(?:(?!{_SUPPLEMENT})(?>[^{_HARD}]*?{_LIVE})|(?={_SUPPLEMENT})(?>[^{_HARD},]*?{_LIVE}|[^,]*,n[^{_HARD}]*?{_LIVE}))"
+_DENIES = f"(?:^|[{_HARD}])(?:{_BESIDE})"
+# one comma at the head of the sentence may introduce it or set a supplement off
+_EXEMPT = f"^(?:[{_ADV}]+,[nN][^{_BREAK}]*[{_FIN}]|[^{_BREAK}{_GER}{_SURE}]+,n[{_GER}][^{_BREAK}]*,[{_ADV}]*[{_FIN}])"
+_APART = "(?!^)"
+CONTRASTS = (
+    f"{_APART}[;d][nN]",
+    f"{_APART};[^{_BREAK}]*?{_LIVE}",
+    f"{_APART}b[^{_BREAK}b]*?{_LIVE}",
+)
+_BUT_DENIED = f"{_DENIES}[^{_HARD}]*b[^{_WORD}]*[{_WORD}]"
+
+
+_WHOLE = f"^(?:(?!{_SUPPLEMENT}).*?{_LIVE}|(?={_SUPPLEMENT})(?:[^,]*?{_LIVE}|[^,]*,n.*?{_LIVE}))"
+_BACK = f"^.[^{_BREAK}k]*?{_LIVE}"
+
+
+def classes(sentence: str, lex: Lexicon = LEXICON) -> Column:
+    """A column of sentences as strings of token classes: one letter a token."""
+    some = lambda ws: "(" + ", ".join(quoted(w) for w in ws or ("",)) + ")"
+    cases = (
+        ("t = ','", ","), ("t = ';'", ";"), ("t in ('—', '–')", "d"), (f"t in {some(BREAKS)}", "h"), ("t = 'but'", "b"), ("t = 'not'", "n"), ("t = 'never'", "q"), ("t in ('neither', 'nor')", "N"),
+        (f"t in {some(NEGATORS)} OR endswith(t, {quoted("n't")})", "v"), (f"t in {some(CLAUSE)}", "k"), ("t = 'to'", "t"), ("t in ('have', 'has', 'had')", "H"), ("t in ('be', 'been')", "u"), ("t = 'stopped'", "S"), ("t in ('stop', 'stops')", "s"),
+        ("t = 'stopping'", "z"), ("t = 'ceased'", "E"), ("t in ('cease', 'ceases')", "e"), ("t = 'ceasing'", "y"), (f"t in {some(MODALS)}", "f"), (f"t in {some(lex.nominal)}", "F"), (f"t in {some(lex.finite)}", "f"), (f"t in {some(lex.adverbs)}", "a"),
+        (f"t rlike '^[a-z]{{3,}}ly$' AND t not in {some(lex.no_adverbs)}", "a"), (f"t rlike '^[a-z]{{2,}}ing$' AND t not in {some(lex.no_gerunds)}", "g"), ("t rlike '^[a-z]{2,}ed$'", "f"), (f"t rlike {quoted('^[\\p{L}\\p{N}]')}", "w"),
     )
+    body = " ".join(f"WHEN {test} THEN '{letter}'" for test, letter in cases)
+    return F.expr(f"array_join(transform(regexp_extract_all(lower({sentence}), {quoted(TOKEN)}, 0), t -> CASE {body} ELSE 'p' END), '')")
 
 
-def contrast(tokens: list[str], lex: Lexicon = LEXICON) -> bool:
-    for k, w in enumerate(tokens):
-        if w not in SEPARATORS:
-            continue
-        left, right = tokens[:k], tokens[k + 1 :]
-        if not (_worded(left) and _worded(right)):
-            continue
-        clause = right[: _until_break(right)]
-        if w != "but" and right[0] in ("not", "neither", "nor"):
-            if w != "," or not (introductory(left, right, lex) or supplement(left, right, lex)):
-                return True
-        if w == ";" and negated(clause, lex):
-            return True
-        if w == "but":
-            hard = max((j + 1 for j, t in enumerate(left) if t in BREAKS and t not in (",", "—", "–")), default=0)
-            if negated(left[hard:], lex) or negated(clause, lex):
-                return True
-    return False
-
-
-def facts(sentence: str, lex: Lexicon = LEXICON) -> tuple[bool, bool, bool, bool]:
-    """(has words, internal contrast, negated anywhere, opens by pointing back with a negated first clause)."""
-    tokens = _TOKEN.findall(sentence.lower())
-    if not _worded(tokens):
-        return False, False, False, False
-    back = False
-    if tokens[0] in BACK:
-        stop = next((k for k, t in enumerate(tokens[1:], 1) if t in BREAKS or t in CLAUSE), len(tokens))
-        back = negated(tokens[:stop], lex)
-    return True, contrast(tokens, lex), negated(tokens, lex), back
+def facts(sents: DataFrame, sentence: str = "sentence", lex: Lexicon = LEXICON) -> DataFrame:
+    """``sents`` with words (has any), contrast (within it), negated (anywhere), back (opens by pointing back and denies that)."""
+    may = F.lower(sentence).rlike(r"\b(?:not|never|neither|nor|cannot)\b|n't")  # without a negation none of the rest holds
+    rows = sents.withColumn("_c", F.when(may, classes(sentence, lex)).otherwise(""))
+    # what is apart from the first word has words before it
+    c, led = F.col("_c"), F.regexp_replace("_c", f"^[^{_WORD}]+", "")
+    comma = F.when(c.rlike(_EXEMPT), c.rlike("^[^,]*,.*,[nN]")).otherwise(led.rlike(f"{_APART},[nN]"))
+    contrast = comma | c.rlike(_BUT_DENIED)
+    for p in CONTRASTS:
+        contrast = contrast | led.rlike(p)
+    first = F.lower(F.regexp_extract(sentence, TOKEN, 0))
+    words = F.coalesce(F.col(sentence).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return rows.withColumns({"words": words, "contrast": words & contrast, "negated": c.rlike(_WHOLE), "back": first.isin(*BACK) & c.rlike(_BACK)}).drop("_c")
 
 
 def contrasts(sents: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     """doc_id, span_start, span_end: sentences with a contrast, and pairs whose second points back and denies."""
-
-    @F.pandas_udf("words boolean, contrast boolean, negated boolean, back boolean")
-    def scan(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([facts(x or "", lex) for x in s], columns=["words", "contrast", "negated", "back"])
-
-    # without a negation there is no contrast; those sentences skip Python
-    rows = sents.select("doc_id", "block_id", "sent_no", "span_start", "span_end", "sentence", F.lower("sentence").rlike("\\b(?:not|never|neither|nor|cannot)\\b|n't").alias("maybe"))
-    yes = rows.where("maybe").withColumn("f", scan("sentence")).select("doc_id", "block_id", "sent_no", "span_start", "span_end", "f.*")
-    no = rows.where("not maybe").select("doc_id", "block_id", "sent_no", "span_start", "span_end", F.col("sentence").rlike(r"[\p{L}\p{N}]").alias("words"), *(F.lit(False).alias(c) for c in ("contrast", "negated", "back")))
-    all_ = yes.unionByName(no)
+    rows = facts(sents.select("doc_id", "block_id", "sent_no", "span_start", "span_end", "sentence"), lex=lex).drop("sentence")
     by = Window.partitionBy("doc_id", "block_id").orderBy("sent_no")
-    all_ = all_.withColumn("p", F.lag(F.struct("words", "negated", "span_start")).over(by))
+    rows = rows.withColumn("p", F.lag(F.struct("words", "negated", "span_start")).over(by))
     pair = F.col("words") & ~F.col("contrast") & F.col("back") & F.col("p.words") & ~F.col("p.negated")
-    return all_.where(F.col("contrast") | pair).select("doc_id", F.when(F.col("contrast"), F.col("span_start")).otherwise(F.col("p.span_start")).alias("span_start"), "span_end")
+    return rows.where(F.col("contrast") | pair).select("doc_id", F.when(F.col("contrast"), F.col("span_start")).otherwise(F.col("p.span_start")).alias("span_start"), "span_end")

@@ -96,10 +96,14 @@ def skip_quotes(masked_: Column) -> Column:
     return rewrite(masked_, unix("(?m)" + QUOTE + r"[^\n]*$"))
 
 
+def code_spans(text: Column) -> Column:
+    """array<struct<s, e>> of the inline code spans outside front matter and fences."""
+    return spans(rewrite(rewrite(text, unix(FRONT), expose_front), unix(FENCE)), INLINE_CODE)
+
+
 def parse(text: Column, prose_: Column) -> Column:
     """``prose`` with a name over the start of every inline code span."""
-    hidden = rewrite(rewrite(text, unix(FRONT), expose_front), unix(FENCE))
-    return F.aggregate(spans(hidden, INLINE_CODE), prose_, lambda t, x: F.overlay(t, F.lit(CODE_NAME), x["s"] + 1, F.lit(3)))
+    return F.aggregate(code_spans(text), prose_, lambda t, x: F.overlay(t, F.lit(CODE_NAME), x["s"] + 1, F.lit(3)))
 
 
 def with_views(docs: DataFrame, text: str = "text", quotes: bool = True) -> DataFrame:
@@ -199,8 +203,7 @@ def line_and_column(text: Column, offset: Column) -> Column:
 
 def prose_with_code(text: Column, prose_: Column, start: Column, end: Column) -> Column:
     """The slice of ``prose`` with the inline code spans that lie wholly inside it put back."""
-    hidden = rewrite(rewrite(text, unix(FRONT), expose_front), unix(FENCE))
     whole = F.aggregate(
-        F.filter(spans(hidden, INLINE_CODE), lambda x: (x["s"] >= start) & (x["e"] <= end)), prose_, lambda t, x: F.overlay(t, F.substring(text, x["s"] + 1, x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"])
+        F.filter(code_spans(text), lambda x: (x["s"] >= start) & (x["e"] <= end)), prose_, lambda t, x: F.overlay(t, F.substring(text, x["s"] + 1, x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"])
     )
     return F.substring(whole, start.cast("int") + 1, (end - start).cast("int"))

@@ -29,7 +29,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
 
     ``docs``: doc_id, text (and more). Layers without an active rule are not planned. Dependency rules run if
     ``tokens`` are given; the rules of parsed candidates if ``parsed`` has the candidates' tokens: "prefixes" (of
-    ``regex_rules.sentence_matches``, the sentence's start as block_id), "pieces" and "beats" (of ``parsed_metrics``). Judgments run if ``answers`` are; without answers, rules that require one report nothing.
+    ``regex_rules.sentence_matches``, the sentence's start as block_id), "pieces" and "beats" (of ``parsed_metrics``), "isolated" (of ``graph.isolated_spans``). Judgments run if ``answers`` are; without answers, rules that require one report nothing.
     """
     active = select(rules or load(), set(options.only), set(options.disable), set(options.disable_category), options.no_emoji)
     # read by every layer: kept in memory or on the executors' disks, and recomputed if an executor is lost
@@ -42,7 +42,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     regex = [r for r in active if r.category in ("phrase", "template", "punct") and r.pattern]
     if regex:
         sents5 = V.sentences(views, blocks, (*V.TEXT_KINDS, "heading"))
-        found = regex_rules.raw_matches(views, regex).unionByName(regex_rules.anchored_matches(sents5, views, regex))
+        found = regex_rules.raw_matches(views, regex)
         if "prefixes" in parsed:
             nominal = graph.nominal(parsed["prefixes"], ["doc_id", "block_id"]).withColumnRenamed("block_id", "span_start")
             found = found.unionByName(regex_rules.sentence_matches(sents5, regex).drop("prefix").join(nominal, ["doc_id", "span_start"], "left_semi"))
@@ -53,7 +53,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
             parts.append(reduce.with_marks(c).select(*cols))
     grammar = [r for r in active if r.dependency]
     if grammar and tokens is not None:
-        parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(views, blocks), grammar, lexicon).select(*cols))
+        parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(views, blocks), grammar, lexicon, parsed.get("isolated")).select(*cols))
     values = {f.__name__: f(prose, parsed[k]) for k, f in (("pieces", parsed_metrics.parallel_clause_repeats), ("beats", parsed_metrics.staccato_beats)) if k in parsed}
     doc_rules = [r for r in active if r.metric in metrics.METRICS or r.metric in values]
     if doc_rules:

@@ -111,15 +111,19 @@ def test_merge_touching_and_marks(spark):
     assert got == [("a", 0, 7), ("a", 9, 10), ("b", 4, 6)]
 
 
-@pytest.mark.parametrize(
-    "text, hit",
-    [
-        ("This is a tool, not a toy.", True), ("It works, but not for long.", True), ("She stayed; he did not.", True), ("We left early, and it rained.", False),
-        ("He never stopped running, but he was tired.", False), ("It cannot fail.", False), ("", False), ("Usually, not all of them are open.", False),
-    ],
-)
-def test_contrast(text, hit):
-    assert scanner.facts(text)[1] is hit
+CONTRAST = [
+    ("This is a tool, not a toy.", True), ("It works, but not for long.", True), ("She stayed; he did not.", True), ("We left early, and it rained.", False),
+    ("He never stopped running, but he was tired.", False), ("It cannot fail.", False), ("", False), (None, False), ("Usually, not all of them are open.", False), ("Therefore, not every visitor was able to enter.", False),
+    ("The crowd, not knowing the reason, waited outside.", False), ("The crowd, not knowing the reason, waited, not in vain.", True), ("Growing, not shrinking, was the plan.", True), ("The door, not the window, was open.", True),
+    ("It ran well — not fast, though.", True), ("But not now.", False), ("We did not ask, but they told us.", True), ("We did not ask (they told us) but left.", False), ("The price rose, neither here nor there.", True),
+    ("He has never ceased to wonder; she has.", False), ("It ended; nobody could see that, but it was not late.", True), (", not this", False), ("Not this, but that.", True), ("We left; they never really stopped talking.", False),
+]
+
+
+def test_contrast(spark):
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CONTRAST)], "i int, sentence string")
+    got = {r.i: r.contrast for r in scanner.facts(d).collect()}
+    assert [t for i, (t, want) in enumerate(CONTRAST) if got[i] is not want] == []
 
 
 def test_contrast_pairs(spark):
@@ -183,3 +187,79 @@ def test_lint_options_and_edge_rows(spark):
     skipped = lint(d, Options(only=only.only, skip_quotes=True)).collect()
     assert len(skipped) == 2
     assert lint(d.limit(0), only).count() == 0
+
+
+EXAMPLES = [
+    ("Every plan counts, every map matters, every legend helps.", "template.echo-triplet"), ("Same tool, different hands.", "template.verbless-pair"), ("It shipped \U0001F680 today.", "punct.emoji"),
+    ("The list is long and complete, and both properties are required.", "template.appended-backreference"), ("Two options, both bad.", "template.count-opener"),
+]
+
+
+def test_patterns_run_in_the_jvm(spark):
+    """Every pattern and exception of the catalogue compiles where it will run; those written in another dialect match there."""
+    regex_rules.compiled(spark, RULES)
+    bad = C.rule_from({"id": "phrase.x", "severity": "bite", "message": "m", "pattern": "(?P<a_b>x)"}, "phrase")
+    with pytest.raises(C.CatalogueError):
+        regex_rules.compiled(spark, [bad])
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(EXAMPLES)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.rule_id) for r in regex_rules.regex_findings(V.with_views(d), C.select(RULES, no_emoji=True)).collect()}
+    assert lint(d).count() > 2
+    assert [r for i, (_, r) in enumerate(EXAMPLES) if (i, r) not in got] == []
+
+
+def test_located_against_a_loop(spark):
+    rnd = random.Random(3)
+    cut = {k: sorted(rnd.sample(range(60), 8)) for k in range(30)}
+    iv = [(k, a, b) for k, c in cut.items() for a, b in zip(c[::2], c[1::2])]
+    pts = [(k, rnd.randint(0, 60), "p") for k in range(32) for _ in range(6)] * 2
+    i = spark.createDataFrame(iv, "doc_id bigint, span_start bigint, span_end bigint")
+    p = spark.createDataFrame(pts, "doc_id bigint, span_start bigint, tag string")
+    got = sorted((r.doc_id, r.span_start, r.x and (r.x.span_start, r.x.span_end), r.y) for r in regex_rules.located(p, x=i, y=i.limit(0)).collect())
+    want = sorted((k, a, next(((s, e) for d, s, e in iv if d == k and s <= a < e), None), None) for k, a, _ in pts)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_noun_gates(spark):
+    """A cluster that names code, or reads alone as a gerund with its object, is none; marks of code cover all of it."""
+    d = spark.createDataFrame([(1, "`make all` cache size."), (2, "Testing cache size."), (3, "disk cache size.")], "doc_id bigint, text string")
+    v = V.with_views(d)
+    b = V.blocks(V.lines(v))
+    rows = []
+    for doc, words in ((1, ("Bob", "cache", "size")), (2, ("Testing", "cache", "size")), (3, ("disk", "cache", "size"))):
+        at = {1: (0, 11, 17), 2: (0, 8, 14), 3: (0, 5, 11)}[doc]
+        rows += [(doc, 1, i, at[i], w, w.lower(), w.lower(), "NOUN", "NN", "compound" if i < 2 else "ROOT", min(i + 1, 2)) for i, w in enumerate(words)]
+    t = spark.createDataFrame(rows, graph.TOKENS_DDL)
+    rule = C.rule_from({"id": "noun.three", "severity": "bark", "message": "m", "dependency": [[{"RIGHT_ID": "a", "RIGHT_ATTRS": {"POS": "NOUN"}}, {"LEFT_ID": "a", "REL_OP": ">", "RIGHT_ID": "b", "RIGHT_ATTRS": {"POS": "NOUN"}}, {"LEFT_ID": "b", "REL_OP": ">", "RIGHT_ID": "c", "RIGHT_ATTRS": {"POS": "NOUN"}}]]}, "noun")
+    s = V.sentences(v, b)
+    assert {r.doc_id for r in graph.graph_findings(t, v, b, s, [rule]).collect()} == {2, 3}
+    todo = graph.isolated_spans(t, v, b, s, [rule]).collect()
+    assert [(r.doc_id, r.text) for r in todo] == [(2, "Testing cache size")]
+    alone = spark.createDataFrame([(2, 0, todo[0].span_end, 0, "VERB", "VBG", "ROOT", 0), (2, 0, todo[0].span_end, 2, "NOUN", "NN", "dobj", 0)], "doc_id bigint, span_start bigint, span_end bigint, i int, pos string, tag string, dep string, head_i int")
+    assert {r.doc_id for r in graph.graph_findings(t, v, b, s, [rule], isolated=alone).collect()} == {3}
+    lex = spark.createDataFrame([("disk", "VERB")], "form string, upos string")
+    assert {r.doc_id for r in graph.graph_findings(t, v, b, s, [rule], lex).collect()} == {2}
+
+
+def test_ancestors(spark):
+    rnd = random.Random(5)
+    heads = {(1, b): [0] + [rnd.randint(0, i - 1) for i in range(1, 40)] for b in range(6)} | {(2, 1): [1, 0, 1, 9]}
+    rows = [(d, b, i, 0, "x", "x", "x", "X", "X", "dep", h) for (d, b), hs in heads.items() for i, h in enumerate(hs)]
+    got = {(r.doc_id, r.block_id, r.i): list(r.above) for r in graph.with_ancestors(spark.createDataFrame(rows, graph.TOKENS_DDL)).collect()}
+    for (d, b), hs in heads.items():
+        for i in range(len(hs)):
+            want, k = [], i
+            while hs[k] != k and hs[k] < len(hs) and hs[k] not in want and hs[k] != i:
+                k = hs[k]
+                want.append(k)
+            assert got[(d, b, i)] == want, (d, b, i)
+
+
+def test_opening_gate_of_dependency_rules(spark):
+    """A dependency rule with opening_reference fires where its match opens the document."""
+    rule = next(r for r in RULES if r.id == "verb.demonstrative-enables")
+    assert rule.opening_reference
+    d = spark.createDataFrame([(1, "This enables growth."), (2, "Some words. This enables growth."), (3, "> quoted\n\nThis enables growth.")], "doc_id bigint, text string")
+    v = V.with_views(d)
+    b = V.blocks(V.lines(v))
+    m = b.where("kind = 'paragraph'").select("doc_id", F.lit(rule.id).alias("rule_id"), (F.col("span_end") - 20).alias("span_start"), F.struct("kind", "span_end").alias("b")).join(v.select("doc_id", "text", "prose"), "doc_id")
+    assert {r.doc_id for r in regex_rules.opening_only(m, b, [rule]).collect()} == {1}
