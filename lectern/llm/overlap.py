@@ -7,11 +7,15 @@ product of two vectors is the number of runs they share.
 One edit touches at most Q runs. So two texts within distance k, the longer of n characters, share at
 least n - Q + 1 - k * Q runs (with k = n // 5 and Q = 3 about 0.4 n): a bound on the cosine that no pair
 within the distance can miss, wherever its edits are. Weights by document frequency have no such bound,
-as the edits may hit the heavy terms.
+as the edits may hit the heavy terms; all terms weigh the same.
 
-The products come from inverted lists, in blocks of texts of like length: a text meets the blocks whose
-lengths may fit, so a block fits the memory of a task at any size of the table. Pairs that reach their
-bound get the exact edit distance. Where the bound is nil, all pairs whose lengths fit get it.
+The products are made in blocks of texts of like length: a text meets the blocks whose lengths may fit, so a
+block fits the memory of a task at any size of the table. The terms of the longest inverted lists are taken first,
+as a dense matrix product. What the other terms can add is bound by their squared norm, with unit weights their number:
+pairs that cannot reach their bound any more are out, and a text with none left is not looked up (residual norm and
+greatest weight). For the others the short lists complete the product. Then the runs of the longer text that the other has
+within k places are counted, which are bound alike; what passes gets the exact edit distance. Where the
+bound is nil, all pairs whose lengths fit get it. Runs are numbered by a hash, so a product may be too great, never too small.
 
 Work grows with the number of pairs whose lengths fit. Copies are expanded only at the end, as the found
 pairs require.
@@ -30,25 +34,12 @@ from lectern.llm.canonical import fold, source_name, split_name
 Q = 3
 EDIT_SHARE = 5
 #: Texts and characters of a block.
-BLOCK, BLOCK_CHARS = 2000, 1_000_000
+BLOCK, BLOCK_CHARS = 4000, 2_000_000
 #: Lengths of a band differ by less than this factor; lengths that fit (a factor of 1.25) are at most REACH bands apart.
 BAND, REACH = 1.1, 3
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def gram_hashes(text: str, q: int = Q) -> np.ndarray:
-    """64-bit hashes of the runs of q code points, each with its number among equal runs; sorted by run."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(0, len(cp) - q + 1)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(q):
-            h = (h ^ cp[i : i + n]) * _P
-            h ^= h >> np.uint64(29)
-        h.sort()
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if n else np.zeros(0, np.int64)
-        h += (np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return h
+#: Inverted lists that are multiplied as a dense matrix, and texts whose products are at hand at a time.
+DENSE, ROWS = 2048, 512
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_shared(longer: np.ndarray, q: int = Q) -> np.ndarray:
@@ -56,27 +47,84 @@ def least_shared(longer: np.ndarray, q: int = Q) -> np.ndarray:
     return longer - q + 1 - longer // EDIT_SHARE * q
 
 
+class Block:
+    """The runs of texts in one sorted array: ``keys`` by text, run and place; ``terms``: run and its number among equals."""
+
+    def __init__(self, texts: list[str], place_bits: int, run_bits: int):
+        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        self.size = np.array([len(c) for c in points], np.int64)
+        n = np.maximum(self.size - Q + 1, 0)
+        self.start = np.concatenate(([0], np.cumsum(n)))
+        flat = np.concatenate([*points, np.zeros(Q, np.uint32)]).astype(np.uint64)
+        self.owner = np.repeat(np.arange(len(texts)), n)
+        place = np.arange(len(self.owner)) - self.start[self.owner]
+        at = place + (np.cumsum(self.size) - self.size)[self.owner]
+        with np.errstate(over="ignore"):
+            run = sum(flat[at + i] << np.uint64(21 * i) for i in range(Q)) * _MIX
+        run ^= run >> np.uint64(29)
+        run = (run * _MIX >> np.uint64(64 - run_bits)).astype(np.int64) if len(run) else np.zeros(0, np.int64)
+        self.keys = ((self.owner << run_bits | run) << place_bits) | place
+        self.keys.sort()
+        run_of = self.keys >> place_bits
+        first = np.flatnonzero(np.concatenate(([True], run_of[1:] != run_of[:-1]))) if len(run_of) else np.zeros(0, np.int64)
+        self.number = np.arange(len(run_of)) - np.repeat(first, np.diff(np.append(first, len(run_of))))
+        self.run = run_of & ((1 << run_bits) - 1)
+        self.keys &= (1 << (run_bits + place_bits)) - 1
+        self.place = self.keys & ((1 << place_bits) - 1)
+
+    def near(self, i: int, other: Block, j: int, k: int) -> int:
+        """Runs of text i that the other block's text j has within k places."""
+        s = slice(self.start[i], self.start[i + 1])
+        mine, theirs = self.keys[s], other.keys[other.start[j] : other.start[j + 1]]
+        if not len(theirs):
+            return 0
+        at = theirs.searchsorted(mine - np.minimum(self.place[s], k))
+        return int(np.count_nonzero(theirs[np.minimum(at, len(theirs) - 1)] - mine + k <= 2 * k) - np.count_nonzero(at == len(theirs)))
+
+
 def block_pairs(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, shared runs) of the pairs of xs and ys whose lengths fit and that share as many runs as they must."""
-    lists = [gram_hashes(y) for y in ys]
-    terms = np.concatenate(lists)
-    order = np.argsort(terms, kind="stable")
-    owner = np.repeat(np.arange(len(ys)), [len(g) for g in lists])[order]
-    terms, start = np.unique(terms[order], return_index=True)
-    start = np.append(start, len(owner))
-    size = np.array([len(y) for y in ys])
-    found = []
-    for i, x in enumerate(xs):
-        g = gram_hashes(x)
-        at = np.searchsorted(terms, g)
-        at = at[at < len(terms)][terms[at[at < len(terms)]] == g[at < len(terms)]]
-        lo, n = start[at], start[at + 1] - start[at]
-        posts = owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
-        shared = np.bincount(posts, minlength=len(ys))
-        longer = np.maximum(size, len(x))
-        j = np.flatnonzero((np.abs(size - len(x)) * EDIT_SHARE <= longer) & (shared >= least_shared(longer)))
-        found.append((np.full(len(j), i), j, shared[j]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+    """(i, j, shared runs) of the pairs of xs and ys that may be within the distance."""
+    place_bits = max(map(len, (*xs, *ys))).bit_length()
+    run_bits = min(26, 62 - place_bits - max(len(xs), len(ys)).bit_length())
+    x, y = Block(xs, place_bits, run_bits), Block(ys, place_bits, run_bits)
+    numbers = int(max(x.number.max(initial=0), y.number.max(initial=0))).bit_length()
+    x_term, y_term = x.run << numbers | x.number, y.run << numbers | y.number
+    terms, counts = np.unique(y_term, return_counts=True)
+    common = np.sort(terms[np.argsort(-counts, kind="stable")[:DENSE]])
+
+    def split(b: Block, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix of the common terms, and which terms are not among them."""
+        c = np.minimum(np.searchsorted(common, term), max(0, len(common) - 1))
+        has = common[c] == term if len(common) else np.zeros(len(term), bool)
+        m = np.zeros((len(b.size), max(1, len(common))), np.float32)
+        m[b.owner[has], c[has]] = 1
+        return m, ~has
+
+    x_common, x_rare = split(x, x_term)
+    y_common, y_rare = split(y, y_term)
+    x_rest, y_rest = np.bincount(x.owner[x_rare], minlength=len(xs)), np.bincount(y.owner[y_rare], minlength=len(ys))
+    # the short lists, for the texts that have a pair left
+    order = np.argsort(y_term[y_rare], kind="stable")
+    posts, listed = y.owner[y_rare][order], y_term[y_rare][order]
+    lo, hi = np.searchsorted(listed, x_term[x_rare]), np.searchsorted(listed, x_term[x_rare], side="right")
+    edge = np.searchsorted(x.owner[x_rare], np.arange(len(xs) + 1))
+    found: list[tuple[int, int, int]] = []
+    for base in range(0, len(xs), ROWS):
+        part = slice(base, base + ROWS)
+        product = x_common[part] @ y_common.T
+        longer = np.maximum(x.size[part, None], y.size[None, :])
+        need = least_shared(longer)
+        alive = (np.abs(x.size[part, None] - y.size[None, :]) * EDIT_SHARE <= longer) & (product + np.minimum(x_rest[part, None], y_rest[None, :]) >= need)
+        for r in np.flatnonzero(alive.any(axis=1)):
+            i = base + int(r)
+            a, n = lo[edge[i] : edge[i + 1]], hi[edge[i] : edge[i + 1]] - lo[edge[i] : edge[i + 1]]
+            shared = product[r] + np.bincount(posts[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)], minlength=len(ys))
+            for j in np.flatnonzero(alive[r] & (shared >= need[r])).tolist():
+                k = int(longer[r, j]) // EDIT_SHARE
+                if need[r, j] <= 0 or (x.near(i, y, j, k) if x.size[i] >= y.size[j] else y.near(j, x, i, k)) >= need[r, j]:
+                    found.append((i, j, int(shared[j])))
+    out = np.array(found, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
