@@ -297,18 +297,32 @@ def _resolved(t: str) -> bool:
 
 
 def subtrees(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of every complete block element with visible text; the hash is of names and folded text."""
+    """(start, end, hash) of every complete block element with visible text.
+
+    An element's hash is made of its name, the words that stand in it and the hashes of its elements, in order; the
+    elements come innermost first, so each text is hashed once however deep it is.
+    """
     if not text or "<" not in text:
         return []
-    out = []
-    for a, inner, end in _elements(_blank(text, _spans(COMMENT, text)))[1]:
-        if a[2].lower() not in BLOCK:
-            continue
-        body = text[a.end() : inner]
-        shown = " ".join(TAG.sub("", body).lower().split())
-        if shown:
-            shape = a[2].lower() + "|" + ",".join(m[2].lower() for m in TAG.finditer(body)) + "|" + shown
-            out.append((a.start(), end, int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)))
+    t = _blank(text, _spans(COMMENT, text))
+    out: list[tuple[int, int, int]] = []
+    done: list[tuple[int, int, bytes, bool]] = []  # start, end, digest, visible of the outermost elements so far
+    for tag, inner, end in _elements(t)[1]:
+        name = tag[2].lower()
+        k = len(done)
+        while k and done[k - 1][0] >= tag.end():
+            k -= 1
+        h, at, visible = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8), tag.end(), False
+        for start, stop, digest, seen in (*done[k:], (inner, inner, b"", False)):
+            if words := TAG.sub(" ", t[at:start]).lower().split():
+                visible = True
+                h.update(b"\x00" + " ".join(words).encode("utf-8", "surrogatepass"))
+            if digest:
+                h.update(b"\x01" + digest)
+            visible, at = visible or seen, max(at, stop)
+        done[k:] = [(tag.start(), end, h.digest(), visible)]
+        if visible and name in BLOCK:
+            out.append((tag.start(), end, int.from_bytes(h.digest(), "big", signed=True)))
     return out
 
 
@@ -490,36 +504,34 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(d).unionByName(spread(e))
 
 
-def recognised(pages: DataFrame) -> DataFrame:
-    """origin, rec_id, host, families (bits), subtrees (hashes of the page's block elements, each once)."""
+def hashed(pages: DataFrame) -> DataFrame:
+    """origin, rec_id, host, page (digest of the text, blanks and letter case set aside), subtrees (hashes of block elements, each once) of pages with HTML elements."""
+    page = F.xxhash64(F.regexp_replace(F.lower("text"), r"\s+", " "))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ts = b.column(3).to_pylist()
-        bits = [families(t) for t in ts]
-        hashes = [sorted({h for _, _, h in subtrees(t)}) if x & 1 else [] for t, x in zip(ts, bits)]
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(bits, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["origin", "rec_id", "host", "families", "subtrees"])
+        hashes = [sorted({h for _, _, h in subtrees(t)}) if families(t) & 1 else [] for t in b.column(4).to_pylist()]
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(hashes, pa.list_(pa.int64()))], names=["origin", "rec_id", "host", "page", "subtrees"])
 
-    return arrow_map(pages.select("origin", "rec_id", "host", "text"), run, "origin string, rec_id bigint, host string, families int, subtrees array<bigint>")
+    rows = pages.where(F.col("text").rlike("<[A-Za-z]")).select("origin", "rec_id", "host", page.alias("page"), "text")
+    return arrow_map(rows, run, "origin string, rec_id bigint, host string, page bigint, subtrees array<bigint>").where(F.size("subtrees") > 0)
 
 
 def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, hash of the subtrees that recur on a host's pages."""
-    counts = found.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= min_pages).select("host", "hash")
+    """host, hash of the subtrees that recur on a host's pages. Copies of a page count as one, so what only they share stays."""
+    once = found.select("host", "page", F.explode("subtrees").alias("hash")).distinct()
+    return once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
-def cleaned(pages: DataFrame, small: int = 50_000) -> DataFrame:
+def cleaned(pages: DataFrame) -> DataFrame:
     """origin, rec_id, families, clean, dropped (number of template subtrees left out).
 
-    The pages to change meet their texts in a join; if they are at most ``small`` they are broadcast, and no
-    text is shuffled.
+    The numbers of the pages to change, written before, meet the texts in a join that broadcasts them only below the
+    session's size limit. Null texts have no families and an empty clean text; a page that is all template comes out empty.
     """
     pages = pages.select("origin", "rec_id", "host", "text")
-    found = written(recognised(pages), "p2-found")
-    templates = site_templates(found)
-    drops = found.select("origin", "rec_id", "host", F.explode("subtrees").alias("hash")).join(templates, ["host", "hash"]).groupBy("origin", "rec_id").agg(F.collect_set("hash").alias("drop"))
-    drops = written(drops, "p2-drops")
-    rows = pages.join(F.broadcast(drops) if drops.count() <= small else drops, ["origin", "rec_id"], "left")
+    found = written(hashed(pages), "p2-found")
+    drops = found.select("origin", "rec_id", "host", F.explode("subtrees").alias("hash")).join(site_templates(found), ["host", "hash"]).groupBy("origin", "rec_id").agg(F.collect_set("hash").alias("drop"))
+    rows = pages.join(written(drops, "p2-drops"), ["origin", "rec_id"], "left")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ts, ds = b.column(2).to_pylist(), b.column(3).to_pylist()

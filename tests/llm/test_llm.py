@@ -151,6 +151,24 @@ def test_site_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert {(r.clean, r.dropped) for r in markup.cleaned(d).where("rec_id = 3").collect()} == {("page 3", 2)}
 
 
+def test_site_templates_leave_copied_pages_whole(spark):
+    page = "<div><h1>Long read</h1><p>All of it {}.</p></div>"
+    rows = [("documents", i, "h", page.format("here") + " " * i) for i in range(40)] + [("documents", 100 + i, "h", f"<div><p>nav bar</p></div><p>own {i}</p>") for i in range(10)]
+    d = spark.createDataFrame(rows, "origin string, rec_id bigint, host string, text string")
+    got = {r.rec_id: (r.clean, r.dropped) for r in markup.cleaned(d).collect()}
+    assert {got[i] for i in range(40)} == {("# Long read\n\nAll of it here.", 0)} and got[103] == ("own 3", 2)
+    few = spark.createDataFrame(rows[:40] + rows[40:49], d.schema)
+    assert {r.dropped for r in markup.cleaned(few).collect()} == {0}
+
+
+def test_subtree_hashes_are_of_shape_and_words():
+    one = lambda t: {h for _, _, h in markup.subtrees(t)}
+    assert one("<div class='a'>\n <p>Say <b>it</b></p></div>") == one("<DIV id=x><p>say   <b>IT</b><!-- no --></p></DIV>")
+    assert not one("<div><p>a</p><p>b</p></div>") & one("<div><p>b</p><p>c</p><p>a b</p></div>") - one("<p>b</p>") and not one("<div><p> </p></div>")
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert len(one(deep)) == 3000
+
+
 @pytest.mark.parametrize("n", [3, 59, 60, 5000])
 def test_elements_without_end_tags(n):
     for head, item, foot in (("<ul>", "<li>item {}", "</ul>"), ("<table>", "<tr><td>item {}<td>x", "</table>"), ("<div>", "<p>item {}", "</div>"), ("<dl>", "<dt>item {}<dd>x", "</dl>")):
