@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.runtime import table
+from lectern.functions.runtime import table, written
 from lectern.llm.canonical import fold, json_key
 from lectern.llm.ledger import Ledger
 
@@ -22,23 +22,26 @@ RECORDS: dict[str, tuple[str, str, object]] = {
 }
 
 
+#: A group of more than one in so many records is hot; there are at most as many hot groups.
+HOT = 1000
+
+
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """origin, rec_id, arrived, key of every record. The origin is part of the key: copies are within one table."""
+    """origin, rec_id, arrived (microseconds), key of every record, written once. The origin is part of the key: copies are within one table."""
     out = None
     for origin, (rec, arrived, form) in RECORDS.items():
         text: Column = form()
         part = table(spark, sf_dir, origin).select(
-            F.lit(origin).alias("origin"), F.col(rec).alias("rec_id"), F.col(arrived).alias("arrived"), F.unhex(F.sha2(F.concat(F.lit(origin), F.lit("\x00"), text), 256)).alias("key")
+            F.lit(origin).alias("origin"), F.col(rec).alias("rec_id"), F.unix_micros(F.col(arrived).cast("timestamp")).alias("arrived"), F.unhex(F.sha2(F.concat(F.lit(origin), F.lit("\x00"), text), 256)).alias("key")
         )
         out = part if out is None else out.unionByName(part)
-    return out.where(F.col("key").isNotNull())
+    return written(out.where(F.col("key").isNotNull()), "p4-keyed")
 
 
-def absorbed(records: DataFrame, batches: int = 2, buckets: int = 64) -> Ledger:
+def absorbed(records: DataFrame, batches: int = 2, buckets: int | None = None) -> Ledger:
     """A ledger that took the records in batches by time of arrival, those without one last."""
-    spark = records.sparkSession
-    ledger = Ledger(spark, buckets=buckets)
-    at = F.unix_seconds(F.col("arrived").cast("timestamp"))
+    ledger = Ledger(records.sparkSession, buckets=buckets)
+    at = F.col("arrived")
     q = records.select(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *q, None]
     for lo, hi in zip(edges, edges[1:]):
@@ -52,9 +55,18 @@ def absorbed(records: DataFrame, batches: int = 2, buckets: int = 64) -> Ledger:
 
 
 def copies(records: DataFrame, ledger: Ledger) -> DataFrame:
-    """origin, keep_id, copy_id: each row that is a copy, beside the earliest of its group."""
+    """origin, keep_id, copy_id: each row that is a copy, beside the one of its group with the smallest number.
+
+    Hot groups, at most ``HOT``, are broadcast, so their rows stay where they are; the others meet in a shuffle in which no
+    key has more than one row in ``HOT``.
+    """
+    total = ledger.rows().agg(F.sum("n")).first()[0] or 0
     groups = ledger.rows().where("n > 1").select("key", "keep_id", "n")
-    return records.join(groups, "key").where(F.col("rec_id") > F.col("keep_id")).select("origin", "keep_id", F.col("rec_id").alias("copy_id"))
+    hot = groups.where(F.col("n") * HOT > total).select("key", F.col("keep_id").alias("hot_id"))
+    rows = records.join(F.broadcast(hot), "key", "left")
+    rest = rows.where("hot_id is null").join(groups.where(F.col("n") * HOT <= total).select("key", "keep_id"), "key")
+    got = rows.where("hot_id is not null").select("origin", F.col("hot_id").alias("keep_id"), "rec_id").unionByName(rest.select("origin", "keep_id", "rec_id"))
+    return got.where("rec_id > keep_id").select("origin", "keep_id", F.col("rec_id").alias("copy_id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +75,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record once: origin, keep_id, copies, and for sessions how many stored digests are right, stale or missing."""
+    """Each record once: origin, keep_id, first_id (the row that arrived first), copies, and for sessions how many stored digests are right, stale or missing."""
     r = keyed(spark, sf_dir)
     s = table(spark, sf_dir, "session_records").select(
         F.lit("session_records").alias("origin"),
         F.col("rec_no").alias("rec_id"),
         F.when(F.col("sha256").isNull(), "missing").when(F.lower(F.trim("sha256")) == F.sha2("text", 256), "right").otherwise("stale").alias("digest"),
     )
-    groups = absorbed(r).rows().select("key", "keep_id", F.col("n").alias("copies"))
+    groups = absorbed(r).rows().select("key", "keep_id", F.col("first.id").alias("first_id"), F.col("n").alias("copies"))
     by_key = r.join(s, ["origin", "rec_id"], "left").groupBy("key", "origin").agg(
         *(F.count(F.when(F.col("digest") == d, 1)).alias(f"digest_{d}") for d in ("right", "stale", "missing"))
     )
-    return by_key.join(groups, "key").select("origin", "keep_id", "copies", "digest_right", "digest_stale", "digest_missing")
+    return by_key.join(groups, "key").select("origin", "keep_id", "first_id", "copies", "digest_right", "digest_stale", "digest_missing")

@@ -1,7 +1,7 @@
 """An incremental ledger of canonical keys: copies counted batch by batch.
 
 The ledger is a folder of versions. A version holds, for the buckets its batch touched, one row for
-each key: how many records bear it and which came first (the smallest record key). A new batch is
+each key: how many records bear it, the smallest record number, and the record that arrived first. A new batch is
 aggregated by (bucket, key) first - with map-side combining, so a key of a third of all rows costs one
 row per task - then joined full-outer against the same buckets of the ledger only, and the sums are
 written as the next version of those buckets. Nothing of the ledger is held in memory or at the
@@ -9,7 +9,8 @@ driver; only the numbers of the touched buckets (at most ``buckets``) are.
 
 A version becomes visible with Spark's own commit of its folder; a batch that failed half-way leaves
 the ledger as it was. A ledger is opened by its path: which version has a bucket's rows is read from the
-folders. Null keys are left out; the same record absorbed twice counts twice.
+folders. The number of buckets follows the size of the first batch and stays. Null keys are left out; records without
+a time of arrival come after those with one, and among equals the smallest number is first; the same record absorbed twice counts twice.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions.runtime import shared_dir, written
 
-SCHEMA = "key binary, n bigint, keep_id bigint, bucket int"
+SCHEMA = "key binary, n bigint, keep_id bigint, first struct<at:bigint,id:bigint>, bucket int"
+#: Buckets of a new ledger: for so many keys of its first batch one, and at least so many.
+KEYS, LEAST = 1_000_000, 64
+_NEVER = (1 << 63) - 1
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
         self.latest: dict[int, str] = {}
@@ -66,14 +70,12 @@ class Ledger:
         return out
 
     def absorb(self, records: DataFrame, key: str = "key", rec: str = "rec_id") -> None:
-        """Add a batch of records (a binary key and a record number)."""
-        batch = (
-            records.where(F.col(key).isNotNull())
-            .groupBy(F.col(key).alias("key"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("keep_id"))
-            .withColumn("bucket", self.bucket(F.col("key")))
-        )
+        """Add a batch of records (a binary key, a record number and perhaps ``arrived``, microseconds)."""
+        at = F.coalesce("arrived", F.lit(_NEVER)) if "arrived" in records.columns else F.lit(_NEVER)
+        batch = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(rec).alias("keep_id"), F.min(F.struct(at.alias("at"), F.col(rec).alias("id"))).alias("first"))
         batch = written(batch, "p4-batch")  # read for its buckets and for the join
+        self.buckets = self.buckets or max(LEAST, -(-batch.count() // KEYS))
+        batch = batch.withColumn("bucket", self.bucket(F.col("key")))
         buckets = self.touched(batch)
         if not buckets:
             return
@@ -84,6 +86,7 @@ class Ledger:
                 F.coalesce("b.key", "o.key").alias("key"),
                 (F.coalesce("b.n", F.lit(0)) + F.coalesce("o.n", F.lit(0))).alias("n"),
                 F.least("b.keep_id", "o.keep_id").alias("keep_id"),
+                F.least("b.first", "o.first").alias("first"),
                 F.coalesce("b.bucket", "o.bucket").alias("bucket"),
             )
         else:

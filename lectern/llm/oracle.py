@@ -9,14 +9,14 @@ def _fold(x: str) -> str:
 
 _NUMBER = "regexp_full_match(v, '-?(0|[1-9]\\d*)(\\.\\d+)?([eE][+-]?\\d+)?')"
 _KEYS = f"""f AS (SELECT raw_id, lower(trim(key)) AS k, CASE WHEN {_NUMBER} THEN '#' || (v::DOUBLE)::VARCHAR ELSE {_fold('v')} END AS x FROM (SELECT raw_id, e.key AS key, e.value ->> '$' AS v FROM raw_records, json_each(payload) e WHERE e.type <> 'NULL') WHERE lower(trim(key)) <> 'sha256'),
-k AS (SELECT 'evaluation' AS origin, eval_no AS rec_id, {_fold('sentence')} AS key FROM evaluation WHERE sentence IS NOT NULL UNION ALL SELECT 'session_records', rec_no, {_fold('text')} FROM session_records WHERE text IS NOT NULL
-UNION ALL SELECT 'raw_records', raw_id, string_agg(k || chr(1) || x, chr(2) ORDER BY k, x) FROM f GROUP BY raw_id),
-g AS (SELECT origin, key, min(rec_id) AS keep_id, count(*) AS copies FROM k GROUP BY origin, key)"""
+k AS (SELECT 'evaluation' AS origin, eval_no AS rec_id, loaded_at AS arrived, {_fold('sentence')} AS key FROM evaluation WHERE sentence IS NOT NULL UNION ALL SELECT 'session_records', rec_no, loaded_at, {_fold('text')} FROM session_records WHERE text IS NOT NULL
+UNION ALL SELECT 'raw_records', raw_id, any_value(received_at), string_agg(k || chr(1) || x, chr(2) ORDER BY k, x) FROM f JOIN raw_records USING (raw_id) GROUP BY raw_id),
+g AS (SELECT origin, key, min(rec_id) AS keep_id, arg_min(rec_id, (coalesce(arrived, TIMESTAMP '9999-12-31'), rec_id)) AS first_id, count(*) AS copies FROM k GROUP BY origin, key)"""
 
 P4_FOUND = f"WITH {_KEYS} SELECT k.origin, g.keep_id, k.rec_id AS copy_id FROM k JOIN g ON k.origin = g.origin AND k.key = g.key WHERE k.rec_id > g.keep_id"
 
 P4_RECORDS = f"""WITH {_KEYS}, d AS (SELECT rec_no, CASE WHEN sha256 IS NULL THEN 'missing' WHEN lower(trim(sha256)) = sha256(text) THEN 'right' ELSE 'stale' END AS s FROM session_records)
-SELECT k.origin, any_value(g.keep_id) AS keep_id, any_value(g.copies) AS copies, count(*) FILTER (d.s = 'right') AS digest_right, count(*) FILTER (d.s = 'stale') AS digest_stale, count(*) FILTER (d.s = 'missing') AS digest_missing
+SELECT k.origin, any_value(g.keep_id) AS keep_id, any_value(g.first_id) AS first_id, any_value(g.copies) AS copies, count(*) FILTER (d.s = 'right') AS digest_right, count(*) FILTER (d.s = 'stale') AS digest_stale, count(*) FILTER (d.s = 'missing') AS digest_missing
 FROM k JOIN g ON k.origin = g.origin AND k.key = g.key LEFT JOIN d ON k.origin = 'session_records' AND d.rec_no = k.rec_id GROUP BY k.origin, k.key"""
 
 # every window of 200 characters by its digest: those of two documents, joined where they overlap or touch

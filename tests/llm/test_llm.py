@@ -419,3 +419,28 @@ def test_extra_columns_do_not_clash(spark):
 def test_registered_names():
     names = list(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"p{k}" for k in range(1, 10)} and set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_copies_of_hot_groups(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(copies, "HOT", hot)
+    rows = [("t", i, i * 10 if i % 3 else None, b"hot" if i % 2 else bytes([i % 7])) for i in range(60)]
+    r = spark.createDataFrame(rows, "origin string, rec_id bigint, arrived bigint, key binary")
+    ledger_ = copies.absorbed(r)
+    got = sorted((x.keep_id, x.copy_id) for x in copies.copies(r, ledger_).collect())
+    keep = {}
+    for _, i, _, k in rows:
+        keep.setdefault(k, i)
+    assert got == sorted((keep[k], i) for _, i, _, k in rows if keep[k] != i)
+    first = {bytes(x.key): x["first"].id for x in ledger_.rows().collect()}
+    assert first == {k: min((i for _, i, a, kk in rows if kk == k), key=lambda i: (i % 3 == 0, i)) for k in keep}
+
+
+def test_ledger_reads_the_touched_buckets_only(spark, tmp_path):
+    r = spark.createDataFrame([(i, bytes([i])) for i in range(40)], "rec_id bigint, key binary")
+    one = ledger.Ledger(spark, str(tmp_path / "l"), 8)
+    one.absorb(r)
+    bucket = one.touched(r.select(one.bucket(F.col("key")).alias("bucket")).limit(1))[0]
+    files = one.rows([bucket]).select(F.input_file_name()).distinct().collect()
+    assert files and all(f"bucket={bucket}/" in f[0] for f in files)
+    assert ledger.Ledger(spark, str(tmp_path / "m")).rows().count() == 0
