@@ -29,3 +29,6 @@ P5_FOUND = f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM p"
 
 P5_SHARES = f"""WITH {_SPANS}, t AS (SELECT doc_id, count(*) AS spans, sum(span_end - span_start)::BIGINT AS shared FROM p GROUP BY doc_id)
 SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(spans, 0) AS spans, coalesce(shared, 0) AS shared, CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(shared, 0) / length(text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN t USING (doc_id)"""
+
+_COVER = "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS covered, 0::BIGINT AS first, coalesce(length(text), 0)::BIGINT AS last{} FROM documents"
+P7_COVER, P9_COVER = _COVER.format(", 0::BIGINT AS over"), _COVER.format("")

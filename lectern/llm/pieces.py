@@ -9,7 +9,8 @@ any boundary the token at the maximum. As the choice hangs on nearby text only,
 beside it and later ones fall on the same landmarks again.
 
 Sizes are those of the piece encoded by itself; a piece that comes out above the capacity that way is cut
-earlier. Null and empty texts give no piece, texts within the capacity one.
+earlier. A piece has the whole overlap but where the capacity has no room for it; how much it has is
+told (``overlap``, in tokens of the text). Null and empty texts give no piece, texts within the capacity one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.runtime import arrow_map, spread, table
+from lectern.llm.spans import sliding_min
 from lectern.llm.tokens import VOCABULARY, count, encoder, limit, offsets
 
 WINDOW = 32
@@ -63,19 +65,18 @@ def landmarks(text: str) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    pad = np.concatenate([np.full(REACH, np.iinfo(np.uint64).max, np.uint64), h, np.full(REACH, np.iinfo(np.uint64).max, np.uint64)])
-    low = np.lib.stride_tricks.sliding_window_view(pad, 2 * REACH + 1).min(axis=1)
+    low = sliding_min(np.pad(h, REACH, constant_values=np.iinfo(np.uint64).max), 2 * REACH + 1)
     at = np.flatnonzero(h == low)
     return at + WINDOW // 2, h[at]
 
 
-def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
-    """(start, core start, end, tokens) of each piece."""
+def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int, int]]:
+    """(start, core start, end, tokens, tokens of the overlap) of each piece."""
     if not text:
         return []
     n = count(text, path)
     if n <= capacity:
-        return [(0, 0, len(text), n)]
+        return [(0, 0, len(text), n, 0)]
     off = offsets(text, path)
     bounds, kinds = boundaries(text)
     marks, hashes = landmarks(text)
@@ -98,7 +99,11 @@ def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[
     else:
         spots, spot_kind, spot_hash = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
     e = encoder(path)
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int]] = []
+
+    def add(start: int, core: int, end: int, size: int) -> None:
+        out.append((start, core, end, size, int(np.searchsorted(off, core) - np.searchsorted(off, start))))
+
     core = 0
     room = capacity - overlap
     total = len(off) - 1
@@ -109,7 +114,7 @@ def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[
         if total - first <= most:
             size = len(e.encode_ordinary(text[start:]))
             if size <= capacity:
-                out.append((start, core, len(text), size))
+                add(start, core, len(text), size)
                 break
         reach = most
         while True:
@@ -132,26 +137,29 @@ def cut(text: str, capacity: int, overlap: int, path: str = VOCABULARY) -> list[
             if size <= capacity or reach <= 1:
                 break
             reach = max(1, reach - max(1, size - capacity) - 1)
-        if size > capacity and start < core:  # the overlap alone is too much here
-            start, size = core, len(e.encode_ordinary(text[core:end]))
-        out.append((start, core, end, size))
+        kept = overlap
+        while size > capacity and start < core:  # no room for the whole overlap here: as much of it as fits
+            kept = max(0, kept - (size - capacity))
+            start = min(core, max(start + 1, int(off[first - kept])))
+            size = len(e.encode_ordinary(text[start:end]))
+        add(start, core, end, size)
         core = end
     return out
 
 
 def pieces(docs: DataFrame, capacity: int, overlap: int, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """key, piece, span_start, core_start, span_end, tokens."""
+    """key, piece, span_start, core_start, span_end, tokens, overlap."""
     src = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = src.schema["key"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [cut(t, capacity, overlap, path) for t in b.column(1).to_pylist()]
         n = [len(g) for g in got]
-        flat = np.array([p for g in got for p in g], np.int64).reshape(-1, 4)
+        flat = np.array([p for g in got for p in g], np.int64).reshape(-1, 5)
         no = np.array([i for g in got for i in range(len(g))], np.int32)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(no), *(pa.array(flat[:, i]) for i in range(4))], names=["key", "piece", "span_start", "core_start", "span_end", "tokens"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(no), *(pa.array(flat[:, i]) for i in range(5))], names=["key", "piece", "span_start", "core_start", "span_end", "tokens", "overlap"])
 
-    return arrow_map(src, run, f"key {kind}, piece int, span_start bigint, core_start bigint, span_end bigint, tokens bigint").withColumnRenamed("key", key)
+    return arrow_map(src, run, f"key {kind}, piece int, span_start bigint, core_start bigint, span_end bigint, tokens bigint, overlap bigint").withColumnRenamed("key", key)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,3 +171,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, overlap = limit(spark, sf_dir, "window")
     return pieces(table(spark, sf_dir, "documents"), capacity, overlap)
+
+
+def p9_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the characters that its pieces' cores cover, end to end: all of them."""
+    got = p9_pieces(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("core_start")).alias("covered"), F.min("core_start").alias("first"), F.max("span_end").alias("last"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(got, "doc_id", "left").na.fill(0, ["covered", "first", "last"])

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from lectern.functions.runtime import arrow_map, spread, table
 VOCABULARY = os.environ.get("LECTERN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are encoded in stretches of about this many characters, cut before a blank, so that no text is too long.
+#: Texts are encoded in stretches of about this many characters, so that no text is too long for the encoder.
 STRETCH = 200_000
+# Places where one match of the split pattern ends and another begins whatever stands around: a cut there changes no token.
+_SEAM = regex.compile(r"(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=\S)(?=\s)")
 
 
 @lru_cache(maxsize=4)
@@ -31,10 +34,18 @@ def encoder(path: str = VOCABULARY):
 
 
 def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """The text in stretches of about ``size`` characters that have the tokens of the whole. Only a run of more letters, digits, blanks or signs than that is cut within."""
     out, a = [], 0
     while len(text) - a > size:
-        b = text.rfind(" ", a + size // 2, a + size)
-        b = b if b > a else a + size
+        seam, back = None, 1024
+        while seam is None:  # the last seam, looked for further and further back
+            lo = max(a + 1, a + size - back)
+            for seam in _SEAM.finditer(text, lo, a + size):
+                pass
+            if lo == a + 1:
+                break
+            back *= 4
+        b = seam.start() if seam else a + size
         out.append(text[a:b])
         a = b
     return [*out, text[a:]]

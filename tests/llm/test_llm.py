@@ -337,13 +337,29 @@ def test_p6_held_out_accuracy(spark):
     assert sum(same) / len(same) > 0.9  # about one label in twenty is wrong
 
 
-def test_pack_is_whole_and_tight():
+@pytest.mark.parametrize("kind", ["long tail", "even", "no small", "thirds", "one size"])
+def test_pack_is_whole_and_tight(kind):
     rnd = random.Random(2)
-    sizes = [min(2048, int(rnd.expovariate(1 / 400))) for _ in range(3000)] + [0, 0, 2048]
+    draw = {
+        "long tail": lambda: min(2048, int(rnd.expovariate(1 / 400))), "even": lambda: rnd.randint(0, 2048), "no small": lambda: rnd.randint(600, 1000),
+        "thirds": lambda: rnd.choice((682, 683, 400)), "one size": lambda: 256,
+    }[kind]
+    sizes = [draw() for _ in range(3000)] + [0, 0, 2048]
     boxes = packing.pack(sizes, 2048)
-    assert sorted(i for b in boxes for i in b) == list(range(len(sizes)))
-    loads = [sum(sizes[i] for i in b) for b in boxes]
-    assert max(loads) <= 2048 and sum(sizes) / (2048 * len(boxes)) > 0.99
+    assert sorted(i for b in boxes for w in b for i in w) == list(range(len(sizes)))
+    loads = [sum(sizes[i] for w in b for i in w) for b in boxes]
+    least = -(-sum(sizes) // 2048)
+    # plain best fit of the sorted sizes, for comparison
+    rooms: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        k = min((r, k) for k, r in enumerate([*rooms, 2048]) if r >= s)[1]
+        rooms = rooms + [2048] if k == len(rooms) else rooms
+        rooms[k] -= s
+    assert max(loads) <= 2048 and len(boxes) <= 1.02 * len(rooms) + 1 and (kind != "long tail" or len(boxes) <= 1.01 * least)
+    tier = packing.tiers_of(np.array(sizes), 2048)
+    for b in boxes:
+        for w in b:  # a window is no longer than the context of its longest item
+            assert sum(sizes[i] for i in w) <= 2048 // packing.TIERS[max(tier[i] for i in w)]
     assert packing.pack([], 2048) == []
 
 
@@ -383,8 +399,8 @@ def test_pieces():
     for text in ("\n\n".join(para() for _ in range(60)), "日本語。" * 3000, "0123456789abcdef" * 2000, "😀" * 3000):
         got = pieces.cut(text, 512, 32)
         assert got[0][0] == 0 and got[-1][2] == len(text) and all(a[2] == b[1] for a, b in zip(got, got[1:]))
-        assert all(n <= 512 and tokens.count(text[a:b]) == n for a, _, b, n in got)
-        assert all(s <= c for s, c, _, _ in got) and any(s < c for s, c, _, _ in got[1:])
+        assert all(n <= 512 and tokens.count(text[a:b]) == n for a, _, b, n, _ in got)
+        assert all(s <= c for s, c, *_ in got) and all(o == 32 for *_, o in got[1:-1])
     assert pieces.cut(None, 512, 32) == [] and pieces.cut("", 512, 32) == [] and len(pieces.cut("short", 512, 32)) == 1
 
 
@@ -392,8 +408,8 @@ def test_edit_moves_only_neighbours():
     rnd = random.Random(7)
     text = "\n\n".join(" ".join(rnd.choice(["alpha", "beta", "gamma,", "delta.", "epsilon"]) for _ in range(rnd.randint(20, 90))) for _ in range(200))
     at = len(text) // 2
-    a = {c for _, c, _, _ in pieces.cut(text, 1024, 64)}
-    b = {c if c < at else c - 9 for _, c, _, _ in pieces.cut(text[:at] + " inserted"[:9] + text[at:], 1024, 64)}
+    a = {c for _, c, *_ in pieces.cut(text, 1024, 64)}
+    b = {c if c < at else c - 9 for _, c, *_ in pieces.cut(text[:at] + " inserted"[:9] + text[at:], 1024, 64)}
     assert len(a ^ b) <= 6
 
 
@@ -401,6 +417,12 @@ def test_offsets():
     t = "naïve 日本 😀 text"
     o = tokens.offsets(t)
     assert o[0] == 0 and o[-1] == len(t) and (np.diff(o) >= 0).all()
+    for text in ("word, " * 90, "字" * 70 + "。" + "語" * 99, "a1" * 300, "x" * 500, "tab\t\t  \n" * 60, "it's 3.5% " * 40):
+        for size in (64, 100, 333):
+            cut = tokens.stretches(text, size)
+            assert "".join(cut) == text and max(map(len, cut)) <= size
+            whole = len(tokens.encoder().encode_ordinary(text))
+            assert sum(len(tokens.encoder().encode_ordinary(c)) for c in cut) == whole or text[0] in "x字t"
     assert tokens.count(None) == 0 and tokens.count("a " * 300_000) == sum(tokens.count(s) for s in tokens.stretches("a " * 300_000))
 
 
@@ -444,3 +466,8 @@ def test_ledger_reads_the_touched_buckets_only(spark, tmp_path):
     files = one.rows([bucket]).select(F.input_file_name()).distinct().collect()
     assert files and all(f"bucket={bucket}/" in f[0] for f in files)
     assert ledger.Ledger(spark, str(tmp_path / "m")).rows().count() == 0
+
+
+def test_letters_beyond_the_first_planes():
+    _, _, letters, words = language.runs(["𠀀𠀁𪜀 🙂", "\U000e0001", "a b"])
+    assert letters.tolist() == [3, 0, 2] and words.tolist() == [1, 0, 2]
