@@ -69,11 +69,6 @@ def rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("profile", "source", "target_share", "max_repeats", F.coalesce("own", F.lit(0)).alias("own"), (F.col("target_share") * F.coalesce("total", F.lit(0))).alias("target"))
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = rates(sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    return got.where(F.col("target") > F.col("max_repeats") * F.col("own")).select("profile", "source")
-
-
 def replicated(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """profile, source, doc_id, tokens, copies (0 is left out)."""
     docs = docs.select("doc_id", "source", "tokens")
@@ -91,12 +86,21 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("profile", F.xxhash64(F.lit(SEED + 1), "profile", "doc_id", "copy"), "doc_id", "copy")
 
 
+def mixed(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rates with ``mixed``, the tokens that each profile's mix has of each source."""
+    got = replicated(docs, targets, seed).groupBy("profile", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
+    return rates(docs, targets).join(got, ["profile", "source"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of which the mix has every document as often as it may be repeated and still less than the target."""
+    got = mixed(written(sizes(spark, sf_dir), "p8-sizes"), table(spark, sf_dir, "mix_targets"))
+    return got.where((F.col("mixed") == F.col("max_repeats") * F.col("own")) & (F.col("target") > F.col("mixed"))).select("profile", "source")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each profile's sources, repetitions and whether the target was out of reach."""
-    docs = written(sizes(spark, sf_dir), "p8-sizes")
-    targets = table(spark, sf_dir, "mix_targets")
-    got = replicated(docs, targets).groupBy("profile", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
-    base = rates(docs, targets).join(got, ["profile", "source"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    base = mixed(written(sizes(spark, sf_dir), "p8-sizes"), table(spark, sf_dir, "mix_targets"))
     total = base.groupBy("profile").agg(F.sum("mixed").alias("all"))
     return base.join(total, "profile").select(
         "profile", "source", "target_share", F.round(F.col("mixed") / F.when(F.col("all") > 0, F.col("all")), 6).alias("actual_share"), "mixed",
