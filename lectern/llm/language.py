@@ -36,6 +36,8 @@ from lectern.llm.sentences import blocks, units
 SPECTRUM = (2, 3, 4)
 HASH_BITS = 17
 SAMPLE = 500
+#: The sample's rows have so many characters and give so many sentences each: bounds of the fit, not of what is scored.
+SAMPLE_CHARS, SAMPLE_UNITS = (20, 2000), 4
 LANDMARKS = 960
 RIDGE = 2e-5
 #: Characters scored at a time.
@@ -54,7 +56,8 @@ def _tables() -> np.ndarray:
     """Code point -> lower-case code point of a letter or mark, 32 for all else."""
     import unicodedata
 
-    t = np.full(0x20000, 32, np.uint32)
+    t = np.full(0x32400, 32, np.uint32)
+    t[0x20000:0x323B0] = np.arange(0x20000, 0x323B0)  # further ideographs
     for cp in range(0x20000):
         if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3:
             t[cp] = cp
@@ -75,7 +78,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     sizes = np.array([len(t) for t in texts])
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     seg = np.repeat(np.arange(n, dtype=np.int64), sizes)
-    c = _LETTER[np.minimum(cp, 0x1FFFF)]
+    c = _LETTER[np.minimum(cp, len(_LETTER) - 1)]
     letters = np.bincount(seg[c != 32], minlength=n)
     first = c != 32
     first[1:] &= (c[:-1] == 32) | (seg[1:] != seg[:-1])
@@ -285,9 +288,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
-    """A model of the short labelled records: about ``sample`` rows a language reach the driver."""
+    """A model of labelled records of SAMPLE_CHARS characters: about ``sample`` rows a language reach the driver, of each the first SAMPLE_UNITS sentences."""
     names = table(spark, sf_dir, "language_names")
-    rows = table(spark, sf_dir, "corpus_records").select(label_code(F.col("language"), names).alias("code"), "text").where("code is not null and text is not null and length(text) between 20 and 2000")
+    rows = table(spark, sf_dir, "corpus_records").select(label_code(F.col("language"), names).alias("code"), "text").where(f"code is not null and text is not null and length(text) between {SAMPLE_CHARS[0]} and {SAMPLE_CHARS[1]}")
     sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
@@ -297,7 +300,7 @@ def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
     got = sorted(got, key=lambda r: hashlib.md5(r["text"].encode("utf-8", "surrogatepass")).digest())
     texts, labels = [], []
     for r, sp in zip(got, units([r["text"] for r in got])):
-        for a, b in sp[:4]:
+        for a, b in sp[:SAMPLE_UNITS]:
             if b - a >= MIN_LETTERS:
                 texts.append(r["text"][a:b])
                 labels.append(r["code"])
