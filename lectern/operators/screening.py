@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.runtime import written
+
 # Screens for private, unsafe or unoriginal text. ASCII classes, so that engines agree.
 UNSAFE = (
     r"(?im)[\w.+-]+@[\w.-]+\.[a-z]{2,}|https?://|www\.|\b(?:sk-|ghp_|github_pat_|AKIA)[a-z0-9_-]{8,}|"
@@ -46,11 +48,20 @@ def language_equal(a: Column, b: Column) -> Column:
     return norm(a) == norm(b)
 
 
+def _bare(json: Column) -> Column:
+    """JSON without escapes and string values, so that words in texts are no flags; keys stay."""
+    return F.regexp_replace(F.regexp_replace(json, r"\\.", ""), r'("[^"]*"\s*:)|"[^"]*"', "$1")
+
+
 def flagged(json: Column) -> Column:
-    """Any flag or moderation category that is true in a JSON object, at any depth of one nested object."""
-    top = F.exists(F.array(*(F.get_json_object(json, f"$.{k}") == "true" for k in FLAGS)), lambda x: F.coalesce(x, F.lit(False)))
-    cats = F.coalesce(F.from_json(F.get_json_object(json, "$.categories"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return top | F.exists(F.map_values(cats), lambda v: F.coalesce(v == "true", F.lit(False)))
+    """A flag, or a category of moderation, that is true in a JSON value, at any depth."""
+    t = _bare(json)
+    return F.coalesce(t.rlike(rf'"(?:{"|".join(FLAGS)})"\s*:\s*true') | t.rlike(r'"categories"\s*:\s*\{[^{}]*:\s*true'), F.lit(False))
+
+
+def any_true(json: Column) -> Column:
+    """Anything that is true in a JSON value, at any depth; maps of scores do not count."""
+    return F.coalesce(F.regexp_replace(_bare(json), r'"(?:category_scores|scores)"\s*:\s*(?:\{[^{}]*\}|\[[^\[\]]*\])', "").rlike(r"(?:^|[:\[,])\s*true\b"), F.lit(False))
 
 
 def incomplete(json: Column) -> Column:
@@ -111,24 +122,18 @@ def arena_safe(text: Column) -> Column:
 def within_budget(rows: DataFrame, order: list[str], size: Column, max_rows: int | None = None, max_bytes: int | None = None, by: list[str] = ()) -> DataFrame:
     """The longest prefix in this order of at most so many rows and bytes, in each group.
 
-    The order is global by its nature: without ``by`` it is one sort and one running sum over sorted partitions' totals.
+    The rows are sorted once over all tasks, so a group that is most of the table is spread over many of them.
     """
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        out = rows.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        if max_bytes is None:
-            return rows.orderBy(*order).limit(max_rows)
-        # two passes: totals per range partition, then a running sum inside each; no task sees more than its range
-        part = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_s", size.cast("bigint"))
-        from lectern.functions.runtime import written
-
-        part = written(part, "budget")
-        tot = part.groupBy("_p").agg(F.sum("_s").alias("b"), F.count(F.lit(1)).alias("n"))
-        w0 = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        base = tot.select("_p", F.coalesce(F.sum("b").over(w0), F.lit(0)).alias("_b0"), F.coalesce(F.sum("n").over(w0), F.lit(0)).alias("_n0"))  # one row a partition
-        w = Window.partitionBy("_p").orderBy(*order)
-        out = part.join(F.broadcast(base), "_p").withColumn("_n", F.row_number().over(w) + F.col("_n0")).withColumn("_b", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_b0")).drop("_p", "_s", "_b0", "_n0")
+    if not by and max_bytes is None:
+        return rows.orderBy(*order).limit(max_rows)
+    # two passes: totals per range partition, then a running sum inside each; no task sees more than its range
+    part = written(rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).withColumn("_s", size.cast("bigint")), "budget")
+    tot = part.groupBy(*by, "_p").agg(F.sum("_s").alias("_b0"), F.count(F.lit(1)).alias("_n0"))  # a row for each partition and group in it
+    w0 = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = tot.select(*by, "_p", F.coalesce(F.sum("_b0").over(w0), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_n0").over(w0), F.lit(0)).alias("_n0"))
+    w = Window.partitionBy(*by, "_p").orderBy(*order)
+    out = part.alias("l").join(base.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_p")]).select("l.*", "r._b0", "r._n0")
+    out = out.withColumn("_n", F.row_number().over(w) + F.col("_n0")).withColumn("_b", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_b0")).drop("_p", "_s", "_b0", "_n0")
     if max_rows is not None:
         out = out.where(F.col("_n") <= max_rows)
     if max_bytes is not None:
@@ -142,6 +147,119 @@ def group_sample(rows: DataFrame, group: str, text: str, n: int) -> DataFrame:
     A first cut per hash bucket keeps every task small before the last rank of each group.
     """
     d = rows.where(F.col(text).isNotNull()).withColumn("digest", F.sha2(text, 256)).dropDuplicates([group, "digest"])
-    salt = F.substring("digest", -1, 1)
+    salt = F.substring("digest", -2, 2)
     first = d.withColumn("_r", F.row_number().over(Window.partitionBy(group, salt).orderBy("digest"))).where(F.col("_r") <= n)
     return first.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("digest"))).where(F.col("_r") <= n).drop("_r")
+
+
+# The bounds of a request, of a row's turns, of a model's name and of what others said in a row.
+MAX_LIMIT, MAX_ROWS, MAX_TURNS, MAX_MODEL, MAX_OTHERS = 10_000, 100_000, 1000, 200, 4 * 1024 * 1024
+CHANNELS = ("analysis", "reasoning", "commentary")
+ROW_DDL = "row_idx bigint, truncated_cells array<string>, row string"
+
+
+class BoundsError(ValueError):
+    """A limit outside its bounds."""
+
+
+def bounds(limit: int, max_rows: int) -> None:
+    for name, value, top in (("limit", limit, MAX_LIMIT), ("max_rows", max_rows, MAX_ROWS)):
+        if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= top:
+            raise BoundsError(f"{name} must be 1..{top}")
+
+
+def parsed_rows(rows: DataFrame, field: str = "conversation", model: str | None = None) -> DataFrame:
+    """rows (row_no, value: a JSON wrapper or row) with row_index, model, language, turns (JSON of each) and ``row_reason``: null, or why the row is out.
+
+    The order of the reasons: no object, cut cells, flagged, no or too many turns, a bad model, a bad index, more than
+    4 MB of other people's text. ``model`` is that of the whole set where rows have none.
+    """
+    w = F.from_json("value", ROW_DDL)
+    row = F.coalesce(w["row"], F.col("value"))
+    x = rows.select("row_no", "value", w["truncated_cells"].alias("cells"), F.get_json_object("value", "$.row_idx").alias("raw_index"), row.alias("row"))
+    turns = F.from_json(F.get_json_object("row", f"$.{field}"), "array<string>")
+    named = F.lit(model) if model else F.get_json_object("row", "$.model")
+    x = x.select("*", turns.alias("turns"), named.alias("model"), F.get_json_object("row", "$.language").alias("language"))
+    others = F.aggregate(
+        F.filter(F.coalesce("turns", F.array().cast("array<string>")), lambda t: F.coalesce(F.get_json_object(t, "$.role"), F.lit("")) != "assistant"), F.lit(0).cast("bigint"),
+        lambda n, t: n + F.coalesce(F.octet_length(F.encode(F.get_json_object(t, "$.content"), "UTF-8")), F.lit(0)),
+    )
+    is_object = lambda c: F.coalesce(F.trim(c).startswith("{") & F.get_json_object(c, "$").isNotNull(), F.lit(False))
+    reason = (
+        F.when(~is_object(F.col("value")) | ~is_object(F.col("row")), "no_object")
+        .when(F.size(F.coalesce("cells", F.array().cast("array<string>"))) > 0, "cut_cells")
+        .when(flagged(F.col("row")), "flagged_row")
+        .when(F.col("turns").isNull() | (F.size("turns") > MAX_TURNS), "no_turns")
+        .when(F.col("model").isNull() | (F.trim("model") == "") | (F.length("model") > MAX_MODEL) | F.col("model").rlike(UNSAFE), "bad_model")
+        .when(F.col("raw_index").isNotNull() & ~F.coalesce(F.col("raw_index").rlike(r"^\d+$"), F.lit(False)), "bad_index")
+        .when(others > MAX_OTHERS, "too_much_text")
+    )
+    return x.select("row_no", F.coalesce(F.col("raw_index").try_cast("bigint"), F.col("row_no")).alias("row_index"), "model", "language", "turns", reason.alias("row_reason"))
+
+
+def parsed_turns(rows: DataFrame, language: str | None = None) -> DataFrame:
+    """Assistant turns of ``parsed_rows``: row_no, row_index, turn_index, model, language, text, digest, reason.
+
+    A turn in another language than the one asked for is left out, not rejected. The reasons in order: no text or too
+    long, incomplete (tools, reasoning, cut off), flagged, marks of reasoning, unsafe text, overlap with what others said in the row; of the
+    rest all but the first of a text are 'duplicate'. Null fields are as absent ones.
+    """
+    t = rows.where("row_reason is null").select("row_no", "row_index", "model", F.col("language").alias("row_language"), F.posexplode("turns").alias("turn_index", "t"))
+    get = lambda k: F.get_json_object("t", f"$.{k}")
+    t = t.select("row_no", "row_index", "turn_index", "model", F.coalesce(get("language"), F.col("row_language")).alias("language"), get("role").alias("role"), get("content").alias("text"), "t")
+    hit = overlapping(t.select(F.struct("row_no", "turn_index").alias("key"), "row_no", F.coalesce("role", F.lit("")).alias("role"), "text"), ["row_no"], "key").select("key.*", F.lit(True).alias("copied"))
+    a = t.where("role = 'assistant'")
+    if language is not None:
+        a = a.where(F.coalesce(language_equal(F.col("language"), F.lit(language)), F.lit(False)))
+    a = a.join(hit, ["row_no", "turn_index"], "left")
+    size = F.octet_length(F.encode("text", "UTF-8"))
+    reason = (
+        F.when(F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) == "") | (size > MAX_TEXT_BYTES), "empty_or_size_or_content_schema")
+        .when(incomplete(F.col("t")), "incomplete_or_tool_or_reasoning")
+        .when(flagged(F.col("t")), "privacy_flag")
+        .when(F.col("text").rlike(REASONING) | F.coalesce(F.get_json_object("t", "$.channel").isin(*CHANNELS), F.lit(False)), "reasoning_marker")
+        .when(F.col("text").rlike(UNSAFE), "conservative_privacy_prose_screen")
+        .when(F.col("copied"), "nonassistant_overlap")
+    )
+    a = a.withColumn("reason", reason).withColumn("digest", F.sha2("text", 256))
+    order = F.struct("row_no", "turn_index")
+    first = a.where("reason is null").groupBy("digest").agg(F.min(order).alias("first"))
+    a = a.join(first, "digest", "left").withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(order != F.col("first"), "duplicate"))
+    return a.select("row_no", "row_index", "turn_index", "model", "language", "text", "digest", "reason")
+
+
+def all_rejections(rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """reason, n over rows and turns; duplicates are skipped, not rejected."""
+    return rows.where("row_reason is not null").select(F.col("row_reason").alias("reason")).unionByName(turns.where("reason is not null and reason <> 'duplicate'").select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+ARENA_DDL = "language string, model_a string, model_b string, conversation_a array<string>, conversation_b array<string>, openai_moderation string"
+
+
+def arena_records(lines: DataFrame, limit: int | None = None, language: str | None = None, screen=None) -> DataFrame:
+    """row_index, side, turn_index, model, language, text, digest: assistant turns of both sides that pass, in source order.
+
+    ``lines``: row_index, value (JSON). Flagged and incomplete rows and turns are out, models without a proper name, texts that
+    ``screen`` (a function of a column, ``arena_safe`` if none is given) turns down or that share eight words in a row with a user turn of the
+    row; of equal texts of a model the first stays.
+    """
+    j = F.from_json("value", ARENA_DDL)
+    x = lines.where(F.col("value").isNotNull()).select("row_index", "value", j.alias("j")).where("j is not null").where(~any_true(F.col("j.openai_moderation")) & ~incomplete(F.col("value")))
+    if language is not None:
+        x = x.where(F.lower("j.language") == language.lower())
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"j.model_{s}").alias("model"), F.col(f"j.conversation_{s}").alias("turns")) for s in "ab"))
+    t = x.select("row_index", F.col("j.language").alias("language"), F.explode(sides).alias("s")).select("row_index", "language", "s.side", "s.model", F.posexplode("s.turns").alias("turn_index", "t"))
+    t = t.select("row_index", "language", "side", "model", "turn_index", F.get_json_object("t", "$.role").alias("role"), F.get_json_object("t", "$.content").alias("text"), incomplete(F.col("t")).alias("cut"))
+    hit = overlapping(t.where("role in ('user', 'assistant')").select(F.struct("row_index", "side", "turn_index").alias("key"), "row_index", "role", "text"), ["row_index"], "key").select("key.*")
+    good = t.where("role = 'assistant' and not cut and text is not null and trim(text) <> '' and model is not null and model <> ''").where((F.length("model") <= MAX_MODEL) & ~F.col("model").rlike(UNSAFE) & (screen or arena_safe)(F.col("text")))
+    good = good.join(hit, ["row_index", "side", "turn_index"], "left_anti").withColumn("digest", F.sha2("text", 256))
+    got = good.groupBy("model", "digest").agg(F.min_by(F.struct("row_index", "side", "turn_index", "language", "text"), F.struct("row_index", "side", "turn_index")).alias("r"))
+    got = got.select("r.row_index", "r.side", "r.turn_index", "model", "r.language", "r.text", "digest")
+    return got if limit is None else got.orderBy("row_index", "side", "turn_index").limit(limit)
+
+
+def first_per_group(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group. A first cut within hash buckets keeps the last rank of a hot group small."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(64))
+    cut = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, salt).orderBy(*order))).where(F.col("_r") <= n)
+    return cut.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

@@ -112,3 +112,64 @@ def test_registry_has_sql_for_known_names():
     from lectern.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+FLAGGED = [
+    ('{"a": {"b": [{"flagged": true}]}}', True, True), ('{"categories": {"x": false, "y": true}}', True, True), ('{"text": "\\"toxic\\": true", "toxic": false}', False, False), ('{"t": ": true", "n": 1}', False, False),
+    ('{"category_scores": {"x": true}, "z": false}', False, False), ('{"anything": [false, true]}', False, True), ("true", False, True), (None, False, False), ("", False, False), ('{"t": "' + "\\n" * 30000 + 'true"}', False, False),
+]
+
+
+def test_flags_at_any_depth(spark):
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(FLAGGED)], "i int, j string, f boolean, a boolean")
+    for r in d.select("i", screening.flagged(F.col("j")).alias("gf"), screening.any_true(F.col("j")).alias("ga"), "f", "a").collect():
+        assert (r.gf, r.ga) == (r.f, r.a), FLAGGED[r.i][0][:60]
+
+
+def turn(role, content, **more):
+    return {"role": role, "content": content} | more
+
+
+def test_rows_and_turns_in_order_of_their_reasons(spark):
+    row = lambda *turns, **more: json.dumps({"model": "m", "conversation": list(turns)} | more)
+    nine = "one two three four five six seven eight nine"
+    values = [
+        row(turn("user", "hi"), turn("assistant", "fine text"), turn("assistant", "fine text"), turn("assistant", "mail a@b.org"), turn("assistant", " "), turn("assistant", "x", tool_calls=[1]), turn("assistant", "y", finish_reason="length"), turn("assistant", "z", channel="analysis"), turn("assistant", nine), turn("user", nine + "!")),
+        json.dumps({"row": {"model": "m", "conversation": []}, "truncated_cells": ["conversation"]}), row(turn("assistant", "y", toxic=True)), "[1]", "{", json.dumps({"model": "m"}), json.dumps({"model": " ", "conversation": []}), json.dumps({"row": {"model": "m", "conversation": []}, "row_idx": -1}),
+        row(turn("user", "x" * (4 * 1024 * 1024 + 1)), turn("assistant", "ok")), json.dumps({"row": {"model": "m", "conversation": [turn("assistant", "other", language="ja")]}, "row_idx": 7}), None, row(*[turn("user", "u")] * 1001),
+    ]
+    d = spark.createDataFrame(list(enumerate(values)), "row_no bigint, value string")
+    rows = screening.parsed_rows(d)
+    assert {r.row_no: r.row_reason for r in rows.collect()} == {0: None, 1: "cut_cells", 2: "flagged_row", 3: "no_object", 4: "no_object", 5: "no_turns", 6: "bad_model", 7: "bad_index", 8: "too_much_text", 9: None, 10: "no_object", 11: "no_turns"}
+    got = {(r.row_index, r.turn_index): r.reason for r in screening.parsed_turns(rows).collect()}
+    assert got == {
+        (0, 1): None, (0, 2): "duplicate", (0, 3): "conservative_privacy_prose_screen", (0, 4): "empty_or_size_or_content_schema", (0, 5): "incomplete_or_tool_or_reasoning", (0, 6): "incomplete_or_tool_or_reasoning", (0, 7): "reasoning_marker", (0, 8): "nonassistant_overlap", (7, 0): None,
+    }
+    assert [(r.row_index, r.turn_index) for r in screening.parsed_turns(rows, "Japanese").collect()] == [(7, 0)]
+    n = {r.reason: r.n for r in screening.all_rejections(rows, screening.parsed_turns(rows)).collect()}
+    assert n["no_object"] == 3 and "duplicate" not in n and sum(n.values()) == 16
+    screening.bounds(1, 100_000)
+    for bad in ((0, 1), (10_001, 1), (1, 0), (True, 1), (1, "2")):
+        with pytest.raises(screening.BoundsError):
+            screening.bounds(*bad)
+
+
+def test_arena(spark):
+    eight = "a b c d e f g h"
+    rows = [
+        {"language": "English", "model_a": "m", "model_b": "n", "conversation_a": [turn("user", "say " + eight), turn("assistant", "first"), turn("assistant", eight)], "conversation_b": [turn("assistant", "first"), turn("assistant", "cut", truncated=True)]},
+        {"language": "English", "model_a": "m", "model_b": None, "conversation_a": [turn("assistant", "first"), turn("assistant", "mail @ me")], "conversation_b": [turn("assistant", "no model")]},
+        {"openai_moderation": [{"flagged": True}], "model_a": "m", "conversation_a": [turn("assistant", "bad")]}, {"language": "Japanese", "model_a": "o", "conversation_a": [turn("assistant", "later")]},
+    ]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)] + [(9, None), (10, "{")], "row_index bigint, value string")
+    key = lambda x: sorted((r.row_index, r.side, r.turn_index, r.text) for r in x.collect())
+    assert key(screening.arena_records(d)) == [(0, "a", 1, "first"), (0, "b", 0, "first"), (3, "a", 0, "later")]
+    assert key(screening.arena_records(d, 1)) == [(0, "a", 1, "first")] and key(screening.arena_records(d, language="japanese")) == [(3, "a", 0, "later")]
+    assert len(key(screening.arena_records(d, screen=lambda c: c != "later"))) == 3
+
+
+def test_budget_by_group_and_first_rows(spark):
+    d = spark.createDataFrame([(i, "hot" if i % 10 else None) for i in range(300)], "i int, g string")
+    got = sorted(r.i for r in screening.within_budget(d, ["i"], F.lit(10), 50, 95, ["g"]).collect())
+    assert got == sorted([i for i in range(300) if i % 10][:9] + [i for i in range(0, 300, 10)][:9])
+    assert sorted(r.i for r in screening.first_per_group(d, "g", ["i"], 3).collect()) == [0, 1, 2, 3, 10, 20]
