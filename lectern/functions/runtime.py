@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,19 +42,28 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session in one process may do without and gets a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = got.get() if got.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "lectern-shared")
     return at.rstrip("/")
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Delete a path when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cut lineage: write to the shared folder, read back. Survives lost executors."""
+    """Cut lineage: write to the shared folder, read back. Survives lost executors; deleted with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    swept(spark, path)
     return spark.read.schema(df.schema).parquet(path)

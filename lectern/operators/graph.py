@@ -124,8 +124,8 @@ def isolated_spans(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents
     return got.select("doc_id", "span_start", "span_end", F.substring(parse(F.coalesce("text", F.lit("")), F.col("prose")), F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int")).alias("text"))
 
 
-def located_matches(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Matches with places and marks that pass the gates of text: m, doc_id, block_id, rule_id, ..., nodes, ing (has a word in -ing)."""
+def rule_matches(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
+    """doc_id, block_id, nodes, rule_id, category, severity, rank: matches of every alternative whose anchor has no forbidden child."""
     children = tokens.select("doc_id", "block_id", F.col("head_i").alias("c_head"), F.col("i").alias("c_i"), "dep", F.concat_ws(":", "dep", "lower").alias("dl"))
     all_ = None
     for r in rules:
@@ -137,6 +137,12 @@ def located_matches(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sent
             all_ = m if all_ is None else all_.unionByName(m)
     if all_ is None:
         all_ = match(tokens.limit(0), [{"RIGHT_ID": "x"}]).select("*", *(F.lit("").alias(c) for c in ("rule_id", "category", "severity")), F.lit(0).alias("rank"))
+    return all_
+
+
+def located_matches(tokens: DataFrame, views: DataFrame, blocks: DataFrame, sents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with places and marks that pass the gates of text: m, doc_id, block_id, rule_id, ..., nodes, ing (has a word in -ing)."""
+    all_ = rule_matches(tokens, rules)
     compiled(tokens.sparkSession, rules)
     m = all_.withColumn("m", F.xxhash64("doc_id", "block_id", "rule_id", "nodes"))
     base = blocks.select("doc_id", "block_id", F.col("span_start").alias("base"))
@@ -181,3 +187,10 @@ def grammar_rejection(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """keys, reason: why a parsed prefix is no noun phrase - 'finite_verb', 'no_nominal_root' - or null."""
     g = tokens.groupBy(*keys).agg(F.bool_or(F.col("tag").isin("VBD", "VBP", "VBZ", "MD")).alias("f"), F.bool_or((F.col("dep") == "ROOT") & F.col("pos").isin("NOUN", "PROPN", "PRON")).alias("n"))
     return g.select(*keys, F.when(F.col("f"), "finite_verb").when(~F.col("n"), "no_nominal_root").alias("reason"))
+
+
+def dump(tokens: DataFrame) -> DataFrame:
+    """doc_id, block_id, line_no, line: a parse as text, one token a line with its head."""
+    head = tokens.select("doc_id", "block_id", F.col("i").alias("head_i"), F.col("text").alias("head"))
+    line = F.concat_ws(" ", F.rpad("text", 18, " "), F.rpad("lemma", 18, " "), F.rpad("pos", 6, " "), F.rpad("tag", 5, " "), F.rpad("dep", 10, " "), F.concat(F.lit("<- "), F.coalesce("head", F.lit("-"))))
+    return tokens.join(head, ["doc_id", "block_id", "head_i"], "left").select("doc_id", "block_id", F.col("i").alias("line_no"), line.alias("line"))

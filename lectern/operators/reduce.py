@@ -105,3 +105,26 @@ def exit_status(f: DataFrame, strict: bool = False) -> DataFrame:
     """One row: 1 if a bite (or, strict, a bark) is left, else 0."""
     bad = F.col("severity").isin(*(("bite", "bark") if strict else ("bite",)))
     return f.agg(F.coalesce(F.max(F.when(bad, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("exit_status"))
+
+
+def findings_by_rule(found: DataFrame, earlier: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rule_id, findings, documents, new_findings: those that an earlier run has not at the same place."""
+    at = [key, "rule_id", "span_start", "span_end"]
+    old = earlier.select(*at, F.lit(True).alias("_old")).distinct()
+    return found.select(*at).join(old, at, "left").groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct(key).alias("documents"), F.count(F.when(F.col("_old").isNull(), 1)).alias("new_findings"))
+
+
+def soft_density(found: DataFrame, words: DataFrame, rules: DataFrame, ceiling: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """key, density, rules: documents whose weaker findings per 100 words exceed the ceiling.
+
+    Findings of rules that require an answer are candidates, not warnings, and do not count. A text without words has one.
+    """
+    asked = rules.where("veto_required").select("rule_id")
+    soft = found.where("severity <> 'bite'").join(asked, "rule_id", "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("rules"))
+    density = F.col("n") * 100.0 / F.greatest("n_words", F.lit(1))
+    return soft.join(words.select(key, "n_words"), key).select(key, density.alias("density"), "rules").where(F.col("density") > ceiling)
+
+
+def absent(expected: DataFrame, present: DataFrame, name: str = "path") -> DataFrame:
+    """Names that are expected but not there."""
+    return expected.select(name).exceptAll(expected.select(name).intersectAll(present.select(name))).distinct()

@@ -152,3 +152,23 @@ def family_paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     fam = F.filter(F.array(*(F.when(F.col("paragraph").rlike(r), n) for n, r in sorted(FAMILIES.items()))), lambda x: x.isNotNull())
     hit = p.withColumn("families", fam).where(F.size("families") > 0)
     return hit.groupBy("paragraph").agg(F.array_join(F.first("families"), ",").alias("families"), F.count_distinct(key).alias("documents")).select(F.substring(F.sha2("paragraph", 256), 1, 12).alias("id"), "families", "documents")
+
+
+def reader_records(rows: DataFrame) -> DataFrame:
+    """id, grp, genre, text of mixed rows (id, dataset, model, genre, file_path, text): what people read of them.
+
+    Messages stay as they are; of a written file its prose parts come, numbered. Blank parts are left out.
+    """
+    named = rows.withColumns({"dataset": F.coalesce("dataset", F.lit("unnamed")), "model": F.coalesce(F.nullif("model", F.lit("")), F.lit("unattributed"))})
+    message = F.col("genre").isin("assistant_message", "assistant_trace_text")
+    said = named.where(message).select("id", F.concat_ws("/", "dataset", "model", F.lit("assistant")).alias("grp"), "genre", "text")
+    made = named.where(~message)
+    parts = with_parts(made.select("id", "text", F.coalesce("file_path", F.lit("")).alias("path")), "id").where("trim(part) <> ''")
+    wrote = parts.join(made.select("id", "dataset", "model", "genre"), "id").select(F.concat_ws("/", "id", F.lit("extract"), (F.col("part_no") - 1).cast("string")).alias("id"), F.concat_ws("/", "dataset", "model", "genre").alias("grp"), "genre", F.col("part").alias("text"))
+    return said.unionByName(wrote)
+
+
+def decision_counts(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """group, candidates, proposals, and the count of each reason why a candidate was turned down (rows: group, reason; null: proposed)."""
+    per = rows.groupBy(group, "reason").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(group).agg(F.sum("n").alias("candidates"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("proposals"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))).alias("rejections"))

@@ -59,12 +59,16 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     if doc_rules:
         parts.append(reduce.with_marks(metrics.fired(prose, doc_rules, values)).select(*cols))
     if not parts:
+        views.unpersist()
         return docs.sparkSession.createDataFrame([], f"doc_id bigint, finding_no bigint, rule_id string, category string, severity string, rank int, span_start bigint, span_end bigint, marks {reduce.MARKS}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     # written once: the anti-join reads the findings twice, and the branches' many small partitions are coalesced
-    out = reduce.report_order(reduce.dedupe(written(out, "lint")))
+    out = written(out, "lint")
+    for kept in (views, blocks, prose.paragraphs, prose.sentences):
+        kept.unpersist()
+    out = reduce.report_order(reduce.dedupe(out))
     spark = docs.sparkSession
     if answers is None:
         answers = spark.createDataFrame([], "doc_id bigint, finding_no bigint, probability double, failed boolean")

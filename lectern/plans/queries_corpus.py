@@ -156,7 +156,7 @@ def session_statistics(spark, d):
     return table(spark, d, "session_records").groupBy("session_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("message_id").alias("messages"), F.sum(F.size("jsonl_lines")).cast("bigint").alias("lines"))
 
 
-@query()
+@query("SELECT source_path, message_id, any_value(text_line) AS text_line, any_value(sha256(text)) AS sha256 FROM session_records WHERE message_id IS NOT NULL AND text IS NOT NULL GROUP BY source_path, message_id HAVING count(*) = 1 AND any_value(coalesce(model, 'unknown')) <> '<synthetic>'")
 def session_extraction(spark, d):
     """Session lines rebuilt as JSON, then read back as messages with exactly one text block."""
     s = table(spark, d, "session_records").where("message_id is not null and text is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ def query(sql: str | None = None):
 
 
 def _plain(p: str | None) -> bool:
-    """Patterns that RE2 can state: no look-around, back-reference or scoped flag."""
-    return p is not None and not any(x in p for x in ("(?=", "(?!", "(?<", "(?P", "(?-", "(?i", "\\1", "\\2", "\\U", "\\u"))
+    """Patterns that RE2 can state: no look-around and no back-reference."""
+    return p is not None and not any(x in p for x in ("(?=", "(?!", "(?<=", "(?<!", "(?P=", "\\1", "\\2"))
+
+
+def _re2(p: str) -> str:
+    return re.sub(r"\\[uU]([0-9A-Fa-f]{8}|[0-9A-Fa-f]{4})", lambda m: "\\x{" + m[1].lstrip("0") + "}", p)
 
 
 def _relational(category: str) -> list:
@@ -44,8 +50,8 @@ _HEADER = f"WITH {O.views()}, {O.lines()}, {O.blocks()}, {O.sentences('s', 'b',
 def _gated_sql(category: str) -> str:
     rules = _relational(category)
     view = "masked" if category == "punct" else "prose"
-    ms = " UNION ALL ".join(f"SELECT doc_id, {O.q(r.id)} AS rule_id, unnest({O.spans(view, '(?im)' + r.pattern)}) AS x FROM v WHERE regexp_matches({view}, {O.q('(?im)' + r.pattern)})" for r in rules)
-    table_ = ", ".join(f"({O.q(r.id)}, {O.q('(?i)' + r.unless) if r.unless else 'NULL'}, {str(r.headings).lower()}, {str(r.heading_only).lower()}, {str(r.sentence_start).lower()})" for r in rules)
+    ms = " UNION ALL ".join(f"SELECT doc_id, {O.q(r.id)} AS rule_id, unnest({O.spans(view, '(?im)' + _re2(r.pattern))}) AS x FROM v WHERE regexp_matches({view}, {O.q('(?im)' + _re2(r.pattern))})" for r in rules)
+    table_ = ", ".join(f"({O.q(r.id)}, {O.q('(?i)' + _re2(r.unless)) if r.unless else 'NULL'}, {str(r.headings).lower()}, {str(r.heading_only).lower()}, {str(r.sentence_start).lower()})" for r in rules)
     block = "" if category != "template" else "AND EXISTS (SELECT 1 FROM b WHERE b.doc_id = m.doc_id AND b.span_start <= m.x.s AND m.x.e <= b.span_end)"
     return f"""{_HEADER}, m AS ({ms}), r(rule_id, unl, headings, heading_only, sentence_start) AS (VALUES {table_}),
     g AS (SELECT m.doc_id, m.rule_id, m.x.s AS span_start, m.x.e AS span_end, r.*, s.span_start AS ss, s.span_end AS se, coalesce(bb.kind = 'heading', false) AS hd FROM m JOIN r ON m.rule_id = r.rule_id
@@ -57,7 +63,7 @@ def _gated_sql(category: str) -> str:
 def _gated(category: str):
     def run(spark, d):
         rules = _relational(category)
-        return regex_rules.regex_findings(views(spark, d).persist(), rules).select("doc_id", "rule_id", "span_start", "span_end")
+        return regex_rules.regex_findings(views(spark, d), rules).select("doc_id", "rule_id", "span_start", "span_end")
 
     run.__name__ = f"{category}_findings"
     return run
@@ -70,7 +76,7 @@ for _c in ("phrase", "template", "punct"):
 @query()
 def regex_findings(spark, d):
     """All regex rules, those included whose patterns RE2 cannot state."""
-    return regex_rules.regex_findings(views(spark, d).persist(), RULES).select("doc_id", "rule_id", "severity", "span_start", "span_end")
+    return regex_rules.regex_findings(views(spark, d), RULES).select("doc_id", "rule_id", "severity", "span_start", "span_end")
 
 
 @query()
@@ -255,8 +261,8 @@ _NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spa
     SELECT doc_id, finding_no, block_id, (row_number() OVER (PARTITION BY doc_id, block_id ORDER BY finding_no) - 1) // 6 AS batch_no, context_start, context_end FROM a"""
 )
 def judgment_batches(spark, d):
-    v = views(spark, d).persist()
-    b = V.blocks(V.lines(v)).persist()
+    v = views(spark, d)
+    b = V.blocks(V.lines(v))
     f = reduce.report_order(seeded(v)).where("rank < 2")
     return judgments.batches(f, b, V.sentences(v, b))
 

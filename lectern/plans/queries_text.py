@@ -131,8 +131,8 @@ def _fired_sql() -> str:
 
 @query(_fired_sql())
 def doc_rule_findings(spark, d):
-    v = views(spark, d).persist()  # a dozen metrics read it
-    return metrics.fired(metrics.Prose.of(v, blocks=V.blocks(V.lines(v)).persist()), load()).select("doc_id", "rule_id", "severity", F.round("value", 6).alias("value"))
+    v = views(spark, d)
+    return metrics.fired(metrics.Prose.of(v), load()).select("doc_id", "rule_id", "severity", F.round("value", 6).alias("value"))
 
 
 _TRIPLE = "regexp_split_to_array(sentence, '[,;]')"
@@ -173,12 +173,6 @@ def group_statistics(spark, d):
     return study.group_statistics(metrics.Prose.of(v).sentences, groups).select("grp", "documents", "sentences", "words")
 
 
-@query()
-def echo_features(spark, d):
-    p = metrics.Prose.of(views(spark, d))
-    return p.sentences.select("doc_id", "span_start", study.echoes(F.col("sentence")).alias("x")).select("doc_id", "span_start", "x.*").where("pieces > 1")
-
-
 _DETACH = "(?i)^\\s*(.+?)\\s*([,;:]|—|–)\\s+(\\w+)[.!]?\\s*$"
 
 

@@ -5,21 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lectern.functions.text import WORD
-from lectern.operators import reduce, regex_rules
-from lectern.plans import queries_corpus, queries_findings, queries_text
+from lectern.plans import queries_corpus, queries_findings, queries_rules, queries_text
 
-_MODULES = (queries_text, queries_findings, queries_corpus)
+_MODULES = (queries_text, queries_findings, queries_corpus, queries_rules)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severity summary of the phrase rules' findings by source: views, blocks, sentences, rules, gates, containment."""
-    v = queries_text.views(spark, sf_dir, "source").persist()
-    rules = [r for r in queries_findings.RULES if r.category == "phrase"]
-    words = v.select("doc_id", "source", F.regexp_count("prose", F.lit(WORD)).cast("bigint").alias("n_words"))
-    return reduce.severity_summary(reduce.dedupe(regex_rules.regex_findings(v, rules)), words, by="source")
+    """Severity summary of all findings by source: the whole lint plan."""
+    return queries_findings.lint_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
