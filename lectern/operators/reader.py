@@ -154,5 +154,5 @@ def definite_candidates(tokens: DataFrame, chunks: DataFrame, key: str = "doc_id
 
 def preceding_context(visible: Column, at: Column, limit: int = 2000) -> Column:
     """struct<text, truncated>: the last ``limit`` characters of visible text before an offset."""
-    before = F.trim(F.substring(visible, F.lit(1), at.cast("int")))
+    before = F.regexp_replace(F.substring(visible, F.lit(1), at.cast("int")), r"\A\s+|\s+\z", "")
     return F.struct(F.when(F.length(before) > limit, F.substring(before, -limit, limit)).otherwise(before).alias("text"), (F.length(before) > limit).alias("truncated"))
