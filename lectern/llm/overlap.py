@@ -136,7 +136,8 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     sizes = rows.groupBy("band").agg(F.count(F.when(F.col("tr"), 1)).alias("t"), F.count(F.when(F.col("ev"), 1)).alias("e"))
     sizes = sizes.select("band", F.ceil(F.col("t") / room).cast("int").alias("t"), F.ceil(F.col("e") / room).cast("int").alias("e"))
     x, y = sizes.where("t > 0").select(F.col("band").alias("xband"), "t"), sizes.where("e > 0").select(F.col("band").alias("yband"), "e")
-    bands = written(x.crossJoin(y).where(F.abs(F.col("xband") - F.col("yband")) <= REACH), "p1-bands")
+    near = x.withColumn("yband", F.explode(F.sequence(F.col("xband") - REACH, F.col("xband") + REACH)))
+    bands = written(near.join(y, "yband").select("xband", "t", "yband", "e"), "p1-bands")
 
     def side(which: str, own: str, parts: str, others: str, block: str, other: str) -> DataFrame:
         got = rows.where(which).join(F.broadcast(bands), F.col("band") == F.col(own))
