@@ -48,7 +48,7 @@ class Prose:
         """With ``blocks`` given, what the metrics share is kept: they read it a dozen times."""
         v = views.withColumnRenamed(key, "doc_id") if key != "doc_id" else views
         b = V.blocks(V.lines(v)) if blocks is None else blocks
-        text = b.where("kind in ('paragraph', 'list')").join(v.select("doc_id", "prose"), "doc_id").withColumn("t", F.substring("prose", F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int"))).drop("prose")
+        text = b.where("kind in ('paragraph', 'list')")
         # a lone line without a closing mark is a title or caption, no paragraph
         text = text.where((F.col("kind") == "list") | F.col("t").contains("\n") | F.col("t").rlike(java(SENTENCE_END, "d")))
         sents = text.select("doc_id", "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(V.split_sentences(F.col("t"))).alias("n", "x"))
@@ -74,135 +74,158 @@ def _lead(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+", "")
 
 
-def _at(order: str = "span_start") -> tuple[Column, Column]:
-    return F.min_by("span_start", order).alias("span_start"), F.min_by("span_end", order).alias("span_end")
+def _pointed(value: Column, at: Column | None = None) -> Column:
+    """struct<value, s, e> of a value and the span it points at."""
+    null = F.lit(None).cast("bigint")
+    return F.struct(value.cast("double").alias("value"), (at["s"] if at is not None else null).cast("bigint").alias("s"), (at["e"] if at is not None else null).cast("bigint").alias("e"))
 
 
-def sentence_length_cv(p: Prose) -> DataFrame:
-    n = p.sentences.select("doc_id", F.regexp_count("sentence", F.lit(WORD)).alias("n")).where("n > 0")
-    got = n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))
-    return p.per_doc(got.select("doc_id", F.when(F.col("k") < 2, 1.0).otherwise(F.col("cv")).alias("value"), F.lit(None).alias("span_start"), F.lit(None).alias("span_end")), 1.0)
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("bigint").alias("s"), end.cast("bigint").alias("e"))
 
 
-def paragraph_opener_repeats(p: Prose) -> DataFrame:
-    o = p.paragraphs.select("doc_id", "span_start", F.least("span_end", F.col("span_start") + 60).alias("span_end"), _opener(F.col("t"), 2).alias("k")).where("k <> ''")
-    per = o.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), *_at())
-    best = per.groupBy("doc_id").agg(F.max_by(F.struct("n", "span_start", "span_end"), F.struct("n", (-F.col("span_start")).alias("f"))).alias("b"))
-    return p.per_doc(best.select("doc_id", (F.col("b.n") - 1).alias("value"), "b.span_start", "b.span_end"), 0.0)
+# --- what is read off a text: one projection --------------------------------------------------------------------------
 
 
-def sentence_opener_run(p: Prose) -> DataFrame:
-    s = p.sentences.where("kind = 'paragraph'").select("doc_id", "block_id", "sent_no", "span_start", "span_end", _opener(F.col("sentence"), 1).alias("k"))
-    by = Window.partitionBy("doc_id", "block_id").orderBy("sent_no")
-    s = s.withColumn("new", F.when((F.col("k") != "") & (F.lag("k").over(by) == F.col("k")), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    runs = s.groupBy("doc_id", "block_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).where("n > 1")
-    best = runs.groupBy("doc_id").agg(F.max_by(F.struct("n", "span_start", "span_end"), F.struct("n", (-F.col("span_start")).alias("f"))).alias("b"))
-    return p.per_doc(best.select("doc_id", F.col("b.n").alias("value"), "b.span_start", "b.span_end"), 0.0)
+def _in_view(view: str, pattern: str, least_words: int | None) -> Column:
+    found = spans(F.col(view), pattern)
+    n = F.regexp_count("prose", F.lit(WORD))
+    first = F.try_element_at(found, F.lit(1))
+    if least_words is None:
+        return _pointed(F.size(found), first)
+    return _pointed(F.when(n >= least_words, F.size(found) * 100.0 / F.greatest(n, F.lit(1))).otherwise(0.0), first)
 
 
-def _density(p: Prose, view: str, pattern: str, least_words: int = 1) -> DataFrame:
-    n = F.regexp_count("prose", F.lit(WORD))
-    found = spans(F.col(view), pattern)
-    rows = p.views.select("doc_id", n.alias("n"), found.alias("x")).select(
-        "doc_id", F.when(F.col("n") >= least_words, F.size("x") * 100.0 / F.greatest(F.col("n"), F.lit(1))).otherwise(0.0).alias("value"), F.try_element_at("x", F.lit(1))["s"].alias("span_start"), F.try_element_at("x", F.lit(1))["e"].alias("span_end")
+_OF_TEXT: dict[str, Callable[[], Column]] = {
+    "triad_density": lambda: _in_view("prose", java(TRIAD, "idU"), 1), "signpost_density": lambda: _in_view("prose", java(SIGNPOST, "idU"), 150),
+    "em_dash_density": lambda: _in_view("masked", "—", 1), "bold_label_bullets": lambda: _in_view("masked", "(?d)" + BOLD_LABEL, None),
+}
+
+# --- what is aggregated over sentences or paragraphs: one aggregate each ---------------------------------------------------
+
+
+def _sentence_rows(p: Prose) -> DataFrame:
+    by = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
+    q = java(QUESTION, "d")
+    bare = F.regexp_replace("sentence", "[.!?\"']+\\z", "")
+    s = p.sentences.select("doc_id", "span_start", "span_end", "sentence", F.lead("sentence").over(by).alias("next"), F.lead("span_end").over(by).alias("next_end"))
+    s = s.withColumn("closer", F.regexp_extract(bare, java(CLOSER, "idU"), 0))
+    return s.select(
+        "doc_id", "span_start", "span_end", "next_end", F.nullif(F.regexp_count("sentence", F.lit(WORD)), F.lit(0)).alias("words"), (F.col("sentence").rlike(q) & F.col("next").isNotNull() & ~F.col("next").rlike(q)).alias("asks"),
+        (F.col("closer") != "").alias("closes"), (F.col("span_start") + F.length(bare) - F.length("closer")).alias("closer_at"),
     )
-    return p.per_doc(rows, 0.0)
 
 
-def triad_density(p: Prose) -> DataFrame:
-    return _density(p, "prose", java(TRIAD, "idU"))
+def _paragraph_rows(p: Prose) -> DataFrame:
+    t = _lead(F.col("t"))
+    at = F.col("span_start") + F.length("t") - F.length(t)
+    x = p.paragraphs.select(
+        "doc_id", "span_start", "span_end", "t", at.alias("at"), F.regexp_extract(t, java(CONNECTIVE, "idU"), 0).alias("connective"), F.regexp_extract(t, java(EVERY, "idU"), 0).alias("every"), (F.size(V.split_sentences(F.col("t"))) <= 1).alias("one"),
+    )
+    down = Window.partitionBy("doc_id").orderBy(F.desc("span_start"))
+    return x.withColumn("down", F.row_number().over(down))
 
 
-def signpost_density(p: Prose) -> DataFrame:
-    return _density(p, "prose", java(SIGNPOST, "idU"), 150)
+def _coda() -> Column:
+    """Stock words that open the last paragraph (before a sign-off), else how many of its content words the first one has."""
+    first, l1, l2 = F.min(F.struct("span_start", "t")), F.max(F.when(F.col("down") == 1, F.struct("t", "span_start", "span_end"))), F.max(F.when(F.col("down") == 2, F.struct("t", "span_start", "span_end")))
+    n = F.count(F.lit(1))
+    last = F.when((n >= 3) & _lead(l1["t"]).rlike(java(SIGNOFF, "idU")), l2).otherwise(l1)
+    text = _lead(last["t"])
+    content = lambda c: F.array_distinct(F.filter(F.transform(_words(c), F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*STOPWORDS)))
+    a, b = content(first["t"]), content(text)
+    union = F.size(F.array_union(a, b))
+    overlap = F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    coda = F.regexp_extract(text, java(CODA, "idU"), 0)
+    start = last["span_end"] - F.length(text)
+    at = F.when(coda != "", _span(start, start + F.length(coda))).when(overlap > 0, _span(last["span_start"], last["span_end"]))
+    return F.when(n >= 2, _pointed(F.when(coda != "", 1.0).otherwise(overlap), at)).otherwise(_pointed(F.lit(0.0)))
 
 
-def em_dash_density(p: Prose) -> DataFrame:
-    return _density(p, "masked", "—")
+def _opened(column: str) -> Column:
+    hit = F.col(column) != ""
+    return _pointed(F.count(F.when(hit, 1)), F.min(F.when(hit, _span(F.col("at"), F.col("at") + F.length(column)))))
 
 
-def bold_label_bullets(p: Prose) -> DataFrame:
-    rows = p.views.select("doc_id", spans(F.col("masked"), "(?d)" + BOLD_LABEL).alias("x")).select("doc_id", F.size("x").alias("value"), F.try_element_at("x", F.lit(1))["s"].alias("span_start"), F.try_element_at("x", F.lit(1))["e"].alias("span_end"))
-    return p.per_doc(rows, 0.0)
+def _share(hit: str, start: str) -> Column:
+    return _pointed(F.avg(F.col(hit).cast("double")), F.min(F.when(F.col(hit), _span(F.col(start), F.col("span_end")))))
 
 
-def _openers(p: Prose, pattern: str) -> DataFrame:
-    t = _lead(F.col("t"))
-    at = F.col("span_start") + F.length("t") - F.length(t)
-    hit = p.paragraphs.select("doc_id", at.alias("span_start"), F.regexp_extract(t, java(pattern, "idU"), 0).alias("h")).where("h <> ''").withColumn("span_end", F.col("span_start") + F.length("h"))
-    return p.per_doc(hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("value"), *_at()), 0.0)
+def _asked() -> Column:
+    k = F.count(F.when(F.col("asks"), 1))
+    first = F.min(F.when(F.col("asks"), _span(F.col("span_start"), F.col("next_end"))))
+    return F.when(k >= 3, _pointed(k / F.count(F.lit(1)), first)).otherwise(_pointed(F.lit(0.0)))
 
 
-def connective_openers(p: Prose) -> DataFrame:
-    return _openers(p, CONNECTIVE)
+_OF_SENTENCES: dict[str, Callable[[], Column]] = {
+    "sentence_length_cv": lambda: _pointed(F.when(F.count("words") < 2, 1.0).otherwise(F.stddev_pop("words") / F.avg("words"))),
+    "rhetorical_question_share": _asked, "participial_closer_share": lambda: _share("closes", "closer_at"),
+}
+_OF_PARAGRAPHS: dict[str, Callable[[], Column]] = {
+    "connective_openers": lambda: _opened("connective"), "every_template_openers": lambda: _opened("every"), "short_paragraph_share": lambda: _share("one", "span_start"), "conclusion_coda": _coda,
+}
 
 
-def every_template_openers(p: Prose) -> DataFrame:
-    return _openers(p, EVERY)
+# --- runs and repeats -------------------------------------------------------------------------------------------------
 
 
-def conclusion_coda(p: Prose) -> DataFrame:
-    by = Window.partitionBy("doc_id").orderBy("span_start")
-    down = Window.partitionBy("doc_id").orderBy(F.desc("span_start"))
-    x = p.paragraphs.withColumn("up", F.row_number().over(by)).withColumn("down", F.row_number().over(down))
-    pick = lambda c, n: F.max(F.when(F.col(c) == n, F.struct("t", "span_start", "span_end")))
-    x = x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), pick("up", 1).alias("first"), pick("down", 1).alias("l1"), pick("down", 2).alias("l2")).where("n >= 2")
-    x = x.withColumn("last", F.when((F.col("n") >= 3) & _lead(F.col("l1.t")).rlike(java(SIGNOFF, "idU")), F.col("l2")).otherwise(F.col("l1")))
-    text = _lead(F.col("last.t"))
-    content = lambda c: F.array_distinct(F.filter(F.transform(_words(c), F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*STOPWORDS)))
-    x = x.withColumn("coda", F.regexp_extract(text, java(CODA, "idU"), 0)).withColumn("a", content(F.col("first.t"))).withColumn("b", content(text))
-    union = F.size(F.array_union("a", "b"))
-    overlap = F.when(union > 0, F.size(F.array_intersect("a", "b")) / union).otherwise(0.0)
-    start = F.col("last.span_end") - F.length(text)
-    stock = F.col("coda") != ""
-    return p.per_doc(
-        x.select(
-            "doc_id", F.when(stock, 1.0).otherwise(overlap).alias("value"),
-            F.when(stock, start).when(overlap > 0, F.col("last.span_start")).alias("span_start"), F.when(stock, start + F.length("coda")).when(overlap > 0, F.col("last.span_end")).alias("span_end"),
-        ), 0.0,
-    )
+def _opener_repeats(p: Prose) -> DataFrame:
+    o = p.paragraphs.select("doc_id", "span_start", F.least("span_end", F.col("span_start") + 60).alias("span_end"), _opener(F.col("t"), 2).alias("k")).where("k <> ''")
+    per = o.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.min(_span(F.col("span_start"), F.col("span_end"))).alias("at"))
+    best = per.groupBy("doc_id").agg(F.max_by(F.struct("n", "at"), F.struct("n", (-F.col("at.s")).alias("f"))).alias("b"))
+    return best.select("doc_id", _pointed(F.col("b.n") - 1, F.col("b.at")).alias("paragraph_opener_repeats"))
 
 
-def rhetorical_question_share(p: Prose) -> DataFrame:
-    q = java(QUESTION, "d")
-    by = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
-    s = p.sentences.withColumn("next", F.lead("sentence").over(by)).withColumn("next_end", F.lead("span_end").over(by))
-    hit = F.col("sentence").rlike(q) & F.col("next").isNotNull() & ~F.col("next").rlike(q)
-    got = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("k"), F.min(F.when(hit, F.struct("span_start", "next_end"))).alias("f")).where("k >= 3")
-    return p.per_doc(got.select("doc_id", (F.col("k") / F.col("n")).alias("value"), F.col("f.span_start").alias("span_start"), F.col("f.next_end").alias("span_end")), 0.0)
+def _opener_run(p: Prose) -> DataFrame:
+    s = p.sentences.where("kind = 'paragraph'").select("doc_id", "block_id", "sent_no", "span_start", "span_end", _opener(F.col("sentence"), 1).alias("k"))
+    by = Window.partitionBy("doc_id", "block_id").orderBy("sent_no")
+    s = s.withColumn("new", F.when((F.col("k") != "") & (F.lag("k").over(by) == F.col("k")), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = s.groupBy("doc_id", "block_id", "run").agg(F.count(F.lit(1)).alias("n"), _span(F.min("span_start"), F.max("span_end")).alias("at")).where("n > 1")
+    best = runs.groupBy("doc_id").agg(F.max_by(F.struct("n", "at"), F.struct("n", (-F.col("at.s")).alias("f"))).alias("b"))
+    return best.select("doc_id", _pointed(F.col("b.n"), F.col("b.at")).alias("sentence_opener_run"))
 
 
-def short_paragraph_share(p: Prose) -> DataFrame:
-    x = p.paragraphs.select("doc_id", "span_start", "span_end", (F.size(V.split_sentences(F.col("t"))) <= 1).alias("one"))
-    got = x.groupBy("doc_id").agg(F.avg(F.col("one").cast("double")).alias("value"), F.min(F.when(F.col("one"), F.struct("span_start", "span_end"))).alias("f"))
-    return p.per_doc(got.select("doc_id", "value", F.col("f.span_start").alias("span_start"), F.col("f.span_end").alias("span_end")), 0.0)
+_OF_RUNS: dict[str, Callable[[Prose], DataFrame]] = {"paragraph_opener_repeats": _opener_repeats, "sentence_opener_run": _opener_run}
+NEUTRAL = {"sentence_length_cv": 1.0}
+#: metric: whether it fires at or above the threshold (else at or below)
+METRICS: dict[str, bool] = {n: n != "sentence_length_cv" for n in (*_OF_SENTENCES, *_OF_PARAGRAPHS, *_OF_RUNS, *_OF_TEXT)}
 
 
-def participial_closer_share(p: Prose) -> DataFrame:
-    bare = F.regexp_replace("sentence", "[.!?\"']+\\z", "")
-    h = F.regexp_extract(bare, java(CLOSER, "idU"), 0)
-    s = p.sentences.select("doc_id", "span_end", (F.col("span_start") + F.length(bare) - F.length(h)).alias("span_start"), (h != "").alias("hit"))
-    got = s.groupBy("doc_id").agg(F.avg(F.col("hit").cast("double")).alias("value"), F.min(F.when(F.col("hit"), F.struct("span_start", "span_end"))).alias("f"))
-    return p.per_doc(got.select("doc_id", "value", F.col("f.span_start").alias("span_start"), F.col("f.span_end").alias("span_end")), 0.0)
-
-
-#: metric: (function, whether it fires at or above the threshold)
-METRICS: dict[str, tuple[Callable[[Prose], DataFrame], bool]] = {
-    f.__name__: (f, f is not sentence_length_cv)
-    for f in (
-        sentence_length_cv, paragraph_opener_repeats, sentence_opener_run, triad_density, bold_label_bullets, connective_openers, signpost_density, conclusion_coda, every_template_openers,
-        rhetorical_question_share, short_paragraph_share, participial_closer_share, em_dash_density,
-    )
-}
+def wide(p: Prose, names: list[str]) -> DataFrame:
+    """doc_id, n_sentences, n_paragraphs and a struct<value, s, e> for each metric: one row a document.
+
+    A text's own metrics are one projection, those of sentences and of paragraphs one aggregate each; the
+    results meet by document, as everything here is spread by it.
+    """
+    out = p.views.select("doc_id", *(_OF_TEXT[n]().alias(n) for n in names if n in _OF_TEXT))
+    s = _sentence_rows(p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), *(_OF_SENTENCES[n]().alias(n) for n in names if n in _OF_SENTENCES))
+    g = _paragraph_rows(p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), *(_OF_PARAGRAPHS[n]().alias(n) for n in names if n in _OF_PARAGRAPHS))
+    out = out.join(s, "doc_id", "left").join(g, "doc_id", "left")
+    for n in names:
+        if n in _OF_RUNS:
+            out = out.join(_OF_RUNS[n](p), "doc_id", "left")
+    rest = {n: F.coalesce(n, _pointed(F.lit(NEUTRAL.get(n, 0.0)))) for n in names}
+    return out.select("doc_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), *(c.alias(n) for n, c in rest.items()))
+
+
+def metric(p: Prose, name: str) -> DataFrame:
+    """doc_id, value, span_start, span_end of one metric."""
+    if name in _OF_TEXT:
+        got = p.views.select("doc_id", _OF_TEXT[name]().alias("m"))
+    elif name in _OF_SENTENCES:
+        got = _sentence_rows(p).groupBy("doc_id").agg(_OF_SENTENCES[name]().alias("m"))
+    elif name in _OF_PARAGRAPHS:
+        got = _paragraph_rows(p).groupBy("doc_id").agg(_OF_PARAGRAPHS[name]().alias("m"))
+    else:
+        got = _OF_RUNS[name](p).withColumnRenamed(name, "m")
+    return p.per_doc(got.select("doc_id", F.col("m.value").alias("value"), F.col("m.s").alias("span_start"), F.col("m.e").alias("span_end")), NEUTRAL.get(name, 0.0))
 
 
 def measured(p: Prose, names: list[str] | None = None) -> DataFrame:
     """doc_id, metric, value, span_start, span_end of the named metrics."""
-    out = None
-    for n in names or METRICS:
-        part = METRICS[n][0](p).select("doc_id", F.lit(n).alias("metric"), "value", "span_start", "span_end")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = list(names or METRICS)
+    one = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"{n}.value").alias("value"), F.col(f"{n}.s").alias("span_start"), F.col(f"{n}.e").alias("span_end")) for n in names))
+    return wide(p, names).select("doc_id", F.explode(one).alias("m")).select("doc_id", "m.*")
 
 
 def fired(p: Prose, rules: list[Rule], parsed: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -210,21 +233,22 @@ def fired(p: Prose, rules: list[Rule], parsed: dict[str, DataFrame] | None = Non
 
     ``parsed`` has the values of metrics that need a parser; they fire from the threshold on. Where a metric points at nothing, the first block does.
     """
-    size = p.views.select("doc_id").join(p.sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences")), "doc_id", "left").join(p.paragraphs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs")), "doc_id", "left").na.fill(0)
-    first = p.blocks.groupBy("doc_id").agg(F.min(F.struct("span_start", "span_end")).alias("b"))
-    out = None
+    own = [r for r in rules if r.metric in METRICS]
+    w = wide(p, list(dict.fromkeys(r.metric for r in own)))
+
+    def hit(r: Rule) -> Column:
+        v = F.col(f"{r.metric}.value")
+        ok = (v >= r.threshold if METRICS[r.metric] else v <= r.threshold) & (F.col("n_sentences") >= r.min_sentences) & (F.col("n_paragraphs") >= r.min_paragraphs)
+        return F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.rank).alias("rank"), v.alias("value"), F.col(f"{r.metric}.s").alias("span_start"), F.col(f"{r.metric}.e").alias("span_end")))
+
+    out = w.select("doc_id", F.explode(F.filter(F.array(*map(hit, own)), lambda x: x.isNotNull())).alias("m")).select("doc_id", "m.*") if own else None
     for r in rules:
         if parsed and r.metric in parsed:
-            v, up = parsed[r.metric], True
-        elif r.metric in METRICS:
-            fn, up = METRICS[r.metric]
-            v = fn(p)
-        else:
-            continue
-        part = v.where(F.col("value") >= r.threshold if up else F.col("value") <= r.threshold).select("doc_id", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.rank).alias("rank"), "value", "span_start", "span_end", F.lit(r.min_sentences).alias("ms"), F.lit(r.min_paragraphs).alias("mp"))
-        out = part if out is None else out.unionByName(part)
-    rows = out.join(size, "doc_id").where("n_sentences >= ms and n_paragraphs >= mp").join(first, "doc_id", "left")
-    return rows.select(
+            v = parsed[r.metric].where(F.col("value") >= r.threshold).join(w.select("doc_id", "n_sentences", "n_paragraphs").where((F.col("n_sentences") >= r.min_sentences) & (F.col("n_paragraphs") >= r.min_paragraphs)).select("doc_id"), "doc_id")
+            v = v.select("doc_id", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.rank).alias("rank"), "value", "span_start", "span_end")
+            out = v if out is None else out.unionByName(v)
+    first = p.blocks.groupBy("doc_id").agg(F.min(F.struct("span_start", "span_end")).alias("b"))
+    return out.join(first, "doc_id", "left").select(
         "doc_id", "rule_id", F.lit("doc").alias("category"), "severity", "rank", F.coalesce("span_start", "b.span_start", F.lit(0)).cast("bigint").alias("span_start"),
         F.coalesce("span_end", F.least("b.span_end", F.col("b.span_start") + 60), F.lit(0)).cast("bigint").alias("span_end"), "value",
     )

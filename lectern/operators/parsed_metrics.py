@@ -94,7 +94,7 @@ def _beats(p: Prose) -> DataFrame:
     b = p.blocks.join(p.views.select("doc_id", "text"), "doc_id")
     gap = F.substring("text", F.coalesce(F.lag("span_end").over(by), F.lit(0)).cast("int") + 1, (F.col("span_start") - F.coalesce(F.lag("span_end").over(by), F.lit(0))).cast("int"))
     b = b.withColumn("new", F.when((F.col("kind") != "paragraph") | (F.trim(F.regexp_replace(gap, r"\s+", " ")) != ""), 1).otherwise(0)).withColumn("grp", F.sum("new").over(by))
-    s = V.sentences(p.views, p.blocks, ("paragraph",)).join(b.where("kind = 'paragraph'").select("doc_id", "block_id", "grp"), ["doc_id", "block_id"])
+    s = V.sentences(p.blocks, ("paragraph",)).join(b.where("kind = 'paragraph'").select("doc_id", "block_id", "grp"), ["doc_id", "block_id"])
     s = s.withColumn("words", F.regexp_count("sentence", F.lit(WORD)))
     quoted = p.views.select("doc_id", spans(F.coalesce("text", F.lit("")), "\"[^\"]*\"|“[^”]*”").alias("q"))
     s = s.join(quoted, "doc_id")

@@ -152,5 +152,5 @@ def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") ->
     """All findings of the regex rules. ``views`` has key, text, masked, prose."""
     regex = [r for r in rules if r.category in ("phrase", "template", "punct")]
     block_rows = V.blocks(V.lines(views, key), key)
-    sents = V.sentences(views, block_rows, (*V.TEXT_KINDS, "heading"), key)
+    sents = V.sentences(block_rows, (*V.TEXT_KINDS, "heading"), key)
     return gated(raw_matches(views, regex, key), views, block_rows, sents, regex, key)

@@ -30,6 +30,7 @@ HEADING_LINE = r"(?m)^#{1,6}[ \t]+[^\n]*$"
 HEADING = r"^#{1,6}[ \t]+"
 BULLET = r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+"
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
+EMPHASIS = r"(?:\*\*|__|\*|_)(?=\S)|(?<=\S)(?:\*\*|__|\*|_)"
 MACHINE_KEYS = "class style src href url link image background backgroundimage icon color colour accent layout theme transition font fonts id key glob path file files tags".split()
 CODE_NAME = "Bob"
 CURLY, STRAIGHT = "‘’“”", "''\"\""
@@ -88,7 +89,7 @@ def prose(masked_: Column) -> Column:
     t = rewrite(t, unix(HEADING_LINE), _heading_line)
     t = rewrite(t, unix("(?m)" + QUOTE))
     t = rewrite(t, unix("(?m)" + BULLET))
-    return rewrite(t, r"(?:\*\*|__|\*|_)(?=\S)|(?<=\S)(?:\*\*|__|\*|_)")
+    return rewrite(t, EMPHASIS)
 
 
 def skip_quotes(masked_: Column) -> Column:
@@ -106,43 +107,68 @@ def parse(text: Column, prose_: Column) -> Column:
     return F.aggregate(code_spans(text), prose_, lambda t, x: F.overlay(t, F.lit(CODE_NAME), x["s"] + 1, F.lit(3)))
 
 
+# The passes of the two views in order: pattern, change of a match, signs without which a text has no match.
+_MASKED = (
+    (FRONT, expose_front, ("---",)), (FENCE, blanked, ("```", "~~~")), (INLINE_CODE, blanked, ("`",)), (COMMENT, blanked, ("<!--",)), (TAG, blanked, ("<",)), (CONTAINER, blanked, (":::",)),
+    (LABEL, _label, ("](",)), (TARGET, blanked, ("](",)), (URL, blanked, ("://", "www.")), (TABLE, blanked, ("|",)),
+)
+_PROSE = ((HEADING_LINE, _heading_line, ("#",)), ("(?m)" + QUOTE, blanked, (">",)), ("(?m)" + BULLET, blanked, ()))
+
+
+def _passes(df: DataFrame, column: str, passes: tuple) -> DataFrame:
+    """The passes as a projection each, so that a text without their signs costs a search for them only."""
+    for pattern, change, signs in passes:
+        new = rewrite(F.col(column), unix(pattern), change)
+        if signs:
+            has = F.contains(F.col(column), F.lit(signs[0]))
+            for x in signs[1:]:
+                has = has | F.contains(F.col(column), F.lit(x))
+            new = F.when(has, new).otherwise(F.col(column))
+        df = df.withColumn(column, new)
+    return df
+
+
 def with_views(docs: DataFrame, text: str = "text", quotes: bool = True) -> DataFrame:
     """The columns of ``docs`` and masked, prose. ``quotes=False`` hides quotations."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    m = masked(t)
-    out = docs.withColumn("masked", m if quotes else skip_quotes(m))
-    return out.withColumn("prose", prose(F.col("masked")))
+    out = _passes(docs.withColumn("masked", F.coalesce(F.col(text), F.lit(""))), "masked", _MASKED)
+    if not quotes:
+        out = out.withColumn("masked", skip_quotes(F.col("masked")))
+    out = _passes(out.withColumn("prose", F.translate("masked", CURLY, STRAIGHT)), "prose", _PROSE)
+    has = F.contains("prose", F.lit("*")) | F.contains("prose", F.lit("_"))
+    return out.withColumn("prose", F.when(has, rewrite(F.col("prose"), EMPHASIS)).otherwise(F.col("prose")))
 
 
 def lines(views: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, span_start, span_end, kind, continued: one row per line; kind is null for blank lines."""
-    text_lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    front = F.split(rewrite(F.coalesce(F.col("text"), F.lit("")), unix(FRONT), lambda x: F.regexp_replace(x, r"[^\n]", "\ue002")), "\n", -1)
-    rows = views.select(key, F.posexplode(F.arrays_zip(F.split("masked", "\n", -1).alias("m"), front.alias("f"))).alias("line_no", "x")).select(key, "line_no", F.col("x.m").alias("line"), F.col("x.f").contains("\ue002").alias("front"))
+    """key, line_no, span_start, span_end, kind, continued, line (of the prose view): one row per line; kind is null for blank lines."""
+    marked = F.split(rewrite(F.col("text"), unix(FRONT), lambda x: F.regexp_replace(x, r"[^\n]", "\ue002")), "\n", -1)
+    front = F.when(F.contains("text", F.lit("---")), F.transform(marked, lambda x: x.contains("\ue002")))  # null: no line is of front matter
+    rows = views.select(key, F.posexplode(F.arrays_zip(F.split("masked", "\n", -1).alias("m"), F.split("prose", "\n", -1).alias("p"), F.coalesce(front, F.array().cast("array<boolean>")).alias("f"))).alias("line_no", "x"))
+    rows = rows.select(key, "line_no", F.col("x.m").alias("masked_line"), F.col("x.p").alias("line"), F.coalesce("x.f", F.lit(False)).alias("front"))
     by = Window.partitionBy(key).orderBy("line_no")
     raw = (
-        F.when(F.trim(F.regexp_replace("line", r"\s", " ")) == "", "blank")
+        F.when(F.trim(F.regexp_replace("masked_line", r"\s", " ")) == "", "blank")
         .when(F.col("front"), "field")
-        .when(F.col("line").rlike(QUOTE), "quote")
-        .when(F.col("line").rlike(HEADING), "heading")
-        .when(F.col("line").rlike(BULLET), "list")
+        .when(F.col("masked_line").rlike(QUOTE), "quote")
+        .when(F.col("masked_line").rlike(HEADING), "heading")
+        .when(F.col("masked_line").rlike(BULLET), "list")
         .otherwise("plain")
     )
     rows = rows.withColumn("raw", raw).withColumn("span_start", F.coalesce(F.sum(F.length("line") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = F.last(F.when(F.col("raw") != "plain", F.col("raw")), True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("continued", (F.col("raw") == "plain") & (F.coalesce(before, F.lit("")) == "list"))
     kind = F.when(F.col("raw") == "blank", None).when(F.col("continued"), "list").when(F.col("raw") == "plain", "paragraph").otherwise(F.col("raw"))
-    return rows.select(key, F.col("line_no").cast("bigint").alias("line_no"), "span_start", (F.col("span_start") + F.length("line")).alias("span_end"), kind.alias("kind"), "continued")
+    return rows.select(key, F.col("line_no").cast("bigint").alias("line_no"), "span_start", (F.col("span_start") + F.length("line")).alias("span_end"), kind.alias("kind"), "continued", "line")
 
 
 def blocks(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, block_id, kind, span_start, span_end: lines joined to headings, items, paragraphs, quotations and fields."""
+    """key, block_id, kind, span_start, span_end, t (the prose): lines joined to headings, items, paragraphs, quotations and fields."""
     by = Window.partitionBy(key).orderBy("line_no")
     before = F.lag("kind").over(by)
     joined = (before == F.col("kind")) & (F.col("kind").isin("paragraph", "quote") | F.col("continued"))
     rows = line_rows.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(by)).where("kind is not null")
-    out = rows.groupBy(key, "run").agg(F.first("kind").alias("kind"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
-    return out.select(key, F.row_number().over(Window.partitionBy(key).orderBy("span_start")).cast("bigint").alias("block_id"), "kind", "span_start", "span_end")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    out = rows.groupBy(key, "run").agg(F.first("kind").alias("kind"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), text.alias("t"))
+    return out.select(key, F.row_number().over(Window.partitionBy(key).orderBy("span_start")).cast("bigint").alias("block_id"), "kind", "span_start", "span_end", "t")
 
 
 # Sentence boundaries and what is none.
@@ -183,10 +209,9 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), trimmed), lambda x: x["e"] > x["s"])
 
 
-def sentences(views: DataFrame, block_rows: DataFrame, kinds: tuple[str, ...] = TEXT_KINDS, key: str = "doc_id") -> DataFrame:
+def sentences(block_rows: DataFrame, kinds: tuple[str, ...] = TEXT_KINDS, key: str = "doc_id") -> DataFrame:
     """key, block_id, kind, sent_no, span_start, span_end, sentence of the blocks of these kinds."""
-    rows = block_rows.where(F.col("kind").isin(*kinds)).join(views.select(key, "prose"), key)
-    rows = rows.withColumn("t", F.substring(F.col("prose"), F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int"))).drop("prose")
+    rows = block_rows.where(F.col("kind").isin(*kinds))
     rows = rows.select(key, "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(split_sentences(F.col("t"))).alias("sent_no", "x"))
     return rows.select(
         key, "block_id", "kind", (F.col("sent_no") + 1).cast("bigint").alias("sent_no"), (F.col("base") + F.col("x.s")).alias("span_start"), (F.col("base") + F.col("x.e")).alias("span_end"),

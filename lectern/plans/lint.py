@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.runtime import spread, written
 from lectern.functions.text import WORD
-from lectern.operators import graph, judgments, metrics, parsed_metrics, reduce, regex_rules, scanner
+from lectern.operators import graph, judgments, metrics, parsed_metrics, reader, reduce, references, regex_rules, scanner
 from lectern.operators import views as V
-from lectern.sources.catalogue import Rule, load, rules_df, select
+from lectern.sources.catalogue import CatalogueError, Rule, load, rules_df, select
 
 
 @dataclass(frozen=True)
@@ -22,15 +22,21 @@ class Options:
     no_emoji: bool = False
     skip_quotes: bool = False
     strict: bool = False
+    lang: str = "en"
 
 
-def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None = None, tokens: DataFrame | None = None, lexicon: DataFrame | None = None, answers: DataFrame | None = None, parsed: dict[str, DataFrame] | None = None) -> DataFrame:
+def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None = None, tokens: DataFrame | dict[str, DataFrame] | None = None, lexicon: DataFrame | None = None, answers: DataFrame | None = None, parsed: dict[str, DataFrame] | None = None, reference_model: str = "") -> DataFrame:
     """doc_id, finding_no, rule_id, category, severity, rank, span_start, span_end, marks.
 
     ``docs``: doc_id, text (and more). Layers without an active rule are not planned. Dependency rules run if
-    ``tokens`` are given; the rules of parsed candidates if ``parsed`` has the candidates' tokens: "prefixes" (of
-    ``regex_rules.sentence_matches``, the sentence's start as block_id), "pieces" and "beats" (of ``parsed_metrics``), "isolated" (of ``graph.isolated_spans``). Judgments run if ``answers`` are; without answers, rules that require one report nothing.
+    ``tokens`` are given, one relation or one for each language, of which ``options.lang`` names one; the rules of parsed candidates if ``parsed`` has the candidates' tokens: "prefixes" (of
+    ``regex_rules.sentence_matches``, the sentence's start as block_id), "pieces" and "beats" (of ``parsed_metrics``), "isolated" (of ``graph.isolated_spans``).
+    References are reviewed if ``parsed`` has "targets" (tokens of ``references.targets``), "chunks" and "reference_answers" of the model named. Judgments run if ``answers`` are; without answers, rules that require one report nothing.
     """
+    if isinstance(tokens, dict):
+        if options.lang not in tokens:
+            raise CatalogueError(f"no parses for language {options.lang!r}")
+        tokens = tokens[options.lang]
     active = select(rules or load(), set(options.only), set(options.disable), set(options.disable_category), options.no_emoji)
     # read by every layer: kept in memory or on the executors' disks, and recomputed if an executor is lost
     views = V.with_views(spread(docs.select("doc_id", "text")), quotes=not options.skip_quotes).persist()
@@ -41,7 +47,7 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     parsed = parsed or {}
     regex = [r for r in active if r.category in ("phrase", "template", "punct") and r.pattern]
     if regex:
-        sents5 = V.sentences(views, blocks, (*V.TEXT_KINDS, "heading"))
+        sents5 = V.sentences(blocks, (*V.TEXT_KINDS, "heading"))
         found = regex_rules.raw_matches(views, regex)
         if "prefixes" in parsed:
             nominal = graph.nominal(parsed["prefixes"], ["doc_id", "block_id"]).withColumnRenamed("block_id", "span_start")
@@ -49,11 +55,18 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
         parts.append(reduce.with_marks(regex_rules.gated(found, views, blocks, sents5, regex)).select(*cols))
     for r in active:
         if r.construction:
-            c = scanner.contrasts(V.sentences(views, blocks)).select("doc_id", *(F.lit(x).alias(n) for n, x in (("rule_id", r.id), ("category", r.category), ("severity", r.severity), ("rank", r.rank))), "span_start", "span_end")
+            c = scanner.contrasts(V.sentences(blocks)).select("doc_id", *(F.lit(x).alias(n) for n, x in (("rule_id", r.id), ("category", r.category), ("severity", r.severity), ("rank", r.rank))), "span_start", "span_end")
             parts.append(reduce.with_marks(c).select(*cols))
     grammar = [r for r in active if r.dependency]
     if grammar and tokens is not None:
-        parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(views, blocks), grammar, lexicon, parsed.get("isolated")).select(*cols))
+        parts.append(graph.graph_findings(tokens, views, blocks, V.sentences(blocks), grammar, lexicon, parsed.get("isolated")).select(*cols))
+    for r in active:
+        if r.confidence_floor is not None and "reference_answers" in parsed:
+            seen = reader.with_reader_view(views)
+            rows = references.paragraphs(seen, blocks)
+            found = references.candidates(rows, seen, parsed["targets"], parsed["chunks"])
+            c = references.review_findings(references.review(rows, found, parsed["reference_answers"], reference_model, r.confidence_floor), r.id, r.severity, r.rank)
+            parts.append(reduce.with_marks(c).select(*cols))
     values = {f.__name__: f(prose, parsed[k]) for k, f in (("pieces", parsed_metrics.parallel_clause_repeats), ("beats", parsed_metrics.staccato_beats)) if k in parsed}
     doc_rules = [r for r in active if r.metric in metrics.METRICS or r.metric in values]
     if doc_rules:

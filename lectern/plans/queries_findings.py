@@ -82,7 +82,7 @@ def regex_findings(spark, d):
 @query()
 def contrast_findings(spark, d):
     v = views(spark, d)
-    return scanner.contrasts(V.sentences(v, V.blocks(V.lines(v))))
+    return scanner.contrasts(V.sentences(V.blocks(V.lines(v))))
 
 
 @query(
@@ -264,7 +264,7 @@ def judgment_batches(spark, d):
     v = views(spark, d)
     b = V.blocks(V.lines(v))
     f = reduce.report_order(seeded(v)).where("rank < 2")
-    return judgments.batches(f, b, V.sentences(v, b))
+    return judgments.batches(f, b, V.sentences(b))
 
 
 @query(

@@ -54,18 +54,18 @@ def mask_passes(spark, d):
 
 @query(f"WITH {O.views()}, {O.lines()} SELECT doc_id, line_no, span_start, span_end, kind, continued FROM l")
 def text_lines(spark, d):
-    return V.lines(views(spark, d))
+    return V.lines(views(spark, d)).drop("line")
 
 
 @query(f"WITH {O.views()}, {O.lines()}, {O.blocks()} SELECT * FROM b")
 def text_blocks(spark, d):
-    return V.blocks(V.lines(views(spark, d)))
+    return V.blocks(V.lines(views(spark, d))).drop("t")
 
 
 @query(f"WITH {O.views()}, {O.lines()}, {O.blocks()}, {O.sentences()} SELECT doc_id, block_id, kind, sent_no, span_start, span_end, md5(sentence) AS sentence FROM s")
 def text_sentences(spark, d):
     v = views(spark, d)
-    return V.sentences(v, V.blocks(V.lines(v))).withColumn("sentence", F.md5("sentence"))
+    return V.sentences(V.blocks(V.lines(v))).withColumn("sentence", F.md5("sentence"))
 
 
 @query(f"WITH {O.views()} SELECT doc_id, {O.words('prose')} AS n_words FROM v")
@@ -90,7 +90,7 @@ def line_columns(spark, d):
 def sentence_containment(spark, d):
     v = views(spark, d)
     b = V.blocks(V.lines(v))
-    s = V.sentences(v, b, (*V.TEXT_KINDS, "heading")).select(F.col("doc_id").alias("k"), F.col("span_start").alias("a"), "sent_no")
+    s = V.sentences(b, (*V.TEXT_KINDS, "heading")).select(F.col("doc_id").alias("k"), F.col("span_start").alias("a"), "sent_no")
     got = b.join(s, (F.col("doc_id") == F.col("k")) & (F.col("a") >= F.col("span_start")) & (F.col("a") < F.col("span_end")), "left")
     return got.groupBy("doc_id", "block_id").agg(F.count("sent_no").alias("sentences"), F.coalesce(F.min("a") == F.first("span_start"), F.lit(False)).alias("starts_at_block"))
 
@@ -105,7 +105,7 @@ def view_invariants(spark, d):
 
 def _metric(name: str):
     def run(spark, d):
-        return metrics.METRICS[name][0](metrics.Prose.of(views(spark, d))).withColumn("value", F.round("value", 6))
+        return metrics.metric(metrics.Prose.of(views(spark, d)), name).withColumn("value", F.round("value", 6))
 
     run.__name__ = f"metric_{name}"
     return run
@@ -123,7 +123,7 @@ def _fired_sql() -> str:
             continue
         body = O.metric_sql()[r.metric].split(f"{O.prose()}\n", 1)[1]
         ctes.append(f"q_{r.metric} AS ({body})")
-        op = ">=" if metrics.METRICS[r.metric][1] else "<="
+        op = ">=" if metrics.METRICS[r.metric] else "<="
         parts.append(f"SELECT doc_id, {O.q(r.id)} AS rule_id, {O.q(r.severity)} AS severity, value, {r.min_sentences} AS ms, {r.min_paragraphs} AS mp FROM q_{r.metric} WHERE value {op} {r.threshold}")
     size = "SELECT v.doc_id, (SELECT count(*) FROM s WHERE s.doc_id = v.doc_id) AS ns, (SELECT count(*) FROM p WHERE p.doc_id = v.doc_id) AS np FROM v"
     return f"WITH {O.prose()},\n" + ",\n".join(ctes) + f"\nSELECT f.doc_id, rule_id, severity, value FROM ({' UNION ALL '.join(parts)}) f JOIN ({size}) z USING (doc_id) WHERE ns >= ms AND np >= mp"

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lectern.operators import graph, reader, reduce, references, structural, study
 from lectern.operators import views as V
 from lectern.plans import run
+from lectern.plans.lint import Options, lint
 from lectern.sources import acquire, files
+from lectern.sources.catalogue import CatalogueError
 
 LONG = "This paragraph goes on. " * 20
 
@@ -51,6 +53,10 @@ def test_reference_review(spark):
     assert [(r.doc_id, r.span_start, r.span_end) for r in references.review_findings(out, "noun.unclear-reference", "sniff", 2).collect()] == [(1, 9, 18)]
     assert references.review_summary(out).first().message == "1 references clear, 1 unclear, 0 uncertain, 3 not decided"
     assert references.paragraphs(v.limit(0), b.limit(0)).count() == 0
+    whole = lint(d, Options(only=frozenset({"noun.unclear-reference"})), parsed={"targets": tokens, "chunks": chunks, "reference_answers": answers}, reference_model="m")
+    assert [(r.doc_id, r.rule_id, r.span_start, r.span_end) for r in whole.collect()] == [(1, "noun.unclear-reference", 9, 18)]
+    with pytest.raises(CatalogueError):
+        lint(d, Options(lang="xx"), tokens={"en": tokens})
 
 
 def test_candidates_do_not_cross_hidden_text(spark):
@@ -124,3 +130,21 @@ def test_study_relations_and_dump(spark):
     assert [r.line.split()[-1] for r in graph.dump(t).orderBy("line_no").collect()] == ["cat", "the"]
     e = spark.createDataFrame([("a",), ("b",)], "path string")
     assert [r.path for r in reduce.absent(e, e.where("path = 'a'")).collect()] == ["b"]
+
+
+def test_streams(spark, tmp_path):
+    from lectern.streaming import lint as streaming
+
+    rows = [(1, "In conclusion, it works.", "a", "2024-01-01 10:00:00"), (2, "Plain.", "a", "2024-01-01 11:00:00"), (3, "In conclusion, more. In conclusion, yes.", "b", "2024-01-02 10:00:00"), (4, None, "b", None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, at string").select("doc_id", "text", "source", F.col("at").cast("timestamp").alias("loaded_at"))
+    d.write.parquet(str(tmp_path / "in"))
+    got = []
+    only = Options(only=frozenset({"phrase.signposted-conclusion"}))
+    ddl = "doc_id bigint, text string, source string, loaded_at timestamp"
+    q = streaming.lint_stream(streaming.documents(spark, str(tmp_path / "in"), ddl), lambda f, n: got.extend(f.collect()), "file://" + str(tmp_path / "cp"), only)
+    q.awaitTermination()
+    assert sorted(r.doc_id for r in got) == [1, 3, 3]
+    rates = streaming.rate_by_window(streaming.documents(spark, str(tmp_path / "in"), ddl), "in conclusion")
+    q = rates.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.source, r.documents, r.matches) for r in spark.table("rates").collect()} == {("a", 2, 1), ("b", 1, 2)}

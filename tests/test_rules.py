@@ -129,7 +129,7 @@ def test_contrast(spark):
 def test_contrast_pairs(spark):
     d = spark.createDataFrame([(1, "The plan is a map. It is not a promise."), (2, "It is not a map. It is not a promise."), (3, None)], "doc_id bigint, text string")
     v = V.with_views(d)
-    got = {r.doc_id: (r.span_start, r.span_end) for r in scanner.contrasts(V.sentences(v, V.blocks(V.lines(v)))).collect()}
+    got = {r.doc_id: (r.span_start, r.span_end) for r in scanner.contrasts(V.sentences(V.blocks(V.lines(v)))).collect()}
     assert got == {1: (0, 39)}
 
 
@@ -146,7 +146,7 @@ def test_graph_rule(spark):
     b = V.blocks(V.lines(v))
     t = spark.createDataFrame(TOKENS, graph.TOKENS_DDL)
     rules = [r for r in RULES if r.id in ("verb.buys-us", "verb.lands")]
-    got = graph.graph_findings(t, v, b, V.sentences(v, b), rules).collect()
+    got = graph.graph_findings(t, v, b, V.sentences(b), rules).collect()
     assert [(r.rule_id, r.span_start, r.span_end) for r in got] == [("verb.buys-us", 0, 12)]
     assert [tuple(m) for m in got[0].marks] == [(0, 4), (5, 9), (10, 12)]
 
@@ -230,7 +230,7 @@ def test_noun_gates(spark):
         rows += [(doc, 1, i, at[i], w, w.lower(), w.lower(), "NOUN", "NN", "compound" if i < 2 else "ROOT", min(i + 1, 2)) for i, w in enumerate(words)]
     t = spark.createDataFrame(rows, graph.TOKENS_DDL)
     rule = C.rule_from({"id": "noun.three", "severity": "bark", "message": "m", "dependency": [[{"RIGHT_ID": "a", "RIGHT_ATTRS": {"POS": "NOUN"}}, {"LEFT_ID": "a", "REL_OP": ">", "RIGHT_ID": "b", "RIGHT_ATTRS": {"POS": "NOUN"}}, {"LEFT_ID": "b", "REL_OP": ">", "RIGHT_ID": "c", "RIGHT_ATTRS": {"POS": "NOUN"}}]]}, "noun")
-    s = V.sentences(v, b)
+    s = V.sentences(b)
     assert {r.doc_id for r in graph.graph_findings(t, v, b, s, [rule]).collect()} == {2, 3}
     todo = graph.isolated_spans(t, v, b, s, [rule]).collect()
     assert [(r.doc_id, r.text) for r in todo] == [(2, "Testing cache size")]

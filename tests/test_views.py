@@ -72,7 +72,7 @@ def test_blocks_and_sentences(spark):
     b = V.blocks(V.lines(v))
     kinds = [r.kind for r in b.where("doc_id = 0").orderBy("block_id").collect()]
     assert kinds == ["field", "heading", "paragraph", "list", "list", "quote", "paragraph"] or kinds[:6] == ["field", "heading", "paragraph", "list", "list", "quote"]
-    s = [r.sentence for r in V.sentences(v, b).where("doc_id = 0").orderBy("span_start").collect()]
+    s = [r.sentence for r in V.sentences(b).where("doc_id = 0").orderBy("span_start").collect()]
     assert any(x.startswith("item one") and "lazy continuation" in x for x in s)
     assert any(x.endswith("e.g. this one.") for x in s)
     assert "Dr. Who came." in s and "U.S. policy vs. others." in s
