@@ -30,5 +30,13 @@ P5_FOUND = f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM p"
 P5_SHARES = f"""WITH {_SPANS}, t AS (SELECT doc_id, count(*) AS spans, sum(span_end - span_start)::BIGINT AS shared FROM p GROUP BY doc_id)
 SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(spans, 0) AS spans, coalesce(shared, 0) AS shared, CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(shared, 0) / length(text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN t USING (doc_id)"""
 
+P5_REMOVED = f"""WITH {_SPANS}, t AS (SELECT doc_id, list(span_start ORDER BY span_start) AS a, list(span_end ORDER BY span_start) AS b FROM p GROUP BY doc_id),
+k AS (SELECT d.doc_id, CASE WHEN a IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda i: substring(text, coalesce(b[i - 1], 0) + 1, coalesce(a[i], length(text)) - coalesce(b[i - 1], 0))), '') END AS kept FROM documents d LEFT JOIN t USING (doc_id))
+SELECT doc_id, length(kept)::BIGINT AS chars, md5(kept) AS kept FROM k"""
+
 _COVER = "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS covered, 0::BIGINT AS first, coalesce(length(text), 0)::BIGINT AS last{} FROM documents"
-P7_COVER, P9_COVER = _COVER.format(", 0::BIGINT AS over"), _COVER.format("")
+P7_COVER, P9P5_REMOVED = f"""WITH {_SPANS}, t AS (SELECT doc_id, list(span_start ORDER BY span_start) AS a, list(span_end ORDER BY span_start) AS b FROM p GROUP BY doc_id),
+k AS (SELECT d.doc_id, CASE WHEN a IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda i: substring(text, coalesce(b[i - 1], 0) + 1, coalesce(a[i], length(text)) - coalesce(b[i - 1], 0))), '') END AS kept FROM documents d LEFT JOIN t USING (doc_id))
+SELECT doc_id, length(kept)::BIGINT AS chars, md5(kept) AS kept FROM k"""
+
+_COVER = _COVER.format(", 0::BIGINT AS over"), _COVER.format("")

@@ -17,7 +17,7 @@ from lectern.llm.overlap import p1_found, p1_overlaps
 from lectern.llm.packing import p7_cover, p7_fill, p7_packing
 from lectern.llm.pieces import p9_cover, p9_found, p9_pieces
 from lectern.llm.sentences import sentence_units
-from lectern.llm.spans import p5_found, p5_shares
+from lectern.llm.spans import p5_found, p5_removed, p5_shares
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        *(p1_found, p1_overlaps, p2_found, p2_clean, p3_found, p4_found, p4_records, p5_found, p5_shares, p6_found, p6_segments),
+        *(p1_found, p1_overlaps, p2_found, p2_clean, p3_found, p4_found, p4_records, p5_found, p5_shares, p5_removed, p6_found, p6_segments),
         *(p7_packing, p7_fill, p7_cover, p8_found, p8_mix, p8_shares, p9_found, p9_pieces, p9_cover),
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_cover": oracle.P7_COVER, "p9_cover": oracle.P9_COVER, "p4_found": oracle.P4_FOUND, "p4_records": oracle.P4_RECORDS, "p5_found": oracle.P5_FOUND, "p5_shares": oracle.P5_SHARES}
+    return {"p7_cover": oracle.P7_COVER, "p9_cover": oracle.P9_COVER, "p4_found": oracle.P4_FOUND, "p4_records": oracle.P4_RECORDS, "p5_found": oracle.P5_FOUND, "p5_shares": oracle.P5_SHARES, "p5_removed": oracle.P5_REMOVED}

@@ -9,8 +9,9 @@ which ones a unit starts.
 The symbols of a whole batch are cut into chunks of equal length. For each chunk the function
 "state before -> state after" is computed for all ten states at once, for all chunks in step
 (numpy); the functions are composed by a parallel prefix scan (doubling), which gives the true
-state at each chunk's start; a last pass in step emits the boundaries. A document of any length is
-thereby work of bounded depth, and one long document costs as much as many short ones.
+state at each chunk's start; a last pass in step emits the boundaries. A document's symbols are assigned
+in one pass over its text; what follows is as deep as a chunk is long, so one long document costs as much as many short ones.
+A document is one row of one task.
 
 Null and empty texts have no units. A unit needs at least one letter or digit.
 """
@@ -69,7 +70,7 @@ _QUOTES = "".join(dict.fromkeys("".join(a + b for a, b in _PAIRS)))
 QUOTE_ANY = re.compile(f"[{_QUOTES}]")
 #: Opening quote with something to read behind it, up to the first fitting close, inside one paragraph.
 QUOTED = re.compile(
-    "|".join(f"{re.escape(a)}(?=\\s?[^\\s{_QUOTES}.,;:!?)])(?:[^{re.escape(a + b)}\\n]|\\n(?!\\s*\\n)){{1,2000}}[{re.escape(b)}]" for a, b in _PAIRS)
+    "|".join(f"{re.escape(a)}(?=\\s?[^\\s{_QUOTES}.,;:!?)])(?:[^{re.escape(a + b)}\\n]|\\n(?!\\s*\\n))++[{re.escape(b)}]" for a, b in _PAIRS)
 )
 _URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"«»“”]*[\w/]")
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)")

@@ -306,6 +306,22 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     return runs.groupBy("doc", "run").agg(F.min("a").alias("span_start"), F.max("b").alias("span_end")).select(F.col("doc").alias("doc_id"), "span_start", "span_end")
 
 
+def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``kept``: the text without its shared stretches. A null text stays null."""
+    got = spans.groupBy(F.col("doc_id").alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("span_start").cast("int").alias("a"), F.col("span_end").cast("int").alias("b")))).alias("_s"))
+    rows = docs.join(got, docs[key] == got["_k"], "left")
+    ends = F.concat(F.array(F.lit(0)), F.transform("_s", lambda x: x["b"]))
+    starts = F.concat(F.transform("_s", lambda x: x["a"]), F.array(F.length(text)))
+    rest = F.array_join(F.transform(F.arrays_zip(ends.alias("b"), starts.alias("a")), lambda x: F.substring(F.col(text), x["b"] + 1, x["a"] - x["b"])), "")
+    return rows.withColumn("kept", F.when(F.col("_s").isNull(), F.col(text)).otherwise(rest)).drop("_k", "_s")
+
+
+def p5_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its shared stretches: what is left, by length and digest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_spans(d, spans_of(d)).select("doc_id", F.coalesce(F.length("kept"), F.lit(0)).cast("bigint").alias("chars"), F.md5(F.coalesce("kept", F.lit(""))).alias("kept"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_of(table(spark, sf_dir, "documents"))
 
