@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import re._constants as C
 import re._parser as parser
 import warnings
 
-#: A guard of more literals than this, or with a shorter one, costs more than it saves.
-MOST, LEAST = 60, 3
+#: A guard of more literals than this, or with a shorter one, saves too little.
+MOST, LEAST = 400, 3
 
 
 def _best(options: list[frozenset[str] | None]) -> frozenset[str] | None:
@@ -49,3 +50,30 @@ def literals(pattern: str) -> list[str] | None:
         return None
     # a literal that contains another is implied by it
     return sorted(x for x in got if not any(y != x and y in x for y in got))
+
+
+def trie(words: list[str]) -> str:
+    """A pattern for the longest of the words at a place. Words that begin alike share a branch, so a place costs a few comparisons however many there are."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(t: dict) -> str:
+        run = ""
+        while len(t) == 1 and "" not in t:
+            (c, t), = t.items()
+            run += re.escape(c)
+        rest = [re.escape(c) + pattern(x) for c, x in sorted(t.items()) if c]
+        if not rest:
+            return run
+        return run + "(?:" + "|".join(rest) + ")" + ("?" if "" in t else "")
+
+    return pattern(tree)
+
+
+def covered(words: list[str], all_words: list[str]) -> list[str]:
+    """The words of ``all_words`` that begin with one of ``words``: where one of those is the longest at a place, one of these is there too."""
+    return sorted(x for x in all_words if x.startswith(tuple(words)))

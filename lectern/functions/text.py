@@ -22,9 +22,22 @@ def blanked(piece: Column) -> Column:
     return F.regexp_replace(piece, r"[^\n]", " ")
 
 
-def rewrite(text: Column, pattern: str, change: Callable[[Column], Column] = blanked) -> Column:
-    """Each match replaced by ``change`` of it, which must keep the length."""
-    return F.array_join(F.transform(parts(text, pattern), lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x)), "")
+def rewrite(text: Column, pattern: str, change: Callable[[Column], Column] = blanked, signs: tuple[str, ...] = ()) -> Column:
+    """Each match replaced by ``change`` of it, which must keep the length.
+
+    ``signs``: a text with none of them has no match and stays as it is. The text is bound to a variable, so that it is
+    computed once however often it is read.
+    """
+    if not signs:
+        return F.array_join(F.transform(parts(text, pattern), lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x)), "")
+
+    def guarded(t: Column) -> Column:
+        has = F.contains(t, F.lit(signs[0]))
+        for x in signs[1:]:
+            has = has | F.contains(t, F.lit(x))
+        return F.when(has, rewrite(t, pattern, change)).otherwise(t)
+
+    return F.transform(F.array(text), guarded)[0]
 
 
 def spans(text: Column, pattern: str) -> Column:

@@ -11,7 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.guards import literals
+from lectern.functions.guards import covered, literals, trie
+from lectern.functions.runtime import written
 from lectern.functions.text import java, quoted, rewrite, spans_sql
 from lectern.operators import views as V
 from lectern.sources.catalogue import CatalogueError, Rule, rules_df
@@ -54,26 +55,26 @@ def excepted(rules: list[Rule], context: Column, which: str = "unless") -> Colum
     return out
 
 
-def _guard(rule: Rule, low: str) -> str | None:
-    found = literals(rule.pattern)
-    return None if found is None else " OR ".join(f"contains({low}, {quoted(x)})" for x in found)
-
-
 def raw_matches(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
-    """key, rule_id, span_start, span_end of every non-empty match. Punctuation reads ``masked``, the rest ``prose``.
+    """key, rule_id, span_start, span_end, found (the text) of every non-empty match. Punctuation reads ``masked``, the rest ``prose``.
 
-    A pattern runs only on texts that hold one of its required literals, tested on one lower-cased copy.
+    A pattern runs only on texts that hold one of its required literals. All literals of all rules are found in one pass
+    over a lower-cased copy.
     """
     active = [r for r in rules if r.pattern is not None and not r.nominal_prefix]
     if not active:
-        return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint")
+        return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint, found string")
     compiled(views.sparkSession, active)
+    needs = {r.id: literals(r.pattern) for r in active}
+    every = sorted({x for n in needs.values() for x in n or ()})
     parts = []
     for r in active:
         view = "masked" if r.category == "punct" else "prose"
-        found = spans_sql(view, pattern_of(r), _guard(r, "_low"))
-        parts.append(f"transform({found}, x -> named_struct('rule_id', {quoted(r.id)}, 'span_start', cast(x.s as bigint), 'span_end', cast(x.e as bigint)))")
-    rows = views.select(key, "masked", "prose").withColumn("_low", F.lower(F.upper("masked")))
+        guard = f"exists(_hits, h -> h in ({', '.join(map(quoted, covered(needs[r.id], every)))}))" if needs[r.id] else None
+        found = spans_sql(view, pattern_of(r), guard)
+        parts.append(f"transform({found}, x -> named_struct('rule_id', {quoted(r.id)}, 'span_start', cast(x.s as bigint), 'span_end', cast(x.e as bigint), 'found', substring({view}, x.s + 1, x.e - x.s)))")
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(F.upper("masked")), F.lit(f"(?=({trie(every)}))"), F.lit(1))) if every else F.array().cast("array<string>")
+    rows = views.select(key, "masked", "prose", hits.alias("_hits"))
     return rows.select(key, F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("m")).select(key, "m.*")
 
 
@@ -84,9 +85,9 @@ def sentence_matches(sents: DataFrame, rules: list[Rule], key: str = "doc_id") -
         if not r.nominal_prefix:
             continue
         p = java("(?:" + r.pattern + ")", "idmU")
-        part = sents.where(F.col("sentence").rlike("^" + p + "\\z")).select(key, F.lit(r.id).alias("rule_id"), "span_start", "span_end", F.regexp_extract("sentence", "^" + p + "\\z", 1).alias("prefix"))
+        part = sents.where(F.col("sentence").rlike("^" + p + "\\z")).select(key, F.lit(r.id).alias("rule_id"), "span_start", "span_end", F.regexp_extract("sentence", "^" + p + "\\z", 1).alias("prefix"), F.col("sentence").alias("found"))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else sents.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint, prefix string")
+    return out if out is not None else sents.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint, prefix string, found string")
 
 
 # Constructs that a reader sees before an opening.
@@ -133,24 +134,34 @@ def gated(matches: DataFrame, views: DataFrame, block_rows: DataFrame, sents: Da
     """Matches that pass the gates. ``sents`` has the sentences of all five kinds, headings too."""
     table = rules_df(matches.sparkSession, rules).select("rule_id", "category", "severity", "rank", "headings", "heading_only", "sentence_start")
     compiled(matches.sparkSession, rules)
-    m = located(matches, key, b=block_rows.select(key, "kind", "span_start", "span_end"), s=sents.select(key, "span_start", "span_end"))
+    m = located(matches, key, b=block_rows.select(key, "kind", "span_start", "span_end"), s=sents.select(key, "span_start", "span_end", "sentence"))
     m = m.join(F.broadcast(table), "rule_id")  # at most the catalogue's rows
     m = m.where((F.col("category") != "template") | (F.col("b.span_end").isNotNull() & (F.col("span_end") <= F.col("b.span_end"))))
     m = m.where(~F.col("sentence_start") | (F.coalesce(F.col("s.span_start"), F.lit(-1)) == F.col("span_start")))
     heading = F.coalesce(F.col("b.kind") == "heading", F.lit(False))
     m = m.where(F.col("headings") | ~heading).where(~F.col("heading_only") | heading)
-    if any(r.unless or r.opening_reference for r in rules):
-        m = m.join(views.select(key, "text", "masked", "prose"), key)
-        view = F.when(F.col("category") == "punct", F.col("masked")).otherwise(F.col("prose"))
+    # the context of an exception is the sentence, or the match where none holds it; only openings and exceptions in the other view need a text again
+    whole = [r for r in rules if r.opening_reference or (r.unless and r.category == "punct")]
+    names = [r.id for r in whole]
+    if whole:
+        m = written(m.select(key, *_OUT, "found", "b", "s"), "matches")  # read twice
+    context = F.when(F.col("s").isNotNull(), F.col("s.sentence")).otherwise(F.col("found"))
+    out = (m.where(~F.col("rule_id").isin(*names)) if names else m).where(~excepted([r for r in rules if r not in whole], context)).select(*_OUT, key)
+    if whole:
+        x = m.where(F.col("rule_id").isin(*names)).join(views.select(key, "text", "masked", "prose"), key)
         a, e = F.coalesce("s.span_start", "span_start"), F.coalesce("s.span_end", "span_end")
-        m = m.where(~excepted(rules, F.substring(view, a.cast("int") + 1, (e - a).cast("int"))))
-    m = opening_only(m, block_rows, rules, key)
-    return m.select(key, "rule_id", "category", "severity", "rank", "span_start", "span_end").distinct()
+        view = F.when(F.col("category") == "punct", F.col("masked")).otherwise(F.col("prose"))
+        x = opening_only(x.where(~excepted(whole, F.substring(view, a.cast("int") + 1, (e - a).cast("int")))), block_rows, whole, key)
+        out = out.unionByName(x.select(*_OUT, key))
+    return out.select(key, *_OUT).distinct()
+
+
+_OUT = ("rule_id", "category", "severity", "rank", "span_start", "span_end")
 
 
 def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """All findings of the regex rules. ``views`` has key, text, masked, prose."""
     regex = [r for r in rules if r.category in ("phrase", "template", "punct")]
-    block_rows = V.blocks(V.lines(views, key), key)
+    block_rows = written(V.blocks(V.lines(views, key), key), "blocks")  # read by both gates and the sentences
     sents = V.sentences(block_rows, (*V.TEXT_KINDS, "heading"), key)
     return gated(raw_matches(views, regex, key), views, block_rows, sents, regex, key)

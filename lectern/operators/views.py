@@ -67,13 +67,13 @@ def _label(piece: Column) -> Column:
 
 
 def masked(text: Column) -> Column:
-    t = rewrite(text, unix(FRONT), expose_front)
-    t = rewrite(t, unix(FENCE))
-    for p in (INLINE_CODE, COMMENT, TAG, CONTAINER):
-        t = rewrite(t, unix(p))
-    t = rewrite(t, unix(LABEL), _label)
-    for p in (TARGET, URL, TABLE):
-        t = rewrite(t, unix(p))
+    t = rewrite(text, unix(FRONT), expose_front, ("---",))
+    t = rewrite(t, unix(FENCE), blanked, ("```", "~~~"))
+    for p, *signs in ((INLINE_CODE, "`"), (COMMENT, "<!--"), (TAG, "<"), (CONTAINER, ":::")):
+        t = rewrite(t, unix(p), blanked, tuple(signs))
+    t = rewrite(t, unix(LABEL), _label, ("](",))
+    for p, *signs in ((TARGET, "]("), (URL, "://", "www."), (TABLE, "|")):
+        t = rewrite(t, unix(p), blanked, tuple(signs))
     return t
 
 
@@ -86,10 +86,10 @@ def _heading_line(line: Column) -> Column:
 
 def prose(masked_: Column) -> Column:
     t = F.translate(masked_, CURLY, STRAIGHT)
-    t = rewrite(t, unix(HEADING_LINE), _heading_line)
-    t = rewrite(t, unix("(?m)" + QUOTE))
+    t = rewrite(t, unix(HEADING_LINE), _heading_line, ("#",))
+    t = rewrite(t, unix("(?m)" + QUOTE), blanked, (">",))
     t = rewrite(t, unix("(?m)" + BULLET))
-    return rewrite(t, EMPHASIS)
+    return rewrite(t, EMPHASIS, blanked, ("*", "_"))
 
 
 def skip_quotes(masked_: Column) -> Column:
@@ -107,35 +107,12 @@ def parse(text: Column, prose_: Column) -> Column:
     return F.aggregate(code_spans(text), prose_, lambda t, x: F.overlay(t, F.lit(CODE_NAME), x["s"] + 1, F.lit(3)))
 
 
-# The passes of the two views in order: pattern, change of a match, signs without which a text has no match.
-_MASKED = (
-    (FRONT, expose_front, ("---",)), (FENCE, blanked, ("```", "~~~")), (INLINE_CODE, blanked, ("`",)), (COMMENT, blanked, ("<!--",)), (TAG, blanked, ("<",)), (CONTAINER, blanked, (":::",)),
-    (LABEL, _label, ("](",)), (TARGET, blanked, ("](",)), (URL, blanked, ("://", "www.")), (TABLE, blanked, ("|",)),
-)
-_PROSE = ((HEADING_LINE, _heading_line, ("#",)), ("(?m)" + QUOTE, blanked, (">",)), ("(?m)" + BULLET, blanked, ()))
-
-
-def _passes(df: DataFrame, column: str, passes: tuple) -> DataFrame:
-    """The passes as a projection each, so that a text without their signs costs a search for them only."""
-    for pattern, change, signs in passes:
-        new = rewrite(F.col(column), unix(pattern), change)
-        if signs:
-            has = F.contains(F.col(column), F.lit(signs[0]))
-            for x in signs[1:]:
-                has = has | F.contains(F.col(column), F.lit(x))
-            new = F.when(has, new).otherwise(F.col(column))
-        df = df.withColumn(column, new)
-    return df
-
-
 def with_views(docs: DataFrame, text: str = "text", quotes: bool = True) -> DataFrame:
     """The columns of ``docs`` and masked, prose. ``quotes=False`` hides quotations."""
-    out = _passes(docs.withColumn("masked", F.coalesce(F.col(text), F.lit(""))), "masked", _MASKED)
-    if not quotes:
-        out = out.withColumn("masked", skip_quotes(F.col("masked")))
-    out = _passes(out.withColumn("prose", F.translate("masked", CURLY, STRAIGHT)), "prose", _PROSE)
-    has = F.contains("prose", F.lit("*")) | F.contains("prose", F.lit("_"))
-    return out.withColumn("prose", F.when(has, rewrite(F.col("prose"), EMPHASIS)).otherwise(F.col("prose")))
+    t = F.coalesce(F.col(text), F.lit(""))
+    m = masked(t)
+    out = docs.withColumn("masked", m if quotes else skip_quotes(m))
+    return out.withColumn("prose", prose(F.col("masked")))
 
 
 def lines(views: DataFrame, key: str = "doc_id") -> DataFrame:
