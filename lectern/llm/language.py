@@ -288,25 +288,35 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
-    """A model of labelled records of SAMPLE_CHARS characters: about ``sample`` rows a language reach the driver, of each the first SAMPLE_UNITS sentences."""
+    """A model of labelled records of SAMPLE_CHARS characters: about ``sample`` rows a language, of each the first SAMPLE_UNITS sentences, fitted in one task."""
     names = table(spark, sf_dir, "language_names")
     rows = table(spark, sf_dir, "corpus_records").select(label_code(F.col("language"), names).alias("code"), "text").where(f"code is not null and text is not null and length(text) between {SAMPLE_CHARS[0]} and {SAMPLE_CHARS[1]}")
     sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
     if not sizes:
-        return Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
+        return none
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, sample / n)))
     at = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    got = rows.where(at < F.element_at(share, F.col("code"))).select("code", "text").dropDuplicates().collect()
-    got = sorted(got, key=lambda r: hashlib.md5(r["text"].encode("utf-8", "surrogatepass")).digest())
-    texts, labels = [], []
-    for r, sp in zip(got, units([r["text"] for r in got])):
-        for a, b in sp[:SAMPLE_UNITS]:
-            if b - a >= MIN_LETTERS:
-                texts.append(r["text"][a:b])
-                labels.append(r["code"])
-    if not texts:
-        return Model(["und"], np.zeros(1 << HASH_BITS, np.int32), np.zeros((1, 1), np.float32))
-    return Model.fit(texts, labels)
+    chosen = rows.where(at < F.element_at(share, F.col("code"))).select("code", "text").dropDuplicates()
+
+    def fit(batches):
+        got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        got.sort(key=lambda r: hashlib.md5(r[1].encode("utf-8", "surrogatepass")).digest())
+        texts, labels = [], []
+        for (code, text), sp in zip(got, units([t for _, t in got])):
+            for a, b in sp[:SAMPLE_UNITS]:
+                if b - a >= MIN_LETTERS:
+                    texts.append(text[a:b])
+                    labels.append(code)
+        if texts:
+            m = Model.fit(texts, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([m.languages], pa.list_(pa.string())), pa.array([m.index.astype(np.int32).tobytes()], pa.binary()), pa.array([m.table.astype(np.float32).tobytes()], pa.binary())], names=["languages", "index", "table"])
+
+    # the sample is bounded, so one task holds it; the table that comes back has at most 2**HASH_BITS rows
+    r = chosen.repartition(1).mapInArrow(fit, "languages array<string>, index binary, table binary").first()
+    if r is None:
+        return none
+    return Model(list(r["languages"]), np.frombuffer(r["index"], np.int32), np.frombuffer(r["table"], np.float32).reshape(-1, len(r["languages"])))
 
 
 def _scored(rows: DataFrame, model: Model, detail: bool) -> DataFrame:
