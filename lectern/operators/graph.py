@@ -56,7 +56,9 @@ def with_ancestors(tokens: DataFrame) -> DataFrame:
     All paths of a block grow together and double in each step - a path and the path of its last token - so
     a block of n tokens takes log2(n) steps; no loop of joins.
     """
-    heads = tokens.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("i", "head_i"))).alias("hs"))
+    heads = tokens.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_set(F.struct("i", "head_i"))).alias("all"))
+    # of repeated tokens the first counts
+    heads = heads.select("doc_id", "block_id", F.filter("all", lambda x, k: (k == 0) | (x["i"] != F.get("all", k - 1)["i"])).alias("hs"))
     place = F.map_from_entries(F.transform("hs", lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))))
     heads = heads.withColumn("at", place)
     first = F.transform("hs", lambda x: F.when((x["i"] == x["head_i"]) | F.element_at("at", x["head_i"]).isNull(), F.array().cast("array<int>")).otherwise(F.array(F.element_at("at", x["head_i"]))))

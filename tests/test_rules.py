@@ -244,7 +244,7 @@ def test_ancestors(spark):
     rnd = random.Random(5)
     heads = {(1, b): [0] + [rnd.randint(0, i - 1) for i in range(1, 40)] for b in range(6)} | {(2, 1): [1, 0, 1, 9]}
     rows = [(d, b, i, 0, "x", "x", "x", "X", "X", "dep", h) for (d, b), hs in heads.items() for i, h in enumerate(hs)]
-    got = {(r.doc_id, r.block_id, r.i): list(r.above) for r in graph.with_ancestors(spark.createDataFrame(rows, graph.TOKENS_DDL)).collect()}
+    got = {(r.doc_id, r.block_id, r.i): list(r.above) for r in graph.with_ancestors(spark.createDataFrame(rows + rows[:50], graph.TOKENS_DDL)).collect()}
     for (d, b), hs in heads.items():
         for i in range(len(hs)):
             want, k = [], i
