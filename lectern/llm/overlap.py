@@ -1,21 +1,18 @@
 """Same or near-same texts across splits: every pair within an edit distance of a fifth of the longer text.
 
 Texts are folded (case, punctuation, blanks set aside) and collapsed to one representative per distinct
-fold. A representative is a vector over its runs of ``Q`` characters, each numbered by occurrence, so the
-product of two vectors is the number of runs they share.
-
-One edit touches at most Q runs. So two texts within distance k, the longer of n characters, share at
-least n - Q + 1 - k * Q runs (with k = n // 5 and Q = 3 about 0.4 n): a bound on the cosine that no pair
-within the distance can miss, wherever its edits are. Weights by document frequency have no such bound,
-as the edits may hit the heavy terms; all terms weigh the same.
-
-The products are made in blocks of texts of like length: a text meets the blocks whose lengths may fit, so a
-block fits the memory of a task at any size of the table. The terms of the longest inverted lists are taken first,
-as a dense matrix product. What the other terms can add is bound by their squared norm, with unit weights their number:
-pairs that cannot reach their bound any more are out, and a text with none left is not looked up (residual norm and
-greatest weight). For the others the short lists complete the product. Then the runs of the longer text that the other has
-within k places are counted, which are bound alike; what passes gets the exact edit distance. Where the
-bound is nil, all pairs whose lengths fit get it. Runs are numbered by a hash, so a product may be too great, never too small.
+fold. The longer text of a pair, of n characters, is cut into segments of q characters side by side. One edit touches
+at most one segment, so of two texts within distance k = n // 5 the shorter has all segments but k, wherever the edits are.
+It has them near their place: what is inserted and deleted before a segment and behind it is k at most together, so places
+counted from the middles of both texts, doubled, differ by k at most. Weights by document frequency have no such bound, as
+edits may hit the heavy terms; all segments weigh the same.
+
+The counts are made in blocks of texts of like length, tile by tile: a text meets the blocks whose lengths may fit, so a
+block fits the memory of a task at any size of the table. The runs of all texts of a tile are one sorted list by run and place,
+so the texts that have a segment near its place are one stretch of it (q = 4: a fifth of the segments must be there).
+The pairs that are left must have two fifths of the segments of ``Q`` characters, and then n - Q + 1 - k * Q of all runs of the
+longer text; what passes gets the exact edit distance. Where a bound is nil, all pairs whose lengths fit pass it.
+Runs are numbered by a hash, and a run may count for two segments, so a count may be too great, never too small.
 
 Work grows with the number of pairs whose lengths fit. Copies are expanded only at the end, as the found
 pairs require.
@@ -23,6 +20,8 @@ pairs require.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +32,16 @@ from lectern.llm.canonical import fold, source_name, split_name
 
 Q = 3
 EDIT_SHARE = 5
+#: Runs of texts of LONG characters and more.
+LONG_Q, LONG = 4, 60
 #: Texts and characters of a block.
-BLOCK, BLOCK_CHARS = 4000, 2_000_000
+BLOCK, BLOCK_CHARS = 32_000, 16_000_000
 #: Lengths of a band differ by less than this factor; lengths that fit (a factor of 1.25) are at most REACH bands apart.
-BAND, REACH = 1.1, 3
-#: Inverted lists that are multiplied as a dense matrix, and texts whose products are at hand at a time.
-DENSE, ROWS = 2048, 512
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+BAND, REACH = 1.26, 1
+#: Texts that are counted against each other densely, a cell for each pair, with their characters; texts and list entries at hand at a time.
+DENSE, TILE_CHARS = 1024, 2_000_000
+ROWS, ENTRIES = 64, 1_000_000
+_FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
 def least_shared(longer: np.ndarray, q: int = Q) -> np.ndarray:
@@ -48,81 +50,165 @@ def least_shared(longer: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Block:
-    """The runs of texts in one sorted array: ``keys`` by text, run and place; ``terms``: run and its number among equals."""
-
-    def __init__(self, texts: list[str], place_bits: int, run_bits: int):
-        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        self.size = np.array([len(c) for c in points], np.int64)
-        n = np.maximum(self.size - Q + 1, 0)
-        self.start = np.concatenate(([0], np.cumsum(n)))
-        flat = np.concatenate([*points, np.zeros(Q, np.uint32)]).astype(np.uint64)
-        self.owner = np.repeat(np.arange(len(texts)), n)
-        place = np.arange(len(self.owner)) - self.start[self.owner]
-        at = place + (np.cumsum(self.size) - self.size)[self.owner]
-        with np.errstate(over="ignore"):
-            run = sum(flat[at + i] << np.uint64(21 * i) for i in range(Q)) * _MIX
-        run ^= run >> np.uint64(29)
-        run = (run * _MIX >> np.uint64(64 - run_bits)).astype(np.int64) if len(run) else np.zeros(0, np.int64)
-        self.keys = ((self.owner << run_bits | run) << place_bits) | place
-        self.keys.sort()
-        run_of = self.keys >> place_bits
-        first = np.flatnonzero(np.concatenate(([True], run_of[1:] != run_of[:-1]))) if len(run_of) else np.zeros(0, np.int64)
-        self.number = np.arange(len(run_of)) - np.repeat(first, np.diff(np.append(first, len(run_of))))
-        self.run = run_of & ((1 << run_bits) - 1)
-        self.keys &= (1 << (run_bits + place_bits)) - 1
-        self.place = self.keys & ((1 << place_bits) - 1)
-
-    def near(self, i: int, other: Block, j: int, k: int) -> int:
-        """Runs of text i that the other block's text j has within k places."""
-        s = slice(self.start[i], self.start[i + 1])
-        mine, theirs = self.keys[s], other.keys[other.start[j] : other.start[j + 1]]
-        if not len(theirs):
-            return 0
-        at = theirs.searchsorted(mine - np.minimum(self.place[s], k))
-        return int(np.count_nonzero(theirs[np.minimum(at, len(theirs) - 1)] - mine + k <= 2 * k) - np.count_nonzero(at == len(theirs)))
+    """Texts as character codes, and lists of their runs by what they are and where they stand."""
+
+    def __init__(self, texts: list[str], room: int):
+        """room: the greatest length that any text compared with these has."""
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(("".join(texts) + "\0" * LONG_Q).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.middle, self.place_bits = room + room // EDIT_SHARE, (2 * room + 2 * (room // EDIT_SHARE) + 1).bit_length()
+        self.owner_bits = max(1, len(texts).bit_length())
+        self.run_bits = min(24, 62 - self.place_bits - DENSE.bit_length())
+        self.key_bits = self.run_bits + self.place_bits
+        # what a place adds to a key: its distance from the middle of its text, doubled
+        self.place = np.repeat(self.middle - self.size - 2 * self.first, self.size)
+        self.place += 2 * np.arange(len(self.place))
+        self._hashed: dict[int, np.ndarray] = {}
+        self._lists: dict[int, np.ndarray] = {}
+        self._segments: dict[int, tuple[np.ndarray, ...]] = {}
+        self._own: np.ndarray | None = None
+
+    def hashed(self, q: int) -> np.ndarray:
+        """The key of the q characters from each place of all texts on: their hash, and the place from the middle."""
+        if q not in self._hashed:
+            run = np.zeros(len(self.place), np.uint64)
+            for i, factor in enumerate(_FACTORS[:q]):
+                run += self.flat[i : i + len(run)] * factor
+            run ^= run >> np.uint64(32)
+            run *= _FACTORS[-1]
+            run >>= np.uint64(64 - self.run_bits)
+            run <<= np.uint64(self.place_bits)
+            self._hashed[q] = run.view(np.int64) + self.place
+        return self._hashed[q]
+
+    def keys(self, q: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, key, number of them in each text) of the runs of q characters at every step-th place."""
+        n = np.maximum(self.size - q, -step) // step + 1
+        at = np.repeat(self.first - (np.cumsum(n) - n) * step, n)
+        at += np.arange(0, len(at) * step, step)
+        return np.repeat(np.arange(len(n)), n), self.hashed(q)[at], n
+
+    def lists(self, q: int) -> np.ndarray:
+        """Keys of all runs, each with its owner in the last bits, sorted."""
+        if q not in self._lists:
+            owner, key, _ = self.keys(q, 1)
+            self._lists[q] = np.sort(key << self.owner_bits | owner)
+        return self._lists[q]
+
+    def segments(self, q: int) -> tuple[np.ndarray, ...]:
+        """(owner, key, number in each text) of the runs side by side, sorted within their text."""
+        if q not in self._segments:
+            owner, key, n = self.keys(q, q)
+            self._segments[q] = owner, np.sort(owner << self.key_bits | key) & (1 << self.key_bits) - 1, n
+        return self._segments[q]
+
+    def own(self) -> np.ndarray:
+        """Keys of the runs of Q characters, sorted by text, with their owner in the first bits, and a last one beyond all."""
+        if self._own is None:
+            owner, key, n = self.keys(Q, 1)
+            self._own = np.sort(np.append(owner << self.key_bits | key, len(n) << self.key_bits))
+        return self._own
+
+    def runs(self, i: int) -> np.ndarray:
+        """Keys of the runs of Q characters of text i."""
+        return self.hashed(Q)[self.first[i] : self.first[i] + max(0, self.size[i] - Q + 1)]
+
+    def near(self, j: np.ndarray, key: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether text j has the key within k, for each j, key and k."""
+        low = key + ((j << self.key_bits) - k)
+        return self.own()[np.searchsorted(self.own(), low)] <= low + 2 * k
+
+
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, n of them, one after the other."""
+    at = np.repeat(begin - np.cumsum(n) + n, n)
+    at += np.arange(len(at))
+    return at
+
+
+def portions(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of at most ``most`` items whose n add up to ENTRIES at most, or of one item."""
+    total, base = np.concatenate(([0], np.cumsum(n))), 0
+    while base < len(n):
+        top = max(base + 1, min(base + most, int(np.searchsorted(total, total[base] + ENTRIES, side="right")) - 1))
+        yield slice(base, top)
+        base = top
+
+
+def shared_runs(mine: np.ndarray, theirs: np.ndarray) -> int:
+    """Runs that both have, as often as both have them."""
+    a, n = np.unique(mine, return_counts=True)
+    b, m = np.unique(theirs, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def longer_pairs(x: Block, y: Block, strict: bool) -> list[tuple[int, int]]:
+    """Numbers of x and y that may be within the distance, the text of x being the longer one (or, if not strict, as long). Both blocks are sorted by length."""
+    # the y that fit each x
+    k = x.size // EDIT_SHARE
+    lo, hi = np.searchsorted(y.size, x.size - k), np.searchsorted(y.size, x.size, side="left" if strict else "right")
+    if not (lo < hi).any():
+        return []
+    q = LONG_Q if x.size[np.argmax(lo < hi)] >= LONG else Q
+    owner, key, n = x.segments(q)
+    lists, width, order = y.lists(q), len(y.size), np.argsort(key)
+    begin, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    by_key, reach = key[order], k[owner[order]]
+    begin[order] = np.searchsorted(lists, by_key - reach << y.owner_bits)
+    count[order] = np.searchsorted(lists, by_key + reach + 1 << y.owner_bits) - begin[order]
+    # a list of more entries than there are texts counts for every text, unread
+    long = count > width
+    need = n - k - np.bincount(owner[long], minlength=len(n))
+    count[long | (lo >= hi)[owner]] = 0
+    posts = (lists & (1 << y.owner_bits) - 1).astype(np.int32)
+    edge = np.concatenate(([0], np.cumsum(n)))
+    entries = np.diff(np.concatenate(([0], np.cumsum(count)))[edge])
+    _, apart, n_apart = x.segments(Q)
+    edge_apart = np.cumsum(n_apart) - n_apart
+    left: list[np.ndarray] = []
+    for part in portions(entries, ROWS):
+        own = slice(edge[part.start], edge[part.stop])
+        cell = np.repeat(np.arange(part.stop - part.start) * width, entries[part])
+        cell += posts[ranges(begin[own], count[own])]
+        hits = np.bincount(cell, minlength=(part.stop - part.start) * width).reshape(-1, width)[:, lo[part.start] : hi[part.stop - 1]]
+        i, j = np.nonzero(hits >= need[part, None])
+        i, j = i + part.start, j + lo[part.start]
+        left.append(np.stack((i, j))[:, (j >= lo[i]) & (j < hi[i])])
+    i, j = np.concatenate(left, axis=1)
+    by_text = np.argsort(j)
+    i, j = i[by_text], j[by_text]
+    found: list[tuple[int, int]] = []
+    for some in portions(n_apart[i], len(i)):
+        a, b, c = i[some], j[some], n_apart[i[some]]
+        has = y.near(np.repeat(b, c), apart[ranges(edge_apart[a], c)], np.repeat(k[a], c))
+        passed = np.bincount(np.repeat(np.arange(len(c)), c)[has], minlength=len(c)) >= c - k[a]
+        found += [(i, j) for i, j in zip(a[passed].tolist(), b[passed].tolist()) if np.count_nonzero(y.near(j, x.runs(i), k[i])) >= least_shared(x.size[i])]
+    return found
+
+
+def tiles(texts: list[str], room: int) -> list[tuple[np.ndarray, Block]]:
+    """The texts by length, as blocks with the numbers of their texts."""
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    out, base, end = [], 0, np.cumsum(size[order])
+    while base < len(order):
+        top = max(base + 1, min(base + DENSE, int(np.searchsorted(end, (end[base - 1] if base else 0) + TILE_CHARS, side="right"))))
+        out.append((order[base:top], Block([texts[i] for i in order[base:top]], room)))
+        base = top
+    return out
 
 
 def block_pairs(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, shared runs) of the pairs of xs and ys that may be within the distance."""
-    place_bits = max(map(len, (*xs, *ys))).bit_length()
-    run_bits = min(26, 62 - place_bits - max(len(xs), len(ys)).bit_length())
-    x, y = Block(xs, place_bits, run_bits), Block(ys, place_bits, run_bits)
-    numbers = int(max(x.number.max(initial=0), y.number.max(initial=0))).bit_length()
-    x_term, y_term = x.run << numbers | x.number, y.run << numbers | y.number
-    terms, counts = np.unique(y_term, return_counts=True)
-    common = np.sort(terms[np.argsort(-counts, kind="stable")[:DENSE]])
-
-    def split(b: Block, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The matrix of the common terms, and which terms are not among them."""
-        c = np.minimum(np.searchsorted(common, term), max(0, len(common) - 1))
-        has = common[c] == term if len(common) else np.zeros(len(term), bool)
-        m = np.zeros((len(b.size), max(1, len(common))), np.float32)
-        m[b.owner[has], c[has]] = 1
-        return m, ~has
-
-    x_common, x_rare = split(x, x_term)
-    y_common, y_rare = split(y, y_term)
-    x_rest, y_rest = np.bincount(x.owner[x_rare], minlength=len(xs)), np.bincount(y.owner[y_rare], minlength=len(ys))
-    # the short lists, for the texts that have a pair left
-    order = np.argsort(y_term[y_rare], kind="stable")
-    posts, listed = y.owner[y_rare][order], y_term[y_rare][order]
-    lo, hi = np.searchsorted(listed, x_term[x_rare]), np.searchsorted(listed, x_term[x_rare], side="right")
-    edge = np.searchsorted(x.owner[x_rare], np.arange(len(xs) + 1))
+    room = max(map(len, (*xs, *ys)), default=0)
     found: list[tuple[int, int, int]] = []
-    for base in range(0, len(xs), ROWS):
-        part = slice(base, base + ROWS)
-        product = x_common[part] @ y_common.T
-        longer = np.maximum(x.size[part, None], y.size[None, :])
-        need = least_shared(longer)
-        alive = (np.abs(x.size[part, None] - y.size[None, :]) * EDIT_SHARE <= longer) & (product + np.minimum(x_rest[part, None], y_rest[None, :]) >= need)
-        for r in np.flatnonzero(alive.any(axis=1)):
-            i = base + int(r)
-            a, n = lo[edge[i] : edge[i + 1]], hi[edge[i] : edge[i + 1]] - lo[edge[i] : edge[i + 1]]
-            shared = product[r] + np.bincount(posts[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)], minlength=len(ys))
-            for j in np.flatnonzero(alive[r] & (shared >= need[r])).tolist():
-                k = int(longer[r, j]) // EDIT_SHARE
-                if need[r, j] <= 0 or (x.near(i, y, j, k) if x.size[i] >= y.size[j] else y.near(j, x, i, k)) >= need[r, j]:
-                    found.append((i, j, int(shared[j])))
+    others = tiles(ys, room)
+    for xi, x in tiles(xs, room):
+        for yi, y in others:
+            pairs = longer_pairs(x, y, False) + [(i, j) for j, i in longer_pairs(y, x, True)]
+            found += [(int(xi[i]), int(yi[j]), shared_runs(x.runs(i) >> x.place_bits, y.runs(j) >> y.place_bits)) for i, j in pairs]
     out = np.array(found, np.int64).reshape(-1, 3)
     return out[:, 0], out[:, 1], out[:, 2]
 

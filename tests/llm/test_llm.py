@@ -96,6 +96,29 @@ def test_p1_blocks_miss_no_pair():
     assert [len(c) for c in overlap.block_pairs(["ab"], [])] == [0, 0, 0]
 
 
+def test_p1_other_order_is_not_compared():
+    rnd = random.Random(4)
+    sentences = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(12)]
+    texts = ["".join(rnd.sample(sentences, 10)) for _ in range(60)]
+    i, j, _ = overlap.block_pairs(texts, texts)
+    got = set(zip(i.tolist(), j.tolist()))
+    # any two of the texts share most of their runs
+    assert {(n, n) for n in range(60)} <= got and len(got) < 60 * 60 // 5
+
+
+def test_p1_tiles_and_long_lists_miss_no_pair(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["a" * n for n in (1, 2, 4, 5, 8, 10, 60, 75, 100, 125)] + ["ab" * n for n in (3, 30, 36, 45)] + ["".join(rnd.choice("ab") for _ in range(n)) for n in (59, 60, 61, 74, 75, 93)]
+    texts += [t[1:] + "c" for t in texts if len(t) > 4] + [t[: len(t) // 2] + t[len(t) // 2 + len(t) // 5 :] for t in texts]
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if distance(x, y) * 5 <= max(len(x), len(y))}
+    for tile, rows, entries in ((1024, 64, 1_000_000), (4, 3, 50)):
+        monkeypatch.setattr(overlap, "DENSE", tile)
+        monkeypatch.setattr(overlap, "ROWS", rows)
+        monkeypatch.setattr(overlap, "ENTRIES", entries)
+        i, j, _ = overlap.block_pairs(texts, texts)
+        assert want <= set(zip(i.tolist(), j.tolist()))
+
+
 def test_canonical(spark):
     d = spark.createDataFrame([("Große  SORGFALT!", "GROSSE sorg\u00adfalt"), ("5.5", "5 5"), ("a\u200bb", "AB")], "a string, b string")
     assert all(r[0] == r[1] for r in d.select(fold(F.col("a")), fold(F.col("b"))).collect())
