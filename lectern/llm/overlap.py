@@ -35,11 +35,11 @@ EDIT_SHARE = 5
 #: Runs of texts of LONG characters and more.
 LONG_Q, LONG = 4, 60
 #: Texts and characters of a block.
-BLOCK, BLOCK_CHARS = 32_000, 16_000_000
+BLOCK, BLOCK_CHARS = 8000, 4_000_000
 #: Lengths of a band differ by less than this factor; lengths that fit (a factor of 1.25) are at most REACH bands apart.
 BAND, REACH = 1.26, 1
 #: Texts that are counted against each other densely, a cell for each pair, with their characters; texts and list entries at hand at a time.
-DENSE, TILE_CHARS = 1024, 2_000_000
+DENSE, TILE_CHARS = 1024, 1_000_000
 ROWS, ENTRIES = 64, 1_000_000
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -68,6 +68,7 @@ class Block:
         self._lists: dict[int, np.ndarray] = {}
         self._segments: dict[int, tuple[np.ndarray, ...]] = {}
         self._own: np.ndarray | None = None
+        self._runs: dict[int, np.ndarray] = {}
 
     def hashed(self, q: int) -> np.ndarray:
         """The key of the q characters from each place of all texts on: their hash, and the place from the middle."""
@@ -111,8 +112,10 @@ class Block:
         return self._own
 
     def runs(self, i: int) -> np.ndarray:
-        """Keys of the runs of Q characters of text i."""
-        return self.hashed(Q)[self.first[i] : self.first[i] + max(0, self.size[i] - Q + 1)]
+        """Sorted keys of the runs of Q characters of text i."""
+        if i not in self._runs:
+            self._runs[i] = np.sort(self.hashed(Q)[self.first[i] : self.first[i] + max(0, self.size[i] - Q + 1)])
+        return self._runs[i]
 
     def near(self, j: np.ndarray, key: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Whether text j has the key within k, for each j, key and k."""
