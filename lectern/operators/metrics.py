@@ -51,7 +51,7 @@ class Prose:
         text = b.where("kind in ('paragraph', 'list')")
         # a lone line without a closing mark is a title or caption, no paragraph
         text = text.where((F.col("kind") == "list") | F.col("t").contains("\n") | F.col("t").rlike(java(SENTENCE_END, "d")))
-        sents = text.select("doc_id", "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(V.split_sentences(F.col("t"))).alias("n", "x"))
+        sents = text.select("doc_id", "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(V.sentence_spans(text)).alias("n", "x"))
         sents = sents.select("doc_id", "block_id", "kind", F.col("n").alias("sent_no"), (F.col("base") + F.col("x.s")).alias("span_start"), (F.col("base") + F.col("x.e")).alias("span_end"), F.substring("t", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("sentence"))
         paragraphs = text.where("kind = 'paragraph'")
         return cls(v, b, paragraphs, sents) if blocks is None else cls(v, b, paragraphs.persist(), sents.persist())
@@ -87,9 +87,15 @@ def _span(start: Column, end: Column) -> Column:
 # --- what is read off a text: one projection --------------------------------------------------------------------------
 
 
+def _counted(views: DataFrame) -> DataFrame:
+    """``views`` with _n, the words of the prose: what no word holds splits it, and may stand at either end."""
+    cut = F.filter(F.split("prose", WORD.replace("[", "[^"), -1), lambda w: w != "")
+    return views.select("doc_id", "masked", "prose", F.size(cut).alias("_n"))
+
+
 def _in_view(view: str, pattern: str, least_words: int | None) -> Column:
     found = spans(F.col(view), pattern)
-    n = F.regexp_count("prose", F.lit(WORD))
+    n = F.col("_n")
     first = F.try_element_at(found, F.lit(1))
     if least_words is None:
         return _pointed(F.size(found), first)
@@ -120,7 +126,7 @@ def _paragraph_rows(p: Prose) -> DataFrame:
     t = _lead(F.col("t"))
     at = F.col("span_start") + F.length("t") - F.length(t)
     x = p.paragraphs.select(
-        "doc_id", "span_start", "span_end", "t", at.alias("at"), F.regexp_extract(t, java(CONNECTIVE, "idU"), 0).alias("connective"), F.regexp_extract(t, java(EVERY, "idU"), 0).alias("every"), (F.size(V.split_sentences(F.col("t"))) <= 1).alias("one"),
+        "doc_id", "span_start", "span_end", "t", at.alias("at"), F.regexp_extract(t, java(CONNECTIVE, "idU"), 0).alias("connective"), F.regexp_extract(t, java(EVERY, "idU"), 0).alias("every"), (F.size(V.sentence_spans(p.paragraphs)) <= 1).alias("one"),
     )
     down = Window.partitionBy("doc_id").orderBy(F.desc("span_start"))
     return x.withColumn("down", F.row_number().over(down))
@@ -197,7 +203,7 @@ def wide(p: Prose, names: list[str]) -> DataFrame:
     A text's own metrics are one projection, those of sentences and of paragraphs one aggregate each; the
     results meet by document, as everything here is spread by it.
     """
-    out = p.views.select("doc_id", *(_OF_TEXT[n]().alias(n) for n in names if n in _OF_TEXT))
+    out = _counted(p.views).select("doc_id", *(_OF_TEXT[n]().alias(n) for n in names if n in _OF_TEXT))
     s = _sentence_rows(p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), *(_OF_SENTENCES[n]().alias(n) for n in names if n in _OF_SENTENCES))
     g = _paragraph_rows(p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), *(_OF_PARAGRAPHS[n]().alias(n) for n in names if n in _OF_PARAGRAPHS))
     out = out.join(s, "doc_id", "left").join(g, "doc_id", "left")
@@ -211,7 +217,7 @@ def wide(p: Prose, names: list[str]) -> DataFrame:
 def metric(p: Prose, name: str) -> DataFrame:
     """doc_id, value, span_start, span_end of one metric."""
     if name in _OF_TEXT:
-        got = p.views.select("doc_id", _OF_TEXT[name]().alias("m"))
+        got = _counted(p.views).select("doc_id", _OF_TEXT[name]().alias("m"))
     elif name in _OF_SENTENCES:
         got = _sentence_rows(p).groupBy("doc_id").agg(_OF_SENTENCES[name]().alias("m"))
     elif name in _OF_PARAGRAPHS:

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.guards import covered, literals, trie
+from lectern.functions.guards import covered, needed, only, rarest, trie, within_line
 from lectern.functions.runtime import written
 from lectern.functions.text import java, quoted, rewrite, spans_sql
 from lectern.operators import views as V
@@ -58,24 +58,43 @@ def excepted(rules: list[Rule], context: Column, which: str = "unless") -> Colum
 def raw_matches(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """key, rule_id, span_start, span_end, found (the text) of every non-empty match. Punctuation reads ``masked``, the rest ``prose``.
 
-    A pattern runs only on texts that hold one of its required literals. All literals of all rules are found in one pass
-    over a lower-cased copy.
+    The literals of all rules are found in one pass over a lower-cased copy of each line. A pattern that no line feed can meet
+    runs on the lines that have one of the literals it needs, any other on the texts that have one.
     """
     active = [r for r in rules if r.pattern is not None and not r.nominal_prefix]
     if not active:
         return views.sparkSession.createDataFrame([], f"{key} bigint, rule_id string, span_start bigint, span_end bigint, found string")
     compiled(views.sparkSession, active)
-    needs = {r.id: literals(r.pattern) for r in active}
-    every = sorted({x for n in needs.values() for x in n or ()})
+    need = {r.id: needed(r.pattern) for r in active}
+    words = {r.id: rarest(w) if r.category != "punct" and (w := only("lit", need[r.id])) else None for r in active}
+    every = sorted(frozenset().union(*(w for w in words.values() if w)))
     parts = []
     for r in active:
         view = "masked" if r.category == "punct" else "prose"
-        guard = f"exists(_hits, h -> h in ({', '.join(map(quoted, covered(needs[r.id], every)))}))" if needs[r.id] else None
-        found = spans_sql(view, pattern_of(r), guard)
-        parts.append(f"transform({found}, x -> named_struct('rule_id', {quoted(r.id)}, 'span_start', cast(x.s as bigint), 'span_end', cast(x.e as bigint), 'found', substring({view}, x.s + 1, x.e - x.s)))")
-    hits = F.array_distinct(F.regexp_extract_all(F.lower(F.upper("masked")), F.lit(f"(?=({trie(every)}))"), F.lit(1))) if every else F.array().cast("array<string>")
-    rows = views.select(key, "masked", "prose", hits.alias("_hits"))
-    return rows.select(key, F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("m")).select(key, "m.*")
+        row = lambda found, base, r=r: f"transform({found}, y -> named_struct('rule_id', {quoted(r.id)}, 'span_start', cast({base}y.s as bigint), 'span_end', cast({base}y.e as bigint)))"
+        if not (w := words[r.id]):
+            signs = only("sign", need[r.id])
+            parts.append(row(spans_sql(view, pattern_of(r), " OR ".join(f"contains({view}, {quoted(x)})" for x in sorted(rarest(signs))) if signs else None), ""))
+            continue
+        some = "exists({}, h -> h in (" + ", ".join(map(quoted, covered(list(w), every))).replace("{", "{{").replace("}", "}}") + "))"
+        if within_line(r.pattern):
+            start = "CASE WHEN l.i = 0 THEN 0 ELSE length(substring_index(prose, '\\n', l.i)) + 1 END + "
+            parts.append(f"CASE WHEN {some.format('_hits')} THEN flatten(transform(filter(_lines, l -> {some.format('l.h')}), l -> {row(spans_sql('l.p', pattern_of(r)), start)})) ELSE {_NO_MATCHES} END")
+        else:
+            parts.append(row(spans_sql(view, pattern_of(r), some.format("_hits")), ""))
+    if every:
+        hits = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.upper(t)), F.lit(f"(?=({trie(every)}))"), F.lit(1)))
+        lines = F.filter(F.transform(F.split("prose", "\n", -1), lambda p, i: F.struct(i.alias("i"), p.alias("p"), hits(p).alias("h"))), lambda x: F.size(x["h"]) > 0)
+    else:
+        lines = F.array().cast("array<struct<i:int,p:string,h:array<string>>>")
+    rows = views.select(key, "masked", "prose", lines.alias("_lines"))
+    rows = rows.select("*", F.array_distinct(F.flatten(F.transform("_lines", lambda x: x["h"]))).alias("_hits"))
+    rows = rows.select(key, "masked", "prose", F.explode(F.expr(f"flatten(array({', '.join(parts)}))")).alias("m"))
+    view = F.when(F.col("m.rule_id").isin(*(r.id for r in active if r.category == "punct")), F.col("masked")).otherwise(F.col("prose"))
+    return rows.select(key, "m.*", F.substring(view, F.col("m.span_start").cast("int") + 1, (F.col("m.span_end") - F.col("m.span_start")).cast("int")).alias("found"))
+
+
+_NO_MATCHES = "cast(array() as array<struct<rule_id:string,span_start:bigint,span_end:bigint>>)"
 
 
 def sentence_matches(sents: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
@@ -162,6 +181,7 @@ _OUT = ("rule_id", "category", "severity", "rank", "span_start", "span_end")
 def regex_findings(views: DataFrame, rules: list[Rule], key: str = "doc_id") -> DataFrame:
     """All findings of the regex rules. ``views`` has key, text, masked, prose."""
     regex = [r for r in rules if r.category in ("phrase", "template", "punct")]
-    block_rows = written(V.blocks(V.lines(views, key), key), "blocks")  # read by both gates and the sentences
+    block_rows = V.blocks(V.lines(views, key), key)
+    block_rows = written(block_rows.withColumn("cut", V.sentence_spans(block_rows)), "blocks")  # read by both gates and the sentences
     sents = V.sentences(block_rows, (*V.TEXT_KINDS, "heading"), key)
     return gated(raw_matches(views, regex, key), views, block_rows, sents, regex, key)

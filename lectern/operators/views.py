@@ -186,10 +186,16 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), trimmed), lambda x: x["e"] > x["s"])
 
 
+def sentence_spans(block_rows: DataFrame) -> Column:
+    """The sentences of each block: column ``cut`` where the blocks have it, so that they are split once, else split here."""
+    return F.col("cut") if "cut" in block_rows.columns else split_sentences(F.col("t"))
+
+
 def sentences(block_rows: DataFrame, kinds: tuple[str, ...] = TEXT_KINDS, key: str = "doc_id") -> DataFrame:
     """key, block_id, kind, sent_no, span_start, span_end, sentence of the blocks of these kinds."""
+    cut = sentence_spans(block_rows)
     rows = block_rows.where(F.col("kind").isin(*kinds))
-    rows = rows.select(key, "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(split_sentences(F.col("t"))).alias("sent_no", "x"))
+    rows = rows.select(key, "block_id", "kind", F.col("span_start").alias("base"), "t", F.posexplode(cut).alias("sent_no", "x"))
     return rows.select(
         key, "block_id", "kind", (F.col("sent_no") + 1).cast("bigint").alias("sent_no"), (F.col("base") + F.col("x.s")).alias("span_start"), (F.col("base") + F.col("x.e")).alias("span_end"),
         F.substring(F.col("t"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("sentence"),

@@ -40,7 +40,8 @@ def lint(docs: DataFrame, options: Options = Options(), rules: list[Rule] | None
     active = select(rules or load(), set(options.only), set(options.disable), set(options.disable_category), options.no_emoji)
     # read by every layer: kept in memory or on the executors' disks, and recomputed if an executor is lost
     views = V.with_views(spread(docs.select("doc_id", "text")), quotes=not options.skip_quotes).persist()
-    blocks = V.blocks(V.lines(views)).persist()
+    blocks = V.blocks(V.lines(views))
+    blocks = blocks.withColumn("cut", V.sentence_spans(blocks)).persist()
     prose = metrics.Prose.of(views, blocks=blocks)
     cols = ("doc_id", "rule_id", "category", "severity", "rank", "span_start", "span_end", "marks")
     parts = []

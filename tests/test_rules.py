@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.guards import literals
+from lectern.functions.guards import literals, needed, only, rarest, within_line
 from lectern.operators import graph, judgments, reduce, regex_rules, scanner
 from lectern.operators import views as V
 from lectern.plans.lint import Options, lint
@@ -52,6 +52,31 @@ def test_guards_are_necessary():
                     assert any(x in t.lower() for x in g), r.id
 
 
+def test_what_patterns_need():
+    assert needed(r"\b(?:the (?:move|fix)|in due course)\b") == ("or", ("and", ("lit", "the "), ("or", ("lit", "move"), ("lit", "fix"))), ("lit", "in due course"))
+    assert rarest(needed(r"\bis not the problem, and\b|the (?:upshot|catch)\b")) == {"is not the problem, and", "upshot", "catch"}
+    assert only("sign", needed(r"\s?\u2014\s?|[a-z]+; ")) is None and needed(r"\u2014|[a-z];") == ("or", ("sign", "\u2014"), ("sign", ";"))
+    assert needed("(?:foo)?x*") is None
+
+
+def test_patterns_within_lines():
+    assert all(map(within_line, (r"^[ \t]*a[^.\n]{1,9}\b.*$", r"(?<!\S)(?P<x>\w+) (?P=x)", r"(?<=[.!?] )a(?! b)")))
+    assert not any(map(within_line, (r"a\s+b", r"a[^.]b", r"a(?!\s)", r"(?s:a.b)", r"a\Z", r"a\Wb", "a\nb")))
+
+
+def test_matches_by_line(spark):
+    """Places count from the text, also behind wide characters and blank lines; literals are those of the view that the rule reads."""
+    text = "\U0001f600 First.\n\n\nIt isn\u2019t just a tool.\nIn conclusion, we follow\nfrom that. In conclusion, it isn't just a toy."
+    v = V.with_views(spark.createDataFrame([(1, text), (2, "Nothing."), (3, None)], "doc_id bigint, text string")).persist()
+    rules = [r for r in RULES if r.id in ("template.no-x-no-y-just-z", "phrase.signposted-conclusion", "phrase.follows-from")]
+    got = {(r.doc_id, r.rule_id, r.span_start, r.span_end, r.found) for r in regex_rules.raw_matches(v, rules).collect()}
+    prose = text.replace("\u2019", "'")
+    at = lambda rule, found: {(1, rule, i, i + len(found), found) for i in range(len(prose)) if prose.startswith(found, i)}
+    assert {x for x in got if x[1] == "template.no-x-no-y-just-z"} == at("template.no-x-no-y-just-z", "isn't just a ")
+    assert {x for x in got if x[1] == "phrase.follows-from"} == at("phrase.follows-from", "follow\nfrom")
+    assert {x[2] for x in got if x[1] == "phrase.signposted-conclusion"} == {x[2] for x in at("", "In conclusion")}
+
+
 CASES = [
     ("The cache is load-bearing here.", "phrase.load-bearing", True),
     ("The beam bears the load here.", "phrase.load-bearing", False),
